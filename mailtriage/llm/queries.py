@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, tokens
+from . import chat, chunk_dedup, decontamination, exact_dedup, language_id, mixing, secrets, suffix_dedup, tokens
 from .common import ascii_lower, text_of
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -29,19 +33,43 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.deduplicate(_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.training_order(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(ascii_lower(text_of()), 256).alias("text_sha256"))
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
