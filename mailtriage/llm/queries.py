@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunk_dedup, decontamination, exact_dedup, language_id, mixing, secrets, suffix_dedup, tokens
+from . import chat, chunk_dedup, decontamination, exact_dedup, jaccard_join, language_id, mixing, secrets, suffix_dedup, tokens
 from .common import ascii_lower, text_of
 
 
@@ -56,6 +56,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(ascii_lower(text_of()), 256).alias("text_sha256"))
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -70,6 +74,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_chat_format": op7_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
