@@ -16,8 +16,10 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k_id, k_text, data: the key (k_id, k_text) is that of the id and the text, so rows
-    that repeat share it and rows that share an id alone don't; data is the text's bytes."""
-    return docs.select("doc_id", F.xxhash64("doc_id").alias("k_id"), F.xxhash64("doc_id", text_of()).alias("k_text"), text_of().cast("binary").alias("data"))
+    that repeat share it and rows that share an id alone don't; whole-number ids keep their order.
+    data is the text's bytes."""
+    number = F.coalesce(F.col("doc_id").try_cast("long"), F.xxhash64("doc_id"))
+    return docs.select("doc_id", number.alias("k_id"), F.xxhash64("doc_id", text_of()).alias("k_text"), text_of().cast("binary").alias("data"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -84,7 +84,10 @@ def _one(op, arg) -> _Part:
         if least == 0:
             small = most == 1 and part.exact is not None and part.forced == [frozenset()]
             return _Part(part.exact | {""}) if small else _Part(None)
-        return part if (least, most) == (1, 1) else _Part(None, _closed(part).forced)
+        whole = part
+        for _ in range(min(least, 3) - 1):
+            whole = _joined(whole, part)
+        return whole if least == most <= 3 else _closed(whole)
     if op is ops.AT:
         return _Part({""})
     return _Part(None)
