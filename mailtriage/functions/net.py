@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: without it, every use of value would repeat its expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _whole(pattern: str) -> str:
     """A pattern for all of a text; Java's $ would also match before a last line feed."""
     return pattern.replace("$", r"\z")
@@ -79,11 +86,14 @@ def domain_part(address: Column) -> Column:
 
 def org_domain(domain: Column) -> Column:
     """The organisational domain: two labels, or three above a two-label suffix."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(domain), r"\.\z", ""), r"\."), lambda p: p != "")
-    n = F.size(parts)
-    two = F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), 2), ".")
-    three = F.array_join(F.slice(parts, F.greatest(n - 2, F.lit(1)), 3), ".")
-    return F.when(n <= 2, F.nullif(F.array_join(parts, "."), F.lit(""))).when(F.array_contains(literals(R.TWO_LABEL_SUFFIXES), two), three).otherwise(two)
+
+    def of_parts(parts: Column) -> Column:
+        n = F.size(parts)
+        two = F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), 2), ".")
+        three = F.array_join(F.slice(parts, F.greatest(n - 2, F.lit(1)), 3), ".")
+        return F.when(n <= 2, F.nullif(F.array_join(parts, "."), F.lit(""))).when(F.array_contains(literals(R.TWO_LABEL_SUFFIXES), two), three).otherwise(two)
+
+    return let(F.filter(F.split(F.regexp_replace(F.lower(domain), r"\.\z", ""), r"\."), lambda p: p != ""), of_parts)
 
 
 def url_host(url: Column) -> Column:
@@ -114,6 +124,12 @@ def mixed_script(label: Column) -> Column:
     return F.coalesce(label.rlike("[A-Za-z]") & label.rlike("[Ͱ-ϿЀ-ӿ]"), F.lit(False))
 
 
+def brand_entries(own: tuple[str, ...] = ()) -> Column:
+    """array of struct(brand, domains, own): the protected own domains, then the brands."""
+    entries = [(o.split(".")[0], [o], True) for o in dict.fromkeys(own)] + [(n, d, False) for n, d in R.BRANDS.items()]
+    return F.array(*[F.struct(F.lit(n).alias("brand"), literals(d).alias("domains"), F.lit(mine).alias("own")) for n, d, mine in entries])
+
+
 def lookalike(host: Column, own: tuple[str, ...] = ()) -> Column:
     """struct(brand, kind, own) of the strongest resemblance of a host to a brand, or null.
 
@@ -121,22 +137,31 @@ def lookalike(host: Column, own: tuple[str, ...] = ()) -> Column:
     one kind the first entry counts, own domains before brands. The entries are a literal array, so
     no join is needed.
     """
-    entries = [(o.split(".")[0], [o], True) for o in dict.fromkeys(own)] + [(n, d, False) for n, d in R.BRANDS.items()]
+
+    def graded(e: Column, x: Column) -> Column:
+        n = F.length(e["brand"])
+        away = F.levenshtein(x["shape"], e["brand"])
+        kind = (
+            F.when((x["shape"] == e["brand"]) & (x["name"] != e["brand"]), 1)
+            .when(e["own"] & (x["name"] == e["brand"]), 2)
+            .when((n >= 5) & (away > 0) & (away <= F.when(n >= 8, 2).otherwise(1)), 3)
+            .when((n >= 4) & (x["flat"] != e["brand"]) & F.array_contains(x["words"], e["brand"]), 4)
+        )
+        return F.struct(kind.alias("grade"), e["brand"].alias("brand"), e["own"].alias("own"))
+
+    def best(x: Column) -> Column:
+        entries = brand_entries(own)
+        hits = F.filter(F.transform(entries, lambda e: graded(e, x)), lambda g: g["grade"].isNotNull())
+        top = F.array_min(F.transform(hits, lambda g, i: F.struct(g["grade"].alias("grade"), i.alias("ord"), g["brand"].alias("brand"), g["own"].alias("own"))))
+        kind = F.element_at(literals(["confusable", "tld-swap", "typosquat", "contains"]), top["grade"])
+        known = F.exists(entries, lambda e: F.array_contains(e["domains"], x["org"]))
+        return F.when((x["bare"] != "") & ~known & top.isNotNull(), let(top, lambda t: F.struct(t["brand"].alias("brand"), kind.alias("kind"), t["own"].alias("own"))))
+
+    def shaped(x: Column) -> Column:
+        name = F.substring_index(x["org"], ".", 1)
+        flat = skeleton(F.regexp_replace(x["bare"], r"\.[a-z.]+\z", ""))
+        words = F.transform(F.split(x["bare"], r"[.\-_]"), skeleton)
+        return let(F.struct(x["bare"].alias("bare"), x["org"].alias("org"), name.alias("name"), skeleton(name).alias("shape"), flat.alias("flat"), words.alias("words")), best)
+
     bare = F.regexp_replace(F.lower(host), r"\Awww\.", "")
-    org = F.coalesce(org_domain(bare), bare)
-    name = F.substring_index(org, ".", 1)
-    shape = skeleton(name)
-    flat = skeleton(F.regexp_replace(bare, r"\.[a-z.]+\z", ""))
-    words = F.transform(F.split(bare, r"[.\-_]"), skeleton)
-    distance = [F.levenshtein(shape, F.lit(n)) for n, _, _ in entries]
-
-    def hit(n: str, kind: str, mine: bool) -> Column:
-        return F.struct(F.lit(n).alias("brand"), F.lit(kind).alias("kind"), F.lit(mine).alias("own"))
-
-    cases = [((shape == n) & (name != n), n, "confusable", mine) for n, _, mine in entries]
-    cases += [(name == n, n, "tld-swap", mine) for n, _, mine in entries if mine]
-    cases += [((d > 0) & (d <= (2 if len(n) >= 8 else 1)), n, "typosquat", mine) for (n, _, mine), d in zip(entries, distance, strict=True) if len(n) >= 5]
-    cases += [((flat != n) & F.array_contains(words, n), n, "contains", mine) for n, _, mine in entries if len(n) >= 4]
-    found = F.coalesce(*[F.when(test, hit(n, kind, mine)) for test, n, kind, mine in cases])
-    known = org.isin(sorted({d for _, domains, _ in entries for d in domains}))
-    return F.when((bare != "") & ~known, found)
+    return let(bare, lambda b: let(F.struct(b.alias("bare"), F.coalesce(org_domain(b), b).alias("org")), shaped))

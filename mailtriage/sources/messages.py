@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.net import let
 from ..functions.text import trimmed
 
 # A text is a message if it has one of these headers.
@@ -65,14 +66,20 @@ def first_of(headers: Column, key: str) -> Column:
 
 def address(value: Column) -> Column:
     """struct(raw, email, name): the address in angle brackets, or a bare one, or the first that looks like one."""
-    clean = trimmed(F.regexp_replace(value, r"\([^()]*\)", ""))
-    inside = F.lower(trimmed(F.regexp_extract(clean, r"<([^>]+)>", 1)))
-    name = trimmed(F.regexp_replace(F.regexp_replace(clean, r"<[^>]+>", ""), '"', ""))
-    plain = F.lower(F.regexp_extract(clean, r"([^\s<>;,]+@[^\s<>;,]+\.[^\s<>;,]+)", 1))
-    loose = F.lower(F.regexp_extract(value, r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", 1))
-    angle = inside.rlike(r"\A[^\s<>]+@[^\s<>]+\.[^\s<>]+\z")
-    email = F.when(angle, inside).when(plain != "", plain).when(loose != "", loose)
-    return F.when(value.isNotNull(), F.struct(value.alias("raw"), email.alias("email"), F.when(angle & (name != ""), name).alias("name")))
+
+    def chosen(x: Column) -> Column:
+        angle = x["inside"].rlike(r"\A[^\s<>]+@[^\s<>]+\.[^\s<>]+\z")
+        email = F.when(angle, x["inside"]).when(x["plain"] != "", x["plain"]).when(x["loose"] != "", x["loose"])
+        return F.when(x["raw"].isNotNull(), F.struct(x["raw"].alias("raw"), email.alias("email"), F.when(angle & (x["name"] != ""), x["name"]).alias("name")))
+
+    def read(x: Column) -> Column:
+        inside = F.lower(trimmed(F.regexp_extract(x["clean"], r"<([^>]+)>", 1)))
+        name = trimmed(F.regexp_replace(F.regexp_replace(x["clean"], r"<[^>]+>", ""), '"', ""))
+        plain = F.lower(F.regexp_extract(x["clean"], r"([^\s<>;,]+@[^\s<>;,]+\.[^\s<>;,]+)", 1))
+        loose = F.lower(F.regexp_extract(x["raw"], r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", 1))
+        return let(F.struct(x["raw"].alias("raw"), inside.alias("inside"), name.alias("name"), plain.alias("plain"), loose.alias("loose")), chosen)
+
+    return let(value, lambda v: let(F.struct(v.alias("raw"), trimmed(F.regexp_replace(v, r"\([^()]*\)", "")).alias("clean")), read))
 
 
 def decoded_words(text: Column) -> Column:
@@ -97,6 +104,10 @@ def decoded_words(text: Column) -> Column:
     return F.when(F.coalesce(text.contains("=?"), F.lit(False)), F.array_join(pieces, "")).otherwise(F.coalesce(text, F.lit("")))
 
 
+def _subject(h: Column) -> Column:
+    return let(first_of(h, "subject"), decoded_words)
+
+
 def parse_headers(messages: DataFrame) -> DataFrame:
     """messages (msg_id, raw) with one column `headers` of parsed header fields."""
     rows = messages.withColumn("_h", header_lines(F.col("raw")))
@@ -110,7 +121,7 @@ def parse_headers(messages: DataFrame) -> DataFrame:
     duplicated = F.filter(F.array(*[F.struct(F.lit(k).alias("header"), F.size(all_of(h, k)).alias("count")) for k in SINGLE_HEADERS]), lambda d: d["count"] > 1)
     parsed = F.struct(
         address(first_of(h, "from")).alias("from"), address(first_of(h, "reply-to")).alias("reply_to"), address(first_of(h, "return-path")).alias("return_path"), address(first_of(h, "to")).alias("to"),
-        decoded_words(first_of(h, "subject")).alias("subject"), first_of(h, "date").alias("date"), first_of(h, "message-id").alias("message_id"), all_of(h, "received").alias("received"),
+        _subject(h).alias("subject"), first_of(h, "date").alias("date"), first_of(h, "message-id").alias("message_id"), all_of(h, "received").alias("received"),
         all_of(h, "authentication-results").alias("authentication_results"), all_of(h, "received-spf").alias("received_spf"), all_of(h, "dkim-signature").alias("dkim_signature"),
         first_of(h, "content-type").alias("content_type"), first_of(h, "x-mailer").alias("x_mailer"), first_of(h, "x-originating-ip").alias("x_originating_ip"),
         F.filter(h, lambda x: F.startswith(x["key"], F.lit("x-"))).alias("x_headers"), h.alias("ordered"), duplicated.alias("duplicated"), domains.alias("domains"),
