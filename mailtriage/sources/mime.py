@@ -60,7 +60,7 @@ def decoded(body: str, encoding: str) -> bytes:
 def as_text(data: bytes, charset: str) -> str:
     try:
         return data.decode(codecs.lookup(charset).name, "replace")
-    except (LookupError, UnicodeError):
+    except (LookupError, ValueError):
         return data.decode("utf-8", "replace")
 
 
