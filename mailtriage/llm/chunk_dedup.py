@@ -98,7 +98,7 @@ def repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     cut = staged(chunks(docs), "chunks")
     first = F.min(F.struct("k_id", "k_text", "place")).alias("first")
     shared = cut.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").select("d1", "d2", "first")
-    found = cut.join(shared, ["d1", "d2"]).where(F.struct("k_id", "k_text", "place") != F.col("first"))
+    found = cut.join(shared.hint("merge"), ["d1", "d2"]).where(F.struct("k_id", "k_text", "place") != F.col("first"))
     later = found.select("k_id", "k_text", "place", "size").distinct()
     order = Window.partitionBy("k_id", "k_text").orderBy("place")
     gap = F.coalesce(F.lag(F.col("place") + F.col("size")).over(order) != F.col("place"), F.lit(True))

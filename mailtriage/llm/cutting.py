@@ -37,7 +37,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> D
     """Each row of docs without the spans (k_id, k_text, spans) of its document; see the columns below."""
     rows = keyed(docs)
     own = spans.withColumnsRenamed({"k_id": "s_id", "k_text": "s_text"})
-    rows = rows.join(own, (rows["k_id"] == own["s_id"]) & (rows["k_text"] == own["s_text"]), "left").select("doc_id", "data", F.col("spans").cast(SPANS))
+    rows = rows.join(own.hint("merge"), (rows["k_id"] == own["s_id"]) & (rows["k_text"] == own["s_text"]), "left").select("doc_id", "data", F.col("spans").cast(SPANS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text]
 
