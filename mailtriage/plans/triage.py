@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions import refdata as R
 from ..functions import text as T
-from ..operators import auth, correlate, identity, iocs, language, score
+from ..operators import auth, correlate, identity, iocs, language, score, thread
 from ..sources import messages as M
 from ..sources import mime
 
@@ -61,7 +61,9 @@ def analyze(messages: DataFrame, own_domains: tuple[str, ...] = (), phrases: lis
     """
     parsed = M.parse_headers(messages).where(M.is_message(F.col("headers")))
     rows = auth.authenticate(parsed)
-    rows = identity.with_findings(mime.parse_bodies(rows), own=own_domains)
+    rows = thread.with_thread(identity.with_findings(mime.parse_bodies(rows), own=own_domains)).drop("thread_text")
+    told = thread.thread_findings(F.col("headers"), F.col("quoted"), F.col("separators"), auth.sent_at(F.col("headers.date")))
+    rows = rows.withColumn("findings", F.concat("findings", told))
     form = F.col("html").rlike(r"""(?i)<input\b[^>]*type\s*=\s*["']?password""")
     rows = iocs.with_iocs(rows).withColumn("file_risks", file_risks()).withColumn("password_form", F.coalesce(form, F.lit(False)))
     points = language.language_points(language.category_scores(language.matches(rows.select("msg_id", F.col("body_text").alias("text")), phrases)))
@@ -81,7 +83,8 @@ def with_verdict(rows: DataFrame) -> DataFrame:
     business, blackmail, fee = strong("bec") >= 2, strong("extortion") >= 2, strong("advancefee") >= 3
     decisive = _has(files, "rtlo-name", "executable-content")
     points = score.total(F.col("auth_points"), F.col("ioc_points"), F.col("language_points"))
-    floor = F.when(decisive, R.TIER_HIGH).when(business | blackmail | fee | F.col("password_form"), R.TIER_SUSPICIOUS).otherwise(0)
+    fabricated = F.exists("findings", lambda f: (f["module"] == "thread") & (f["severity"] == "high"))
+    floor = F.when(decisive, R.TIER_HIGH).when(business | blackmail | fee | fabricated | F.col("password_form"), R.TIER_SUSPICIOUS).otherwise(0)
     ids = F.transform("findings", lambda f: f["id"])
     spoofed = (F.col("dmarc.status") == "fail") | F.coalesce(F.col("alignment.dmarc_aligned") == F.lit(False), F.lit(False))
     types = F.array_compact(F.array(
@@ -89,7 +92,7 @@ def with_verdict(rows: DataFrame) -> DataFrame:
         F.when(F.col("password_form") | ((strong("credential") >= 1) & ((F.size(urls) > 0) | (F.size(files) > 0))), F.lit("Credential phishing")),
         F.when(F.exists(files, lambda f: F.size(f["risks"]) > 0) | _has(urls, "direct-download"), F.lit("Malware delivery")),
         F.when(blackmail, F.lit("Extortion / sextortion")), F.when(fee, F.lit("Advance-fee scam")), F.when(strong("lure") >= 2, F.lit("Prize / reward scam")),
-        F.when(F.exists(ids, lambda i: i.rlike("lookalike|display-name|own-|mixed-script")), F.lit("Impersonation")), F.when(spoofed, F.lit("Sender spoofing")),
+        F.when(F.exists(ids, lambda i: i.rlike("lookalike|display-name|own-|mixed-script|thread-impersonation")), F.lit("Impersonation")), F.when(spoofed, F.lit("Sender spoofing")),
     ))
     rows = rows.withColumn("score", F.greatest(points, floor).cast("int"))
     return rows.withColumn("tier", score.tier(F.col("score"))).withColumn("attack_types", types)

@@ -60,6 +60,7 @@ def test_indicators(analyzed):
     assert url.value == "http://paypa1-verify.top/login" and url.mismatch
     assert [r.type for r in url.risks] == ["risky-tld", "brand-lookalike", "mismatch"]
     assert {f.id for f in fake.findings} == {"display-name-brand", "lookalike-confusable", "replyto-freemail"}
+    assert {f.id for f in analyzed[1]["twin"].findings} == {"display-name-brand", "lookalike-confusable", "replyto-freemail", "thread-fake-reply"}
     assert not analyzed[1]["clean"].findings and not analyzed[1]["clean"].iocs.urls[0].risks
 
 
