@@ -10,11 +10,16 @@ groups of two or more:
    there is one row per run of windows, about one for each 85 bytes. Runs whose gram occurs once
    hold no repeated window.
 2. Second digit: all bytes that the run's windows cover. Runs that agree in them are repeated whole.
-3. Last digit, through the full depth: for grams whose runs differ, the windows of one run of each
-   kind are dealt out by their whole content. These are the edges of repeated passages.
+3. Third digit: for grams whose runs differ, one run of each kind is cut at every STEP-th offset
+   from its anchor. The bytes that all windows of a piece share are the digit; pieces whose digit
+   occurs once go, and pieces that agree in all bytes they cover are repeated whole.
+4. Last digit, through the full depth: of the pieces that share a digit and still differ, one of
+   each kind has its windows dealt out by their whole content. These are the very edges of
+   repeated passages.
 
 Digits travel as hashes (64 bits for the first, a filter only; 128-bit digests of the bytes for the
-others). Counts are partially aggregated before each shuffle.
+others). Counts are partially aggregated before each shuffle. Joins
+are merge joins at every size, so that a small table runs the plan of a large one.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from .common import staged
 from .cutting import keyed, remove_spans
 from .words import _LETTER, _grown, mixed
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, STEP = 200, 32, 16
 
 
 def gram_hashes(data: bytes, gram: int) -> np.ndarray:
@@ -53,16 +58,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor's gram hash) of each run of windows that share an anchor."""
+def runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor's gram hash, anchor) of each run of windows that share an anchor."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), none
     h = gram_hashes(data, gram)
     high = np.uint64(32)
     anchor = sliding_min((h >> high << high) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
-    return first, last, h[anchor[first].astype(np.int64)]
+    at = anchor[first].astype(np.int64)
+    return first, last, h[at], at
 
 
 def _digests(pieces: Iterator[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -84,27 +91,53 @@ def first_digit(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def second_digit(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """g, d1, d2, k_id, k_text, first, last: the runs with the digest of the bytes they cover."""
+    """g, d1, d2, k_id, k_text, first, last, anchor: the runs with the digest of the bytes they cover."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k_id, k_text, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 text = data.as_buffer().to_pybytes()
-                first, last, g = runs(text, length, gram)
+                first, last, g, anchor = runs(text, length, gram)
                 if len(g):
                     n = len(g)
                     d1, d2 = _digests(text[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True))
-                    columns = [pa.array(g.view(np.int64)), d1, d2, pa.repeat(k_id, n), pa.repeat(k_text, n), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["g", "d1", "d2", "k_id", "k_text", "first", "last"])
+                    columns = [pa.array(g.view(np.int64)), d1, d2, pa.repeat(k_id, n), pa.repeat(k_text, n), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))]
+                    yield pa.RecordBatch.from_arrays(columns, ["g", "d1", "d2", "k_id", "k_text", "first", "last", "anchor"])
 
-    return keyed(docs).select("k_id", "k_text", "data").mapInArrow(scan, "g bigint, d1 bigint, d2 bigint, k_id bigint, k_text bigint, first int, last int")
+    return keyed(docs).select("k_id", "k_text", "data").mapInArrow(scan, "g bigint, d1 bigint, d2 bigint, k_id bigint, k_text bigint, first int, last int, anchor int")
 
 
-def last_digit(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """d1, d2, k_id, k_text, at: the windows of the runs (k_id, k_text, first, last), each with its digest."""
-    wanted = kinds.groupBy(F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+def _with_text(docs: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
+    """k_id, k_text, data, own: the documents of wanted, with their rows' fields as an array."""
+    own = wanted.groupBy(F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text")).agg(F.collect_list(F.struct(*fields)).alias("own"))
     rows = keyed(docs).select("k_id", "k_text", "data")
-    rows = rows.join(wanted, (rows["k_id"] == wanted["w_id"]) & (rows["k_text"] == wanted["w_text"])).select("k_id", "k_text", "data", "runs")
+    return rows.join(own.hint("merge"), (rows["k_id"] == own["w_id"]) & (rows["k_text"] == own["w_text"])).select("k_id", "k_text", "data", "own")
+
+
+def third_digit(docs: DataFrame, kinds: DataFrame, length: int, step: int) -> DataFrame:
+    """c1, c2, d1, d2, k_id, k_text, first, last: the pieces of the runs (first, last, anchor), with the
+    digests of the bytes that all their windows share and of all bytes they cover."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k_id, k_text, data, own in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                text, firsts, lasts, cores = data.as_buffer().to_pybytes(), [], [], []
+                for r in own:
+                    a = r["anchor"]
+                    for j in range((a - r["last"]) // step, (a - r["first"]) // step + 1):
+                        firsts.append(max(r["first"], a - step * j - step + 1))
+                        lasts.append(min(r["last"], a - step * j))
+                        cores.append(text[a - step * j : a - step * j - step + 1 + length])
+                n = len(firsts)
+                whole = _digests(text[x : y + length] for x, y in zip(firsts, lasts, strict=True))
+                columns = [*_digests(iter(cores)), *whole, pa.repeat(k_id, n), pa.repeat(k_text, n), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "d1", "d2", "k_id", "k_text", "first", "last"])
+
+    return _with_text(docs, kinds, "first", "last", "anchor").mapInArrow(scan, "c1 bigint, c2 bigint, d1 bigint, d2 bigint, k_id bigint, k_text bigint, first int, last int")
+
+
+def last_digit(docs: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
+    """d1, d2, k_id, k_text, at: the windows of the pieces (first, last), each with its digest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,26 +147,36 @@ def last_digit(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                 d1, d2 = _digests(text[a : a + length] for a in at.tolist())
                 yield pa.RecordBatch.from_arrays([d1, d2, pa.repeat(k_id, len(at)), pa.repeat(k_text, len(at)), pa.array(at)], ["d1", "d2", "k_id", "k_text", "at"])
 
-    return rows.mapInArrow(scan, "d1 bigint, d2 bigint, k_id bigint, k_text bigint, at int")
+    return _with_text(docs, pieces, "first", "last").mapInArrow(scan, "d1 bigint, d2 bigint, k_id bigint, k_text bigint, at int")
+
+
+def _in_two_places(rows: DataFrame, *keys: str, at: str) -> DataFrame:
+    """The keys that rows have at two different places (repeated rows give one place twice)."""
+    place = F.struct("k_id", "k_text", at)
+    return rows.groupBy(*keys).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select(*keys)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """k_id, k_text, spans: the byte ranges of each document covered by repeated windows; ranges may overlap."""
     grams = staged(first_digit(docs, length, gram).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
-    kept = staged(second_digit(docs, length, gram).join(grams, "g", "left_semi"), "runs")
+    kept = staged(second_digit(docs, length, gram).join(grams.hint("merge"), "g", "left_semi"), "runs")
 
-    one = F.min(F.struct("k_id", "k_text", "first", "last")).alias("one")
+    one = F.min(F.struct("k_id", "k_text", "first", "last", "anchor")).alias("one")
     kinds = staged(kept.groupBy("g", "d1", "d2").agg(F.count("*").alias("n"), one), "kinds")
-    whole = kept.join(kinds.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
-    whole = whole.select("k_id", "k_text", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-
-    mixed_grams = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
-    edge = kinds.join(mixed_grams, "g", "left_semi").select("one.*")
-    windows = staged(last_digit(docs, edge, length), "windows")
-    place = F.struct("k_id", "k_text", "at")  # repeated rows give a window twice, at one place
-    again = windows.groupBy("d1", "d2").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("d1", "d2")
-    single = windows.join(again, ["d1", "d2"], "left_semi").select("k_id", "k_text", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(single).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = kept.join(kinds.where("n > 1").select("d1", "d2").hint("merge"), ["d1", "d2"], "left_semi").select("k_id", "k_text", "first", "last")
+
+    several = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
+    pieces = staged(third_digit(docs, kinds.join(several.hint("merge"), "g", "left_semi").select("one.*"), length, step), "pieces")
+    alive = staged(pieces.join(_in_two_places(pieces, "c1", "c2", at="first").hint("merge"), ["c1", "c2"], "left_semi"), "alive")
+    same = alive.join(_in_two_places(alive, "d1", "d2", at="first").hint("merge"), ["d1", "d2"], "left_semi").select("k_id", "k_text", "first", "last")
+
+    parts = staged(alive.groupBy("c1", "c2", "d1", "d2").agg(F.min(F.struct("k_id", "k_text", "first", "last")).alias("one")), "parts")
+    several = parts.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("c1", "c2")
+    windows = staged(last_digit(docs, parts.join(several.hint("merge"), ["c1", "c2"], "left_semi").select("one.*"), length), "windows")
+    single = windows.join(_in_two_places(windows, "d1", "d2", at="at").hint("merge"), ["d1", "d2"], "left_semi").select("k_id", "k_text", F.col("at").alias("first"), F.col("at").alias("last"))
+
+    spans = F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans")
+    return whole.unionByName(same).unionByName(single).groupBy("k_id", "k_text").agg(spans)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:

@@ -39,8 +39,10 @@ def test_suffix_dedup_small_windows(spark):
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = {(i, *w) for i, w in enumerate(brute_windows([t.encode() for t in texts], 12))}
-    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs, 12, 4).collect()}
-    assert got == want
+    for step in (1, 5):
+        spans = suffix_dedup.repeated_spans(docs, 12, 4, step)
+        got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_spans(docs, spans).collect()}
+        assert got == want
 
 
 def test_sliding_min():
