@@ -80,7 +80,61 @@ QUERIES = {
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _quoted(value: str) -> str:
+    return f"replace(replace({value}, '<\\', '<\\\\'), '<|', '<\\|')"
+
+
+_CHAT = f"""
+    with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, {_quoted("coalesce(text, '')")} as body,
+                      {_quoted("regexp_replace(coalesce(role, 'unknown'), '[|' || chr(10) || ']', ' ', 'g')")} as name from conversations),
+         p as (select distinct conv_id as of_conv, speaker as assistant from t where speaker <> 'system'),
+         s as (select conv_id, assistant, turn, speaker, body,
+                      case when speaker = 'system' then '<|system|>' when speaker = assistant then '<|assistant|>' else '<|user name=' || name || '|>' end || chr(10) as head
+               from t join p on conv_id is not distinct from of_conv),
+         g as (select *, head || body || '<|end|>' || chr(10) as segment from s),
+         w as (select *, coalesce(sum(length(segment)) over (partition by conv_id, assistant order by turn nulls first, speaker, segment rows between unbounded preceding and 1 preceding), 0)::bigint as start from g)
+    select conv_id, assistant, turn, speaker, segment, start, start + length(segment) as "end",
+        case when speaker = assistant then start + length(head) end as learn_from, case when speaker = assistant then start + length(segment) end as learn_to
+    from w"""
+
+_JACCARD = f"""
+    with recursive w as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as words from documents),
+         s as (select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+                      else list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) end as shingles from w),
+         n as (select doc_id, len(shingles) as n_shingles from s),
+         u as (select doc_id, unnest(shingles) as shingle from s),
+         pairs as (select x.doc_id as a, y.doc_id as b, count(*) as c from u x join u y on x.shingle = y.shingle and x.doc_id < y.doc_id group by 1, 2),
+         links as (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n_shingles + nb.n_shingles - c)),
+         both_ways as (select a, b from links union all select b, a from links),
+         reach as (select doc_id, doc_id as other from n union select reach.doc_id, b from reach join both_ways on other = a)
+    select n.doc_id, n_shingles, min(other) as component_id from n join reach using (doc_id) group by 1, 2"""
+
+
+def _spans(number: int, pattern: str, group: int, least: int) -> str:
+    """A list of (start, rule, end): running sums over the pieces between matches and the matches."""
+    p = pattern.replace("'", "''")
+    pieces, found, values = f"string_split_regex(t, '{p}')", f"regexp_extract_all(t, '{p}')", f"regexp_extract_all(t, '{p}', {group})"
+    before = f"(list_sum(list_transform({pieces}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: length(x))), 0))::bigint"
+    all_of = f"list_transform(range(1, len({found}) + 1), lambda i: {{'s': {before}, 'n': {number}, 'e': {before} + length({found}[i]), 'v': length({values}[i])}})"
+    return f"list_filter({all_of}, lambda x: x.v >= {least})"
+
+
+def _secrets() -> str:
+    parts = [_spans(n, r.pattern, r.group, r.least) for n, r in enumerate(secrets.RULES)]
+    names = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    return f"""
+    with d as (select doc_id, coalesce(text, '') as t from documents),
+         a as (select doc_id, {parts[0]} as a0, {parts[1]} as a1, {parts[2]} as a2 from d),
+         j as (select doc_id, len(a0) as n_assign, len(a1) as n_access, len(a2) as n_hex,
+                      coalesce(array_to_string(list_transform(list_sort(list_concat(a0, a1, a2)), lambda x: {names}[x.n + 1] || ':' || x.s || ':' || x.e), ','), '') as spans from a)
+    select doc_id, n_assign, n_access, n_hex, sha256(spans) as base_sha256, spans from j"""
+
+
 ORACLE_SQL = {
+    "op2_secret_scan": _secrets(),
+    "op7_chat_format": _CHAT,
+    "op9_jaccard_join": _JACCARD,
     "op10_exact_dedup": f"""
         with d as (select doc_id, sha256({_LOWERED}) as text_sha256 from documents),
              g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by text_sha256)
