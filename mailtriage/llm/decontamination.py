@@ -28,22 +28,55 @@ from .words import shingle_hashes, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS, BLOCKS = 64, 15, 4
 BLOCK_BYTES = 16 << 20
-#: Positions whose running sums are held at a time; sums of so many steps of 1 mostly fit 16 bits.
-STRETCH = 8192
+#: Positions that are scanned at a time, and the longest windows that are counted step by step.
+STRETCH, STEPWISE = 8192, 256
 
 
-def running(shingles: np.ndarray) -> np.ndarray:
-    """Running sums, one column for each bit: 1 for a set bit of a shingle's hash, else -1."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-    kind = np.int16 if len(shingles) < 1 << 15 else np.int64
-    sums = np.zeros((len(shingles) + 1, BITS), kind)
-    np.cumsum(2 * bits - 1, axis=0, dtype=kind, out=sums[1:])
-    return sums
+def fingerprint(shingles: np.ndarray) -> np.uint64:
+    """The SimHash of shingles: a bit is set if more of them have it than don't."""
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+    return np.packbits(2 * bits > len(shingles)).view(np.uint64)[0]
 
 
-def fingerprints(sums: np.ndarray, m: int) -> np.ndarray:
-    """SimHash of each m shingles in a row; a bit is set if more shingles have it than don't."""
-    return np.packbits(sums[m:] > sums[:-m], axis=1).view(np.uint64).ravel()
+def window_fingerprints(shingles: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(m, SimHash of the window of m shingles that starts at each of the first positions), for m of
+    lengths in order. The array ends with as many zeros as the longest window has shingles.
+
+    All 64 bits are counted at once in vertical counters: planes[p] holds bit p of each position's
+    64 counts, and a window grows by one shingle by adding one bit to them.
+    """
+    n = len(shingles) - lengths[-1]
+    planes: list[np.ndarray] = []
+    wanted = set(lengths)
+    carry, spare, above, equal = (np.empty(n, np.uint64) for _ in range(4))
+    for m in range(1, lengths[-1] + 1):
+        if m.bit_length() > len(planes):
+            planes.append(np.zeros(n, np.uint64))
+        np.copyto(carry, shingles[m - 1 : m - 1 + n])
+        for plane in planes:
+            np.bitwise_and(plane, carry, out=spare)
+            np.bitwise_xor(plane, carry, out=plane)
+            carry, spare = spare, carry
+        if m in wanted:
+            least = m // 2 + 1
+            above.fill(0)
+            equal.fill(np.iinfo(np.uint64).max)
+            for p in range(len(planes) - 1, -1, -1):
+                if least >> p & 1:
+                    np.bitwise_and(equal, planes[p], out=equal)
+                else:
+                    np.bitwise_and(equal, planes[p], out=spare)
+                    np.bitwise_or(above, spare, out=above)
+            yield m, above | equal
+
+
+def long_fingerprints(shingles: np.ndarray, m: int) -> np.ndarray:
+    """The same for one long window length, by running sums."""
+    n = len(shingles) - m
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((len(shingles) + 1, BITS), np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
+    return np.packbits(2 * (sums[m : m + n] - sums[:n]) > m, axis=1).view(np.uint64).ravel()
 
 
 def neighbours(value: int, width: int, errors: int) -> list[int]:
@@ -56,7 +89,9 @@ def neighbours(value: int, width: int, errors: int) -> list[int]:
 
 
 class Index:
-    """The items of a benchmark block by length: tables for each Hamming block, and what verifying needs."""
+    """The items of a benchmark block by window length: tables for each Hamming block, and what
+    verifying needs. A length is a number of shingles; items of fewer words than a shingle are one
+    shingle of all their words, and have the lengths -1, -2 and so on, their number of words."""
 
     def __init__(self, items: list[tuple[object, str]], radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE, similarity: float = SIMILARITY):
         self.radius, self.blocks, self.similarity, self.shingle = radius, blocks, similarity, shingle
@@ -66,9 +101,10 @@ class Index:
         for item, text in items:
             words = word_hashes(text.encode())
             if len(words):
-                lengths.setdefault(len(words), []).append((item, shingle_hashes(words, shingle)))
-        for length, own in lengths.items():
-            prints = np.array([fingerprints(running(s), len(s))[0] for _, s in own], np.uint64)
+                own = shingle_hashes(words, shingle)
+                lengths.setdefault(len(own) if len(words) >= shingle else -len(words), []).append((item, own))
+        for length, own in sorted(lengths.items()):
+            prints = np.array([fingerprint(s) for _, s in own], np.uint64)
             tables = np.zeros((blocks, 1 << self.width), bool)
             for f in prints.tolist():
                 for b in range(blocks):
@@ -78,47 +114,65 @@ class Index:
     def near(self, prints: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
         """(window, item) with fingerprints within the radius."""
         _, items, _, tables = self.by_length[length]
-        mask = np.uint64((1 << self.width) - 1)
-        passed = np.zeros(len(prints), bool)
-        for b in range(self.blocks):
-            passed |= tables[b][(prints >> np.uint64(b * self.width)) & mask]
+        values = np.ascontiguousarray(prints.view(f"u{self.width // 8}").reshape(-1, self.blocks).T).astype(np.intp)
+        passed = tables[0].take(values[0], mode="clip")
+        for b in range(1, self.blocks):
+            passed |= tables[b].take(values[b], mode="clip")
         at = np.flatnonzero(passed)
         if len(at):
+            own = prints[at]
             for j, f in enumerate(items):
-                for i in at[np.bitwise_count(prints[at] ^ f) <= self.radius]:
+                for i in at[np.bitwise_count(own ^ f) <= self.radius]:
                     yield int(i), j
 
-    def matches(self, text: str) -> list[tuple[object, float, int]]:
-        """(item, similarity, first word of the window) of the best window of each item found in a text."""
-        words = word_hashes(text.encode())
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        five = shingle_hashes(words, self.shingle)
-        for base in range(0, max(1, len(five)), STRETCH):
-            sums = None
-            for length, (_, _, bags, _) in self.by_length.items():
-                own = min(self.shingle, length)
-                if own < self.shingle and len(words) > own:  # items of few words: one shingle of all of them
-                    shingles, m = shingle_hashes(words, own)[base : base + STRETCH], 1
-                    prints = fingerprints(running(shingles), m) if len(shingles) else ()
-                else:
-                    m = length - own + 1
-                    if len(five) < m and (base or len(five) < self.similarity * m):
-                        continue
-                    m = min(m, len(five))
-                    shingles = five[base : base + STRETCH + m - 1]
-                    if len(shingles) < m:
-                        continue
-                    if sums is None:
-                        longest = max(n - min(self.shingle, n) + 1 for n in self.by_length)
-                        sums = running(five[base : base + STRETCH + longest - 1])
-                    prints = fingerprints(sums[: len(shingles) + 1], m)
-                for i, j in self.near(prints, length) if len(prints) else ():
-                    bag = Counter(shingles[i : i + m].tolist())
-                    same = sum(min(n, bags[j].get(s, 0)) for s, n in bag.items())
-                    alike = same / (bag.total() + bags[j].total() - same)
-                    if alike >= self.similarity and alike > best.get((length, j), (0.0, 0))[0]:
-                        best[length, j] = (alike, base + i)
-        return [(self.by_length[n][0][j], s, at) for (n, j), (s, at) in best.items()]
+    def matches(self, texts: list[str]) -> list[tuple[int, object, float, int]]:
+        """(text, item, similarity, first word of the window) of the best window of each item in
+        each text. Texts are scanned end to end; windows that cross an end don't count."""
+        words = [word_hashes(t.encode()) for t in texts]
+        parts = [shingle_hashes(w, self.shingle) for w in words]
+        ends = np.cumsum([len(p) for p in parts])
+        best: dict[tuple[int, int, int], tuple[float, int]] = {}
+
+        def verify(text: int, length: int, j: int, shingles: np.ndarray, first: int) -> None:
+            bag, other = Counter(shingles.tolist()), self.by_length[length][2][j]
+            same = sum(min(n, other.get(s, 0)) for s, n in bag.items())
+            alike = same / (bag.total() + other.total() - same)
+            if alike >= self.similarity and (alike, -first) > best.get((text, length, j), (0.0, 0)):
+                best[text, length, j] = (alike, -first)
+
+        positive = [n for n in self.by_length if n > 0]
+        for t, p in enumerate(parts):  # texts shorter than an item are compared whole
+            for m in positive if len(p) and positive and len(p) < positive[-1] else ():
+                if len(p) < m and len(p) >= self.similarity * m:
+                    for _, j in self.near(np.array([fingerprint(p)]), m):
+                        verify(t, m, j, p, 0)
+        for length in self.by_length:
+            if length < 0:
+                for t, w in enumerate(words):
+                    few = shingle_hashes(w, -length) if len(w) >= -length else w[:0]
+                    for i, j in self.near(few, length) if len(few) else ():
+                        verify(t, length, j, few[i : i + 1], i)
+        whole = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        short, long = [m for m in positive if m <= STEPWISE], [m for m in positive if m > STEPWISE]
+
+        def scan(base: int, m: int, prints: np.ndarray) -> None:
+            for i, j in self.near(prints, m):
+                at = base + i
+                text = int(np.searchsorted(ends, at, side="right"))
+                if at + m <= ends[text]:
+                    verify(text, m, j, whole[at : at + m], at - int(ends[text] - len(parts[text])))
+
+        for base in range(0, len(whole), STRETCH) if short else ():
+            some = whole[base : base + STRETCH + short[-1]]
+            missing = min(STRETCH, len(whole) - base) + short[-1] - len(some)
+            for m, prints in window_fingerprints(np.concatenate((some, np.zeros(missing, np.uint64))), short):
+                scan(base, m, prints)
+        for m in long:
+            for base in range(0, len(whole) - m + 1, STRETCH):
+                some = whole[base : base + STRETCH + m]
+                missing = min(STRETCH, len(whole) - base) + m - len(some)
+                scan(base, m, long_fingerprints(np.concatenate((some, np.zeros(missing, np.uint64))), m))
+        return [(t, self.by_length[n][0][j], s, -at) for (t, n, j), (s, at) in best.items()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,15 +198,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADI
         index = spark.sparkContext.broadcast(Index(own, radius, blocks, SHINGLE, similarity))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, hits = [], []
-                for i, text in enumerate(batch.column(1)):
-                    for hit in index.value.matches(text.as_py()):
-                        at.append(i)
-                        hits.append(hit)
-                if at:
-                    ids = [h[0] for h in hits]
-                    columns = [batch.column(0).take(pa.array(at)), pa.array(ids, item_arrow), pa.array([h[1] for h in hits], pa.float64()), pa.array([h[2] for h in hits], pa.int64())]
+            for whole in batches:
+                for part in range(0, whole.num_rows, 256):
+                    batch = whole.slice(part, 256)
+                    hits = index.value.matches(batch.column(1).to_pylist())
+                    if not hits:
+                        continue
+                    at, ids, alike, first = zip(*hits, strict=True)
+                    columns = [batch.column(0).take(pa.array(at)), pa.array(ids, item_arrow), pa.array(alike, pa.float64()), pa.array(first, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "first_word"])
 
         part = rows.mapInArrow(scan, f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, similarity double, first_word bigint")
