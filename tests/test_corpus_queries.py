@@ -6,11 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from mailtriage.plans import corpus_queries as q
+from mailtriage.plans import corpus_queries, mail_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+QUERIES = corpus_queries.QUERIES | mail_queries.QUERIES
+ORACLE_SQL = corpus_queries.ORACLE_SQL | mail_queries.ORACLE_SQL
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the corpus tables")
 
 
@@ -22,11 +25,11 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, db, name):
-    df = q.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = db.sql(q.ORACLE_SQL[name])
+    want = db.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
