@@ -13,10 +13,12 @@ at most, so of any k+1 groups of shingles one at least is the same in both. k+1
 size class; documents of neighbouring classes meet in the upper one.
 
     cells     (cell, set) rows; partial aggregation finds cells with two different sets or more
-    star      in each such cell every set is compared with the cell's least one
-    rest      cells that still hold sets of different components: these are split in leaves of
-              LEAF points, an R-tree is packed over each pair of leaves, and the pairs of different
-              components that its bounds let through are verified
+    star      every set is compared with the least set that it shares a cell with
+    stars     ROUNDS times more, in cells that still hold different components, with a leading set
+              drawn anew for each cell: one pair for each set, of different components
+    rest      cells that hold different components even then are split in leaves of LEAF points,
+              an R-tree is packed over each pair of leaves, and all pairs of different components
+              that its bounds let through are verified, so that no link is lost
 
 Only components are asked for, so a pair inside one component is never needed; no step emits all
 pairs of a group of near copies, and equal sets are one set throughout.
@@ -37,7 +39,7 @@ from .components import components
 from .cutting import keyed
 from .words import mixed, shingle_hashes, word_hashes
 
-DIMENSIONS, LEAF, NODE = 32, 256, 16
+DIMENSIONS, LEAF, NODE, CELLS, ROUNDS = 256, 256, 16, 64, 3
 
 
 class Threshold:
@@ -81,7 +83,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype(np.uint32)
+    return np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS).astype(np.uint32)
 
 
 def cells_of(shingles: np.ndarray, limit: Threshold) -> np.ndarray:
@@ -155,7 +157,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 
     left = classes.select(F.col("sid").alias("a"), F.col("point").alias("p"))
     right = classes.select(F.col("sid").alias("b"), F.col("point").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(keep, "a bigint, b bigint")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "p", "q").mapInArrow(keep, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -178,11 +180,11 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     rows = keyed(docs).select("k_id", "k_text", "data")
-    rows = rows.join(wanted, (rows["k_id"] == wanted["w_id"]) & (rows["k_text"] == wanted["w_text"])).select("sid", "data")
+    rows = rows.join(wanted.hint("merge"), (rows["k_id"] == wanted["w_id"]) & (rows["k_text"] == wanted["w_text"])).select("sid", "data")
     own = staged(rows.mapInArrow(content, "sid bigint, content binary").dropDuplicates(["sid"]), "contents")
     left = own.select(F.col("sid").alias("a"), F.col("content").alias("x"))
     right = own.select(F.col("sid").alias("b"), F.col("content").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, label: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +200,8 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, label: n
         near = np.flatnonzero(np.minimum(corner[i], corner[i:]).sum(axis=1) >= limit.needed(least[i] + least[i:])) + i
         for j in near.tolist():
             b = order[starts[j] : starts[j] + NODE]
-            bound = np.minimum(points[a][:, None], points[b][None]).sum(axis=2) >= limit.needed(sizes[a][:, None] + sizes[b][None])
+            most = np.minimum(points[a][:, None], points[b][None]).sum(axis=2)
+            bound = most >= limit.needed(sizes[a][:, None] + sizes[b][None])
             bound &= label[a][:, None] != label[b][None]
             bound &= (side[a][:, None] != side[b][None]) | (side[a][:, None] == 2)
             if i == j:
@@ -206,35 +209,61 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, label: n
             x, y = np.nonzero(bound)
             out_a.append(a[x])
             out_b.append(b[y])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
+    if not out_a:
+        return (np.zeros(0, np.int64),) * 2
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def rest(members: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = members.join(labels, members["sid"] == labels["node"], "left")
+    return staged(rows.select("cell", "sid", "untested", F.coalesce("label", "sid").alias("label")), "labelled")
+
+
+def star_pairs(marked: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) for each set at most: with the leading set of a cell, of another component.
+    Each turn draws other leaders."""
+    draw = F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "label")
+    leads = marked.groupBy("cell").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(draw).alias("d")).where("l <> h")
+    leads = leads.select("cell", F.col("d.sid").alias("lead"), F.col("d.label").alias("lead_label"))
+    met = marked.join(leads.hint("merge"), "cell").where("label <> lead_label")
+    pairs = met.groupBy("sid").agg(F.min(F.struct(F.xxhash64("lead", F.lit(turn)), "lead")).alias("m"))
+    return pairs.select(F.least("sid", "m.lead").alias("a"), F.greatest("sid", "m.lead").alias("b")).distinct()
+
+
+def rest(marked: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) from the cells whose sets are of different components and were not all compared."""
-    labelled = members.join(labels, members["sid"] == labels["node"], "left").select("cell", "sid", F.coalesce("label", "sid").alias("label"))
-    labelled = staged(labelled, "labelled")
     spread = F.sum(F.xxhash64("sid").cast("decimal(38,0)"))
-    open_cells = labelled.groupBy("cell").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), spread.alias("content")).where("l <> h and m > 2")
+    counts = [F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), F.count_if("untested").alias("u"), spread.alias("content")]
+    # The only pair of a cell of two sets may be one that the star has compared.
+    open_cells = marked.groupBy("cell").agg(*counts).where("l <> h and (m > 2 or u > 0)")
     # Cells of the same sets say the same: one of them stays.
     open_cells = open_cells.groupBy("m", "content").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("m") / LEAF).cast("int").alias("leaves"))
-    rows = labelled.join(open_cells, "cell").join(classes.select("sid", "n", "point"), "sid")
+    open_cells = staged(open_cells, "open")
+    # Cells of one leaf are handled many at a time.
+    batches = max(1, open_cells.count() // CELLS)
+    rows = marked.join(open_cells.hint("merge"), "cell").join(classes.select("sid", "n", "point").hint("merge"), "sid")
     rows = rows.withColumn("leaf", F.pmod(F.xxhash64("sid"), F.col("leaves")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    rows = rows.select("cell", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "sid", "label", "n", "point")
+    batch = F.when(F.col("leaves") == 1, F.pmod(F.xxhash64("cell"), F.lit(batches))).otherwise(F.col("cell"))
+    rows = rows.select(batch.alias("batch"), (F.col("leaves") == 1).alias("small"), "cell", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "sid", "label", "n", "point")
     limit = Threshold(num, den)
 
     def join(group: pa.Table) -> pa.Table:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if group.num_rows:
-            points = np.frombuffer(b"".join(x.as_py() for x in group["point"]), np.uint32).reshape(-1, DIMENSIONS).astype(np.int64)
-            sid, label, leaf = (group[c].to_numpy() for c in ("sid", "label", "leaf"))
-            side = np.full(len(leaf), 2) if group["i"][0] == group["j"][0] else (leaf == group["j"][0].as_py()).astype(np.int64)
-            a, b = tree_pairs(points, group["n"].to_numpy(), side, label, limit)
-            a, b = sid[a], sid[b]
-        else:
-            a = b = np.zeros(0, np.int64)
+            points = np.frombuffer(b"".join(x.as_py() for x in group["point"]), np.uint32).reshape(-1, DIMENSIONS).astype(np.int32)
+            cell, sid, label, leaf, sizes = (group[c].to_numpy() for c in ("cell", "sid", "label", "leaf", "n"))
+            same = group["i"][0] == group["j"][0]
+            side = np.full(len(leaf), 2) if same else (leaf == group["j"][0].as_py()).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                a, b = tree_pairs(points[own], sizes[own], side[own], label[own], limit)
+                out_a.append(sid[own][a])
+                out_b.append(sid[own][b])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.groupBy("cell", "i", "j").applyInArrow(join, "a bigint, b bigint").distinct()
+    return rows.groupBy("batch", "small", "i", "j").applyInArrow(join, "a bigint, b bigint").distinct()
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -244,16 +273,22 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     classes = staged(classes, "classes")
     dealt = cells(docs, k, num, den)
     shared = dealt.groupBy("cell").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("cell", F.col("low").alias("lead"))
-    members = staged(dealt.join(staged(shared, "cells"), "cell").distinct(), "members")
-
-    star = members.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    first = staged(verified(star, docs, classes, k, num, den), "links")
-    labels = components(first)
-    more = rest(members, labels, classes, num, den)
-    second = staged(verified(more, docs, classes, k, num, den), "links")
-    if second.isEmpty():
-        return made, labels
-    return made, components(second.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    members = staged(dealt.join(staged(shared, "cells").hint("merge"), "cell").distinct(), "members")
+
+    star = staged(members.where("sid <> lead").groupBy("sid").agg(F.min("lead").alias("a")).select("a", F.col("sid").alias("b")), "star")
+    least = star.select(F.col("b").alias("of"), F.col("a").alias("least")).hint("merge")
+    untested = (F.col("sid") != F.col("lead")) & (F.col("lead") != F.col("least"))
+    members = members.join(least, members["sid"] == least["of"], "left").select("cell", "sid", F.coalesce(untested, F.lit(False)).alias("untested"))
+    members = staged(members, "members")
+    links = staged(verified(star, docs, classes, k, num, den), "links")
+    labels = components(links)
+    for turn in range(ROUNDS + 1):
+        marked = labelled(members, labels)
+        pairs = star_pairs(marked, turn) if turn < ROUNDS else rest(marked, classes, num, den)
+        more = staged(verified(pairs, docs, classes, k, num, den), "links")
+        if not more.isEmpty():
+            labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    return made, labels
 
 
 def similar_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
