@@ -38,7 +38,8 @@ def members(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     hashed = staged(hashed.select("rid", "doc_id", F.unhex("full").alias("full")), "hashed")
 
     groups = hashed.groupBy("full").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("top")).where("group_size > 1")
-    found = hashed.join(groups, "full").select("rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"))
+    # As a table of its own, so that the join deals rows out anew and a large group may be split.
+    found = hashed.join(staged(groups, "groups").hint("merge"), "full").select("rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"))
     return staged(found, "members")
 
 
