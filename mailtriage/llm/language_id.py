@@ -193,7 +193,7 @@ def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     rows = rows.select("lang", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("draw"), "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row for each language
     # Twice the share that would do, of hashes spread evenly from 0 to 1.
     near = rows.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 20)) <= (1 << 20) * (2.0 * most + 32) / F.col("n"))
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
