@@ -7,12 +7,18 @@ values that lie that near to an item's value: no fingerprint within the radius i
 a table lets through are compared in full, and the windows within the radius are verified by exact
 weighted Jaccard similarity of their shingles (sum of minima of counts over sum of maxima).
 
+The radius alone would lose some windows whose similarity is little above the least one. Those are
+found by shared shingles: a window that is similar enough holds at least one of an item's rarest
+shingles, if so many of them are taken that the others could not reach the similarity. Positions
+with such a shingle lead to the windows around them, which are counted exactly. So no match is missed.
+
 The benchmark is the stated query set: it meets all documents in blocks of bounded size, each sent
 to the executors. Documents are not shuffled at all.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +36,8 @@ BITS, RADIUS, BLOCKS = 64, 15, 4
 BLOCK_BYTES = 16 << 20
 #: Positions that are scanned at a time, and the longest windows that are counted step by step.
 STRETCH, STEPWISE = 8192, 256
+#: Least bits of the table that sorts out positions without an item's rare shingle.
+SIEVE = 20
 
 
 def fingerprint(shingles: np.ndarray) -> np.uint64:
@@ -110,6 +118,57 @@ class Index:
                 for b in range(blocks):
                     tables[b, neighbours(f >> (b * self.width) & ((1 << self.width) - 1), self.width, radius // blocks)] = True
             self.by_length[length] = ([i for i, _ in own], prints, [Counter(s.tolist()) for _, s in own], tables)
+        self._index_rare()
+
+    def _index_rare(self) -> None:
+        """Lists each item under its rarest shingles, so many that any text or window without them
+        has too little in common with the item."""
+        bags = [(length, j, bag) for length, (_, _, bags, _) in self.by_length.items() if length > 0 for j, bag in enumerate(bags)]
+        spread = Counter(s for _, _, bag in bags for s in bag)
+        self.rare: dict[int, list[tuple[int, int]]] = {}
+        self.shingles: dict[tuple[int, int], np.ndarray] = {}
+        for length, j, bag in bags:
+            self.shingles[length, j] = np.array(sorted(bag), np.uint64)
+            spare = length - self._needed(length, self.similarity * length)
+            for s in sorted(bag, key=lambda s: (spread[s], s)):
+                if spare < 0:
+                    break
+                self.rare.setdefault(s, []).append((length, j))
+                spare -= bag[s]
+        size = 1 << max(SIEVE, len(self.rare).bit_length() + 4)
+        self.mask, self.sieve = np.uint64(size - 1), np.zeros(size, bool)
+        self.sieve[np.array(list(self.rare), np.uint64) & self.mask] = True
+
+    def _needed(self, length: int, size: float) -> int:
+        """The least number of shingles that size of them have in common with a similar item's length."""
+        return math.ceil(self.similarity * (length + size) / (1 + self.similarity) - 1e-6)
+
+    def sharing(self, own: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(length, item, first position) of the windows of a text's shingles that may match an item
+        by the number of its shingles in them; at are positions that the sieve lets through. A text
+        shorter than an item is one window."""
+        near: dict[tuple[int, int], list[int]] = {}
+        for i in at.tolist():
+            for key in self.rare.get(int(own[i]), ()):
+                near.setdefault(key, []).append(i)
+        for (length, j), places in near.items():
+            size = min(length, len(own))
+            needed = self._needed(length, size)
+            if needed > size:
+                continue
+            known, done = self.shingles[length, j], 0
+            while places:  # stretches of windows that hold one of the positions
+                lo = max(done, places[0] - size + 1)
+                hi, k = min(places[0], len(own) - size), 1
+                while k < len(places) and places[k] - size <= hi:
+                    hi, k = min(places[k], len(own) - size), k + 1
+                places, done = places[k:], hi + 1
+                if lo <= hi:
+                    part = own[lo : hi + size]
+                    held = known.take(np.searchsorted(known, part), mode="clip") == part
+                    total = np.concatenate(([0], np.cumsum(held)))
+                    for i in np.flatnonzero(total[size:] - total[:-size] >= needed).tolist():
+                        yield length, j, lo + i
 
     def near(self, prints: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
         """(window, item) with fingerprints within the radius."""
@@ -153,6 +212,11 @@ class Index:
                     for i, j in self.near(few, length) if len(few) else ():
                         verify(t, length, j, few[i : i + 1], i)
         whole = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        passed = np.flatnonzero(self.sieve.take((whole & self.mask).astype(np.intp)))
+        for t in np.unique(np.searchsorted(ends, passed, side="right")).tolist():
+            start = int(ends[t]) - len(parts[t])
+            for m, j, i in self.sharing(parts[t], passed[np.searchsorted(passed, start) : np.searchsorted(passed, ends[t])] - start):
+                verify(t, m, j, parts[t][i : i + m], i)
         short, long = [m for m in positive if m <= STEPWISE], [m for m in positive if m > STEPWISE]
 
         def scan(base: int, m: int, prints: np.ndarray) -> None:

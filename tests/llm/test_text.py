@@ -136,6 +136,36 @@ def test_decontamination(spark, odd, none):
     assert decontamination.find_contamination(odd, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
+def test_decontamination_near_the_threshold():
+    """Items with an edited word or a cut end, just above the least similarity; none is lost."""
+    import random
+
+    rng = random.Random(12)
+    items, texts = [], []
+    for i in range(400):
+        item = prose(rng, rng.randint(16, 59)).split(" ")
+        if i % 10 == 0:
+            item = (item[:6] * 12)[: len(item)]
+        items.append((i, " ".join(item)))
+        m = len(item) - 4
+        gone = m - -(-8 * 2 * m // 18)  # so many shingles may differ
+        if gone >= 5 and i % 2:
+            item[rng.randrange(5, len(item) - 5)] = "edited"
+            gone -= 5
+        item = item[min(gone, 4) :]
+        texts.append(" ".join([prose(rng, 80), *item, prose(rng, 80)]) if i % 3 else " ".join(item))
+    got = {(texts[t], item): s for t, item, s, _ in decontamination.Index(items).matches(texts)}
+    want = {(texts[i], i): s for i, item in items for s in brute_contamination([(i, texts[i])], [(i, item)]).values()}
+    assert sum(s < 0.85 for s in want.values()) > 200
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    edited = [prose(rng, rng.choice((49, 54))).split(" ") for _ in range(800)]
+    changed = [" ".join([*w[: len(w) // 2], "edited", *w[len(w) // 2 + 1 :]]) for w in edited]
+    found = decontamination.Index(list(enumerate(map(" ".join, edited)))).matches(changed)
+    assert {(t, i) for t, i, *_ in found} == {(i, i) for i in range(800)}
+    alone = decontamination.Index(items, radius=3)  # what fingerprints miss, shared shingles find
+    assert {(texts[t], item): s for t, item, s, _ in alone.matches(texts)} == got
+
+
 def test_window_fingerprints():
     import numpy as np
 
