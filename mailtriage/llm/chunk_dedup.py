@@ -1,11 +1,12 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has its top CUT_BITS bits
-clear, LEAST bytes after the last cut at the earliest and MOST at the latest. Cuts depend on the
-bytes around them alone, so an insertion shifts no cut beyond its neighbourhood. Chunks are
-deduplicated by a 128-bit digest: the first one in the order of (doc_id, text hash, place) stays,
-later ones go. A chunk by itself is short and may repeat by chance; a run of adjacent chunks goes
-only if all of them are repeats and the run has LEAST_RUN bytes at least.
+A text's UTF-8 bytes are cut where the gear hash of the last WINDOW bytes is the least one within
+REACH bytes on either side, and MOST bytes after the last cut at the latest. Whether a place is a
+cut depends on the bytes around it alone, so copies of a passage fall into step REACH + WINDOW
+bytes after its start, whatever surrounds them. Chunks are deduplicated by a 128-bit digest: the
+first one in the order of (doc_id, text hash, place) stays, later ones go. Chunks are longer than
+REACH, but for what a forced cut leaves and for documents that are shorter; runs of repeated
+chunks no longer than that go only if they are a whole document.
 
 Chunks travel as (digest, document key, place, length), never with text. Counts per digest are
 partially aggregated before the shuffle, and the join back is a plain equi-join that adaptive
@@ -24,36 +25,43 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .cutting import keyed, remove_spans
+from .suffix_dedup import sliding_min
 
-LEAST, MOST, CUT_BITS, LEAST_RUN = 24, 512, 5, 128
-WINDOW = 32
+REACH, MOST = 22, 512
+WINDOW = 8
 _GEAR = np.random.Generator(np.random.PCG64(7041776)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash (h = 2h + G[byte], 32 bits) after each byte; it forgets all but 32 bytes."""
+def gear(data: np.ndarray, window: int = 32) -> np.ndarray:
+    """The gear hash (h = 2h + G[byte], 32 bits) after each byte, of the last bytes (a power of
+    two of them); with 32 it is the endless hash, which forgets the others by itself."""
     h = _GEAR[data]
     step = 1
-    while step < WINDOW:
+    while step < window:
         h[step:] += h[:-step] << np.uint32(step)
         step *= 2
     return h
 
 
-def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = CUT_BITS) -> list[int]:
+def cuts(data: bytes, reach: int = REACH, most: int = MOST) -> list[int]:
     """The ends of the chunks of data."""
     n = len(data)
     if not n:
         return []
-    marks = np.flatnonzero(gear(np.frombuffer(data, np.uint8)) >> np.uint32(32 - bits) == 0) + 1
+    marks = np.zeros(0, np.int64)
+    if n > 2 * reach:
+        h = gear(np.frombuffer(data, np.uint8), WINDOW)
+        least = sliding_min(h, reach)
+        own = h[reach : n - reach]
+        # Of equal hashes the first counts; one that has its equal before it is no cut.
+        marks = np.flatnonzero((own < least[: n - 2 * reach]) & (own <= least[reach + 1 :])) + reach + 1
     ends, last = [], 0
     for m in marks.tolist():
         while m - last > most:
             last += most
             ends.append(last)
-        if m - last >= least:
-            ends.append(m)
-            last = m
+        ends.append(m)
+        last = m
     while n - last > most:
         last += most
         ends.append(last)
@@ -93,7 +101,7 @@ def _rows(ids, hashes, places, sizes, digests) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["k_id", "k_text", "place", "size", "d1", "d2"])
 
 
-def repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+def repeats(docs: DataFrame) -> DataFrame:
     """k_id, k_text, spans: for each document that loses bytes, its removed (start, end) in order."""
     cut = staged(chunks(docs), "chunks")
     first = F.min(F.struct("k_id", "k_text", "place")).alias("first")
@@ -104,11 +112,12 @@ def repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     gap = F.coalesce(F.lag(F.col("place") + F.col("size")).over(order) != F.col("place"), F.lit(True))
     runs = later.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order))
     runs = runs.groupBy("k_id", "k_text", "run").agg(F.min("place").alias("start"), F.max(F.col("place") + F.col("size")).alias("end"))
-    runs = runs.where(F.col("end") - F.col("start") >= least_run)
+    # A first chunk as short as that is a whole document, as no mark is so near the start.
+    runs = runs.where((F.col("end") - F.col("start") > REACH) | (F.col("start") == 0))
     return runs.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, with_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, unless with_text is false, kept:
     a row for each row of docs.
 
@@ -117,4 +126,4 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, with_text: bool = T
     copies: they lose the same spans, so only copies in other documents or places count against
     them. Other columns are ignored; an empty table gives no rows.
     """
-    return remove_spans(docs, staged(repeats(docs, least_run), "chunk-repeats"), with_text)
+    return remove_spans(docs, staged(repeats(docs), "chunk-repeats"), with_text)

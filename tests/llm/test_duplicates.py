@@ -90,6 +90,34 @@ def test_chunk_dedup(odd, none, spark):
     assert chunk_dedup.deduplicate(none).count() == 0
 
 
+def test_chunk_dedup_short_passages(spark):
+    """Passages of 51 words lose most of their bytes in any surroundings, short whole copies all."""
+    rng = random.Random(15)
+    docs, passages = [], [prose(rng, 51) for _ in range(300)]
+    for i in range(600):
+        docs.append((i, f"{prose(rng, rng.randint(1, 40))} {passages[i % 300]} {prose(rng, rng.randint(1, 40))}"))
+    short = ["x", "two words", prose(rng, 9), prose(rng, 18), "é" * 30]
+    docs += [(1000 + i, short[i % 5]) for i in range(10)] + [(2000, "x" + prose(rng, 40))]
+    rows = {r.doc_id: r for r in chunk_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    gone = [rows[i].n_removed / len(passages[i - 300]) for i in range(300, 600)]
+    assert min(gone) > 0 and sum(gone) > 0.7 * len(gone)
+    assert all(rows[i].n_removed == 0 for i in [*range(300), *range(1000, 1005), 2000])
+    assert all(rows[i].n_removed == rows[i].n_bytes for i in range(1005, 1010))
+
+
+def test_cuts_depend_on_near_bytes():
+    rng = random.Random(16)
+    passage = prose(rng, 51).encode()
+    near = chunk_dedup.REACH + chunk_dedup.WINDOW
+    for _ in range(50):
+        found = set()
+        for _ in range(2):
+            before = prose(rng, rng.randint(1, 90)).encode()
+            ends = [e - len(before) for e in chunk_dedup.cuts(before + passage + prose(rng, 20).encode())]
+            found.add(tuple(e for e in ends if near < e < len(passage) - near))
+        assert len(found) == 1
+
+
 def test_merged():
     assert merged([{"start": 5, "end": 9}, {"start": 1, "end": 5}, {"start": 20, "end": 21}]) == [(1, 9), (20, 21)]
 
