@@ -8,6 +8,9 @@ Only DataFrame functions are used. Each level keeps the groups that still hold t
 
 A row leaves at the first level where it is alone. Group sizes are sums that are partially
 aggregated, joins are plain equi-joins that adaptive execution may split, and nothing is collected.
+
+Decisions are about single rows, as rows may tie on id and text. So the rows are numbered once, in a
+table that all later scans read: a number taken anew by a second scan may name another row.
 """
 
 from __future__ import annotations
@@ -20,15 +23,22 @@ from .common import ascii_lower, free_name, staged, text_of
 PREFIX_CHARS = 64
 
 
-def members(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The rows that have at least one exact copy: rid, doc_id, keep_id, group_size, kept.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table with a number for each row, and the name of its column. Numbers are places in
+    the one scan that wrote the table."""
+    rid = free_name(docs, "row_place")
+    return staged(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
+
+
+def members(rows: DataFrame, rid: str, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """The rows of a numbered table that have at least one exact copy: rid, doc_id, keep_id,
+    group_size, kept.
 
-    rid is the row's place in the scan (monotonically_increasing_id), so docs must be a stable scan
-    such as a stored table. Texts are equal if identical after lower-casing A-Z; null is the empty
+    rid is the row's number. Texts are equal if identical after lower-casing A-Z; null is the empty
     text. Of equal texts the row with the largest doc_id stays; null ids are smallest, and of rows
     that tie on doc_id the one last in the scan stays. An empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("raw"))
+    rows = rows.select(F.col(rid).alias("rid"), "doc_id", text_of().alias("raw"))
     rows = rows.select("rid", "doc_id", "raw", F.octet_length("raw").alias("len"), F.xxhash64(ascii_lower(F.substring("raw", 1, prefix_chars))).alias("prefix"))
 
     lengths = staged(rows.groupBy("len").count().where("count > 1").select("len"), "lengths")
@@ -49,10 +59,9 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     Columns of docs that bear those names give way to the new ones. A row without a copy has its
     own doc_id as keep_id, group_size 1, kept true.
     """
-    found = members(docs, prefix_chars).select("rid", F.col("keep_id").alias("m_keep"), F.col("group_size").alias("m_size"), F.col("kept").alias("m_kept"))
-    rid = free_name(docs, "row_place")
     others = [c for c in docs.columns if c.lower() not in {"keep_id", "group_size", "kept", "m_keep", "m_size", "m_kept", "rid"}]
-    rows = docs.select(*others, F.monotonically_increasing_id().alias(rid))
+    rows, rid = numbered(docs.select(*others))
+    found = members(rows, rid, prefix_chars).select("rid", F.col("keep_id").alias("m_keep"), F.col("group_size").alias("m_size"), F.col("kept").alias("m_kept"))
     joined = rows.join(found, rows[rid] == found["rid"], "left")
     return joined.select(
         *others,
@@ -64,7 +73,6 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
 
 def drop_exact_copies(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts: the one with the largest doc_id."""
-    dropped = members(docs, prefix_chars).where("not kept").select("rid")
-    rid = free_name(docs, "row_place")
-    rows = docs.withColumn(rid, F.monotonically_increasing_id())
-    return rows.join(dropped, rows[rid] == dropped["rid"], "left_anti").drop(rid)
+    rows, rid = numbered(docs)
+    dropped = members(rows, rid, prefix_chars).where("not kept").select(F.col("rid").alias("m_rid"))
+    return rows.join(dropped, rows[rid] == dropped["m_rid"], "left_anti").drop(rid)

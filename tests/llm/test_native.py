@@ -38,6 +38,25 @@ def test_drop_exact_copies(odd, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_new_splits_move_no_decision(spark, tmp_path):
+    """The input is split otherwise between the decisions and the scan for the result."""
+    texts = [f"text {i % 40} of some" for i in range(60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).write.parquet(path)
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    want = {(i, i % 20 + 40 if i < 20 or i >= 40 else i, 2 if i < 20 or i >= 40 else 1, i >= 20) for i in range(60)}
+    try:
+        spark.conf.set(split, "4k")
+        docs = spark.read.parquet(path)
+        rows, left = exact_dedup.exact_groups(docs), exact_dedup.drop_exact_copies(docs)
+        spark.conf.set(split, "128m")
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect()} == want
+        assert sorted(r.doc_id for r in left.collect()) == list(range(20, 60))
+    finally:
+        spark.conf.set(split, before)
+
+
 def test_short_prefix_still_exact(odd):
     a = {tuple(r) for r in exact_dedup.exact_groups(odd, 1).select("doc_id", "keep_id", "group_size").collect()}
     b = {tuple(r) for r in exact_dedup.exact_groups(odd).select("doc_id", "keep_id", "group_size").collect()}
