@@ -1,27 +1,29 @@
 """N-gram Jaccard join over whole documents, with count vectors and an R-tree.
 
-A document is the set of its word shingles. Shingles are hashed into DIMENSIONS groups; the counts
-of its shingles per group are the document's point. The sum over groups of the lesser counts of two
-points bounds the size of their sets' intersection from above, and the same sum over the upper
-corners of two rectangles bounds it for all points inside, so a packed R-tree over points finds the
-pairs that may be similar. Pairs that pass are verified on the sets themselves.
-
-At this threshold the rectangles of an R-tree over all documents overlap nearly everywhere (an edit
-moves a point less than chance moves unrelated ones in most coordinates), so points are first dealt
-out by cells in subspaces that lose no pair: the sets of two similar documents differ in k shingles
-at most, so of any k+1 groups of shingles one at least is the same in both. k+1 follows from the
-size class; documents of neighbouring classes meet in the upper one.
-
-    cells     (cell, set) rows; partial aggregation finds cells with two different sets or more
-    star      every set is compared with the least set that it shares a cell with
-    stars     ROUNDS times more, in cells that still hold different components, with a leading set
-              drawn anew for each cell: one pair for each set, of different components
-    rest      cells that hold different components even then are split in leaves of LEAF points,
-              an R-tree is packed over each pair of leaves, and all pairs of different components
-              that its bounds let through are verified, so that no link is lost
-
-Only components are asked for, so a pair inside one component is never needed; no step emits all
-pairs of a group of near copies, and equal sets are one set throughout.
+A document is the set of its word shingles. An R-tree over count vectors of all documents does not
+prune at this threshold: similar sets differ by about as much as chance moves strangers in each
+coordinate. It does once points are taken from a common centre, so the join goes in three steps:
+
+    cells     The sets of two linked documents differ in `most` shingles at most, so of most+1+spare
+              ranges of the hash space spare+1 at least hold the same shingles in both. The content
+              of each range is a cell. `most` follows from the size class; a document that may link
+              with one of the next class has that class' cells too. Each document leaves its `spare`
+              most frequent cells out (frequencies of the whole corpus), which cannot lose a pair:
+              of the cells that two documents share the rarest is left out by neither.
+    centres   Every set is compared with the least set of each of its cells, its centres. The
+              comparison gives links, and the set's flips: the shingles that it and the centre
+              don't share. Components of these links close most groups.
+    R-tree    Two sets of one centre differ in the flips that they don't share. Where a centre's
+              sets are of different components still, their flips are hashed into DIMENSIONS groups;
+              the counts are points of a packed R-tree. The coordinate minima of two points bound
+              the flips that they share, those of two rectangles' upper corners bound them for all
+              points inside. Pairs of different components that the bounds let through are
+              verified on the flips themselves. A centre's sets are dealt out in blocks of bounded
+              size, of which pairs meet; those of the centre's own component don't meet each other.
+
+Linked documents share a cell that neither leaves out, hence a centre, so no link is lost. Only
+components are asked for: a task returns links that join components, not all pairs. Equal sets are
+one set throughout; ids of sets are 128-bit digests, then row numbers of the table that holds them.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 from .components import components
 from .cutting import keyed
 from .words import mixed, shingle_hashes, word_hashes
 
-DIMENSIONS, LEAF, NODE, CELLS, ROUNDS = 256, 256, 16, 64, 3
+#: Coordinates of a point, points of a tree node, and the most sets and flips of a block.
+DIMENSIONS, NODE, BLOCK_SETS, BLOCK_FLIPS = 256, 16, 2048, 1 << 20
 
 
 class Threshold:
@@ -48,247 +51,271 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.bounds = [1]
+        self._plans: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
     def needed(self, total):
         """The least intersection of linked sets whose sizes add up to total."""
         return -(-self.num * total // (self.num + self.den))
 
-    def size_class(self, n: int) -> int:
-        """Linked sets are in one class or in neighbouring ones."""
-        while self.bounds[-1] <= n:
-            self._grow()
-        return int(np.searchsorted(self.bounds, n, side="right")) - 1
-
-    def _grow(self) -> None:
-        self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
+    def _bound(self, c: int) -> int:
+        """The least size of class c. Sizes grow by a half or more, so linked sets are of one class or neighbours."""
+        while len(self.bounds) <= c:
+            last = self.bounds[-1]
+            self.bounds.append(max(last + 1, 3 * last // 2, -(-last * self.den // self.num)))
+        return self.bounds[c]
 
-    def groups(self, c: int) -> tuple[int, int]:
-        """(number of groups, number of empty ones that may be left out) of class c. Beyond the
-        differences that linked sets may have there are so many groups more that leaving out
-        empty ones, up to that number, leaves one common group."""
-        while len(self.bounds) <= c + 1:
-            self._grow()
-        most = 2 * (self.bounds[c + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-        spare = most // 16 + (1 if most >= 4 else 0)
-        return most + 1 + spare, spare
+    def size_class(self, n: int) -> int:
+        c = 0
+        while self._bound(c + 1) <= n:
+            c += 1
+        return c
+
+    def classes(self, n: int) -> list[int]:
+        """The classes in which a set of n shingles has cells."""
+        own = self.size_class(n)
+        return [own, own + 1] if n * self.den >= self.num * self._bound(own + 1) else [own]
+
+    def plan(self, c: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(spare, lower ends of the ranges, their salts) of class c; no ranges if linked sets are equal."""
+        if c not in self._plans:
+            most = 2 * (self._bound(c + 1) - 1) * (self.den - self.num) // (self.den + self.num)
+            spare = most // 8 + 2
+            m = most + 1 + spare if most else 0
+            ends = [-(-j * 2**32 // m) << 32 for j in range(m)]
+            self._plans[c] = (spare, np.array(ends, np.uint64), mixed(np.arange(m, dtype=np.uint64) + np.uint64(c << 32)))
+        return self._plans[c]
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), k))
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A set's id: 64 bits of a digest. Of n sets about n*n/2**65 pairs share an id by chance."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS).astype(np.uint32)
-
-
-def cells_of(shingles: np.ndarray, limit: Threshold) -> np.ndarray:
-    """The cells of a set: for its class and the next, a hash of each group's content."""
+def cells_of(shingles: np.ndarray, limit: Threshold) -> list[tuple[int, np.ndarray]]:
+    """(spare, cells) of a sorted set in each of its classes: a hash of each range's content."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)))
     out = []
-    own = limit.size_class(len(shingles))
-    with np.errstate(over="ignore"):
-        spread, content = mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)), mixed(shingles + np.uint64(1))
-        for c in (own, own + 1):
-            n, spare = limit.groups(c)
-            group = (spread % np.uint64(n)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            kinds, first = np.unique(group[order], return_index=True)
-            sums = np.zeros(n, np.uint64)
-            sums[kinds] = np.add.reduceat(content[order], first)
-            keys = mixed(sums + mixed(np.arange(n, dtype=np.uint64) + np.uint64(c << 32)))
-            out.append(keys[kinds] if n - len(kinds) <= spare else keys)
-    return np.concatenate(out)
-
-
-def sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, k_id, k_text, n, sid, point: a row for each row of docs; sid is null for an empty set."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, ids, points = [], [], []
-            for data in batch.column(3):
-                s = shingle_set(data.as_buffer().to_pybytes(), k)
-                sizes.append(len(s))
-                ids.append(set_id(s) if len(s) else None)
-                points.append(point(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(points, pa.binary())], ["doc_id", "k_id", "k_text", "n", "sid", "point"])
-
+    for c in limit.classes(len(shingles)):
+        spare, ends, salts = limit.plan(c)
+        at = sums[np.searchsorted(shingles, ends)]
+        with np.errstate(over="ignore"):
+            out.append((spare, mixed(np.append(at[1:], sums[-1]) - at + salts) if len(ends) else ends))
+    return out
+
+
+def sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, rid, k_id, k_text, n, d1, d2, and of one or two size classes the spare numbers and cells:
+    a row for each row of docs. rid is the row's number once the table is written; d1 and d2 (the
+    set's digest) are null for an empty set or a null id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs).mapInArrow(scan, f"doc_id {kind}, k_id bigint, k_text bigint, n bigint, sid bigint, point binary")
-
-
-def cells(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(cell, sid) of every row of docs that has an id."""
+    names = ["doc_id", "rid", "k_id", "k_text", "n", "d1", "d2", "spare", "cells", "spare_next", "cells_next"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = Threshold(num, den)
+        none = (0, np.zeros(0, np.uint64))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                sizes, digests, held = [], [], ([], [])
+                for doc_id, data in zip(batch.column(0), batch.column(4), strict=True):
+                    s = shingle_set(data.as_buffer().to_pybytes(), k)
+                    sizes.append(len(s))
+                    known = len(s) and doc_id.is_valid
+                    digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) if known else None)
+                    own = cells_of(s, limit) if known else []
+                    for side in (0, 1):
+                        held[side].append(own[side] if side < len(own) else none)
+                columns = [*batch.columns[:4], pa.array(sizes, pa.int64()), *(pa.array([None if d is None else int(d[i]) for d in digests], pa.int64()) for i in (0, 1))]
+                for side in held:
+                    ends = np.concatenate(([0], np.cumsum([len(c) for _, c in side]))).astype(np.int32)
+                    columns += [pa.array([x for x, _ in side], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c in side]).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = keyed(docs).select("doc_id", F.monotonically_increasing_id().alias("rid"), "k_id", "k_text", "data")
+    return rows.mapInArrow(scan, f"doc_id {kind}, rid bigint, k_id bigint, k_text bigint, n bigint, d1 bigint, d2 bigint, spare int, cells array<bigint>, spare_next int, cells_next array<bigint>")
+
+
+def centred(cells: DataFrame) -> DataFrame:
+    """The distinct (z, x) of sets x and their centres z, from cells (sid, part, spare, cell): each set
+    leaves out its `spare` most frequent cells of a part, and the least set of a cell is its centre."""
+    from pyspark.sql import Window
+
+    counts = cells.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
+    shared = cells.join(staged(counts, "counts").hint("shuffle_hash"), "cell")
+    place = F.row_number().over(Window.partitionBy("sid", "part").orderBy(F.desc("m"), "cell"))
+    kept = staged(shared.withColumn("place", place).where("place > spare").select("cell", "sid"), "kept")
+    leads = kept.groupBy("cell").agg(F.min("sid").alias("z"), F.max("sid").alias("last")).where("z <> last").select("cell", "z")
+    pairs = kept.join(staged(leads, "leads").hint("shuffle_hash"), "cell").where("sid <> z").select("z", F.col("sid").alias("x")).distinct()
+    return staged(pairs, "pairs")
+
+
+def contents(docs: DataFrame, made: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(sid, content): the shingles of every set of pairs."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            keys, ids, held = [], [], 0
-            for data in batch.column(0):
-                s = shingle_set(data.as_buffer().to_pybytes(), k)
-                if len(s):
-                    own = cells_of(s, limit)
-                    keys.append(own)
-                    ids.append(np.full(len(own), set_id(s), np.int64))
-                    held += len(own)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["cell", "sid"])
-                    keys, ids, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["cell", "sid"])
-
-    return keyed(docs).where("doc_id is not null").select("data").mapInArrow(scan, "cell bigint, sid bigint")
-
-
-def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of sets whose points' coordinate minima add up to enough."""
-    limit = Threshold(num, den)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint32).reshape(-1, DIMENSIONS) for i in (2, 3))
-                total = p.sum(axis=1).astype(np.int64) + q.sum(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(np.minimum(p, q).sum(axis=1) >= limit.needed(total)))
-
-    left = classes.select(F.col("sid").alias("a"), F.col("point").alias("p"))
-    right = classes.select(F.col("sid").alias("b"), F.col("point").alias("q"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "p", "q").mapInArrow(keep, "a bigint, b bigint")
-
+            ids = batch.column(0).to_pylist()
+            at = [i for i, sid in enumerate(ids) if sid != (ids[i - 1] if i else last)]  # repeated rows stand together
+            last = ids[-1] if ids else last
+            found = [shingle_set(batch.column(1)[i].as_buffer().to_pybytes(), k).tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(found, pa.binary())], ["sid", "content"])
+
+    wanted = pairs.select(F.col("z").alias("rid")).union(pairs.select("x")).distinct().join(made.select("rid", "k_id", "k_text").hint("merge"), "rid")
+    wanted = wanted.select(F.col("rid").alias("sid"), F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text"))
+    rows = keyed(docs).select("k_id", "k_text", "data")
+    rows = rows.join(wanted.hint("merge"), (rows["k_id"] == wanted["w_id"]) & (rows["k_text"] == wanted["w_text"])).select("sid", "data")
+    return staged(rows.mapInArrow(shingled, "sid bigint, content binary").dropDuplicates(["sid"]), "contents")
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The linked ones of pairs (a, b), which are distinct: bounded by their points, then compared set by set."""
-    pairs = staged(_bounded(pairs, classes, num, den), "bounded")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes, "sid").select("sid", F.col("one.k_id").alias("w_id"), F.col("one.k_text").alias("w_text"))
 
-    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x.as_buffer().to_pybytes(), k).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["sid", "content"])
+def compared(pairs: DataFrame, own: DataFrame, num: int, den: int) -> DataFrame:
+    """(z, x, n, linked, flips): n is x's size, flips are the shingles that only one of x and z has."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(den * both >= num * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    rows = keyed(docs).select("k_id", "k_text", "data")
-    rows = rows.join(wanted.hint("merge"), (rows["k_id"] == wanted["w_id"]) & (rows["k_text"] == wanted["w_text"])).select("sid", "data")
-    own = staged(rows.mapInArrow(content, "sid bigint, content binary").dropDuplicates(["sid"]), "contents")
-    left = own.select(F.col("sid").alias("a"), F.col("content").alias("x"))
-    right = own.select(F.col("sid").alias("b"), F.col("content").alias("y"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
-
-
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, label: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of points of different labels that a packed R-tree's bounds let through. side is 0
-    or 1 for points of two leaves, whose pairs across count, or all 2 for one leaf against itself."""
-    order = np.lexsort((points.argmax(axis=1), sizes))
-    starts = np.arange(0, len(order), NODE)
-    corner = np.maximum.reduceat(points[order], starts, axis=0)
-    least = np.minimum.reduceat(sizes[order], starts)
-    out_a, out_b = [], []
-    for i, s in enumerate(starts.tolist()):
-        a = order[s : s + NODE]
-        near = np.flatnonzero(np.minimum(corner[i], corner[i:]).sum(axis=1) >= limit.needed(least[i] + least[i:])) + i
-        for j in near.tolist():
-            b = order[starts[j] : starts[j] + NODE]
-            most = np.minimum(points[a][:, None], points[b][None]).sum(axis=2)
-            bound = most >= limit.needed(sizes[a][:, None] + sizes[b][None])
-            bound &= label[a][:, None] != label[b][None]
-            bound &= (side[a][:, None] != side[b][None]) | (side[a][:, None] == 2)
-            if i == j:
-                bound &= np.arange(len(a))[:, None] < np.arange(len(b))[None]
-            x, y = np.nonzero(bound)
-            out_a.append(a[x])
-            out_b.append(b[y])
-    if not out_a:
-        return (np.zeros(0, np.int64),) * 2
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = members.join(labels, members["sid"] == labels["node"], "left")
-    return staged(rows.select("cell", "sid", "untested", F.coalesce("label", "sid").alias("label")), "labelled")
-
-
-def star_pairs(marked: DataFrame, turn: int) -> DataFrame:
-    """One pair (a, b) for each set at most: with the leading set of a cell, of another component.
-    Each turn draws other leaders."""
-    draw = F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "label")
-    leads = marked.groupBy("cell").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(draw).alias("d")).where("l <> h")
-    leads = leads.select("cell", F.col("d.sid").alias("lead"), F.col("d.label").alias("lead_label"))
-    met = marked.join(leads.hint("merge"), "cell").where("label <> lead_label")
-    pairs = met.groupBy("sid").agg(F.min(F.struct(F.xxhash64("lead", F.lit(turn)), "lead")).alias("m"))
-    return pairs.select(F.least("sid", "m.lead").alias("a"), F.greatest("sid", "m.lead").alias("b")).distinct()
-
-
-def rest(marked: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) from the cells whose sets are of different components and were not all compared."""
-    spread = F.sum(F.xxhash64("sid").cast("decimal(38,0)"))
-    counts = [F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), F.count_if("untested").alias("u"), spread.alias("content")]
-    # The only pair of a cell of two sets may be one that the star has compared.
-    open_cells = marked.groupBy("cell").agg(*counts).where("l <> h and (m > 2 or u > 0)")
-    # Cells of the same sets say the same: one of them stays.
-    open_cells = open_cells.groupBy("m", "content").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("m") / LEAF).cast("int").alias("leaves"))
-    open_cells = staged(open_cells, "open")
-    # Cells of one leaf are handled many at a time.
-    batches = max(1, open_cells.count() // CELLS)
-    rows = marked.join(open_cells.hint("merge"), "cell").join(classes.select("sid", "n", "point").hint("merge"), "sid")
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("sid"), F.col("leaves")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    batch = F.when(F.col("leaves") == 1, F.pmod(F.xxhash64("cell"), F.lit(batches))).otherwise(F.col("cell"))
-    rows = rows.select(batch.alias("batch"), (F.col("leaves") == 1).alias("small"), "cell", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "sid", "label", "n", "point")
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                sizes, linked, flips = [], [], []
+                for x, z in zip(batch.column(2), batch.column(3), strict=True):
+                    s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, z))
+                    both = np.sort(np.concatenate((s, t)), kind="stable")
+                    twice = both[1:] == both[:-1]
+                    alone = np.append(~twice, True)
+                    alone[1:] &= ~twice
+                    same = int(twice.sum())
+                    sizes.append(len(s))
+                    linked.append(den * same >= num * (len(s) + len(t) - same))
+                    flips.append(both[alone].tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(flips, pa.binary())], ["z", "x", "n", "linked", "flips"])
+
+    left = own.select(F.col("sid").alias("x"), F.col("content").alias("mine"))
+    right = own.select(F.col("sid").alias("z"), F.col("content").alias("other"))
+    rows = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "z").select("z", "x", "mine", "other")
+    return staged(rows.mapInArrow(compare, "z bigint, x bigint, n bigint, linked boolean, flips binary"), "compared")
+
+
+def point(flips: np.ndarray) -> np.ndarray:
+    return np.bincount((flips >> np.uint64(20)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
+
+
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, label: np.ndarray, limit: Threshold) -> Iterator[tuple[int, int, int]]:
+    """(i, j, flips that they must share) of the pairs of one centre's sets that the tree's bounds let
+    through. Pairs of one label, and of side 0 with each other unless all are 2, don't count.
+
+    points are counts of flips, sizes those of the sets. Two sets of sizes p and q with a and b flips
+    link if they share needed(p + q) - (p + q - a - b) / 2 flips.
+    """
+    if len(points):
+        rare = (points > 0).sum(axis=0)
+        own = np.where(points > 0, rare, len(points) + 1).argmin(axis=1)  # the rarest coordinate of each point
+        order = np.lexsort((sizes, own))
+        starts = np.arange(0, len(order), NODE)
+        count = points.sum(axis=1).astype(np.int64)
+        corner = np.maximum.reduceat(points[order], starts, axis=0)
+        least, largest = np.minimum.reduceat(count[order], starts), np.maximum.reduceat(sizes[order], starts)
+        slack = (limit.den - limit.num) / (2 * (limit.den + limit.num))
+        for i, s in enumerate(starts.tolist()):
+            a = order[s : s + NODE]
+            low = (least[i] + least[i:]) / 2 - slack * (largest[i] + largest[i:])
+            near = np.flatnonzero(np.minimum(corner[i], corner[i:]).sum(axis=1) >= low - 1e-6) + i
+            b = np.concatenate([order[starts[j] : starts[j] + NODE] for j in near.tolist()]) if len(near) else order[:0]
+            total = sizes[a][:, None] + sizes[b][None]
+            share = limit.needed(total) - (total - count[a][:, None] - count[b][None]) // 2
+            good = np.minimum(points[a][:, None], points[b][None]).sum(axis=2) >= share
+            good &= (label[a][:, None] != label[b][None]) & ((side[a][:, None] != side[b][None]) | (side[a][:, None] == 2))
+            place = np.concatenate([np.arange(starts[j], min(starts[j] + NODE, len(order))) for j in near.tolist()]) if len(near) else order[:0]
+            good &= np.arange(s, s + len(a))[:, None] < place[None]
+            x, y = np.nonzero(good)
+            yield from zip(a[x].tolist(), b[y].tolist(), share[x, y].tolist(), strict=True)
+
+
+def joins(flips: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, label: np.ndarray, limit: Threshold) -> list[tuple[int, int]]:
+    """Links among one centre's sets, as many as join their labels."""
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out, of = [], label.tolist()
+    for i, j, share in tree_pairs(np.array([point(f) for f in flips]).reshape(-1, DIMENSIONS).astype(np.int32), sizes, side, label, limit):
+        p, q = find(of[i]), find(of[j])
+        if p != q and len(np.intersect1d(flips[i], flips[j], assume_unique=True)) >= share:
+            parent[p] = q
+            out.append((i, j))
+    return out
+
+
+def rest(deltas: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between sets of one centre that are of different components."""
+    of_x, of_z = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("z"), F.col("label").alias("lz"))
+    rows = deltas.join(of_x, "x", "left").join(of_z, "z", "left")
+    rows = rows.select("z", "x", "n", "flips", F.coalesce("lx", "x").alias("label"), (F.coalesce("lx", "x") != F.coalesce("lz", "z")).alias("other"))
+    rows = staged(rows, "labelled")
+
+    size = F.octet_length("flips") / 8
+    sums = [F.count_if("other").alias("o"), F.count_if(~F.col("other")).alias("m"), F.sum(F.when(F.col("other"), size).otherwise(0)).alias("fo"), F.sum(F.when(F.col("other"), 0).otherwise(size)).alias("fm")]
+    groups = rows.groupBy("z").agg(*sums).where("o > 0 and o + m > 1")
+    small = (F.col("o") + F.col("m") <= BLOCK_SETS) & (F.col("fo") + F.col("fm") <= BLOCK_FLIPS)
+
+    def blocks(count: str, flips: str):
+        return F.greatest(F.ceil(F.col(count) / BLOCK_SETS), F.ceil(F.col(flips) / BLOCK_FLIPS)).cast("int")
+
+    groups = staged(groups.select("z", F.when(small, 0).otherwise(blocks("o", "fo")).alias("no"), F.when(small, 0).otherwise(blocks("m", "fm")).alias("nm"), (F.col("o") + F.col("m")).alias("size")), "groups")
+    # Small groups are handled many at a time.
+    batches = max(1, (groups.where("no = 0").agg(F.sum("size")).first()[0] or 0) // BLOCK_SETS)
+    rows = rows.join(groups.hint("merge"), "z")
+    few = rows.where("no = 0").select(F.pmod(F.xxhash64("z"), F.lit(batches)).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), "z", "x", "n", "flips", "label", "other", F.lit(0).alias("block"))
+
+    many = rows.where("no > 0").withColumn("block", F.pmod(F.xxhash64("x"), F.when(F.col("other"), F.col("no")).otherwise(F.greatest("nm", F.lit(1)))).cast("int"))
+    each_o, each_m = F.sequence(F.lit(0), F.col("no") - 1), F.when(F.col("nm") > 0, F.sequence(F.lit(0), F.col("nm") - 1)).otherwise(F.array().cast("array<int>"))
+    among = F.transform(each_o, lambda t: F.struct(F.lit(1).alias("kind"), F.least("block", t).alias("i"), F.greatest("block", t).alias("j")))
+    across = F.transform(each_m, lambda t: F.struct(F.lit(2).alias("kind"), F.col("block").alias("i"), t.alias("j")))
+    back = F.transform(each_o, lambda t: F.struct(F.lit(2).alias("kind"), t.alias("i"), F.col("block").alias("j")))
+    many = many.withColumn("meet", F.explode(F.when(F.col("other"), F.concat(among, across)).otherwise(back)))
+    many = many.select(F.col("z").alias("batch"), "meet.kind", "meet.i", "meet.j", "z", "x", "n", "flips", "label", "other", "block")
     limit = Threshold(num, den)
 
-    def join(group: pa.Table) -> pa.Table:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def meet(group: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
         if group.num_rows:
-            points = np.frombuffer(b"".join(x.as_py() for x in group["point"]), np.uint32).reshape(-1, DIMENSIONS).astype(np.int32)
-            cell, sid, label, leaf, sizes = (group[c].to_numpy() for c in ("cell", "sid", "label", "leaf", "n"))
-            same = group["i"][0] == group["j"][0]
-            side = np.full(len(leaf), 2) if same else (leaf == group["j"][0].as_py()).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                a, b = tree_pairs(points[own], sizes[own], side[own], label[own], limit)
-                out_a.append(sid[own][a])
-                out_b.append(sid[own][b])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("batch", "small", "i", "j").applyInArrow(join, "a bigint, b bigint").distinct()
+            z, x, sizes, label, block = (group[c].to_numpy() for c in ("z", "x", "n", "label", "block"))
+            other = group["other"].to_numpy().astype(bool)
+            held = group["flips"].combine_chunks()
+            kind, i, j = (group[c][0].as_py() for c in ("kind", "i", "j"))
+            # Side 0 doesn't meet itself; 2 meets all.
+            side = np.where(other, 2, 0) if kind == 0 else np.full(len(x), 2) if kind == 1 and i == j else (block == j).astype(np.int64) if kind == 1 else other.astype(np.int64)
+            order = np.argsort(z, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(z[order])) + 1):
+                flips = [np.frombuffer(held[r].as_buffer(), np.uint64) for r in own.tolist()]
+                for a, b in joins(flips, sizes[own], side[own], label[own], limit):
+                    out_a.append(x[own[a]])
+                    out_b.append(x[own[b]])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return few.unionByName(many).groupBy("batch", "kind", "i", "j").applyInArrow(meet, "a bigint, b bigint")
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(the staged sets, components of set ids as (node, label))."""
-    made = staged(sets(docs, k), "sets")
-    classes = made.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min(F.struct("k_id", "k_text")).alias("one"))
-    classes = staged(classes, "classes")
-    dealt = cells(docs, k, num, den)
-    shared = dealt.groupBy("cell").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("cell", F.col("low").alias("lead"))
-    members = staged(dealt.join(staged(shared, "cells").hint("merge"), "cell").distinct(), "members")
-
-    star = staged(members.where("sid <> lead").groupBy("sid").agg(F.min("lead").alias("a")).select("a", F.col("sid").alias("b")), "star")
-    least = star.select(F.col("b").alias("of"), F.col("a").alias("least")).hint("merge")
-    untested = (F.col("sid") != F.col("lead")) & (F.col("lead") != F.col("least"))
-    members = members.join(least, members["sid"] == least["of"], "left").select("cell", "sid", F.coalesce(untested, F.lit(False)).alias("untested"))
-    members = staged(members, "members")
-    links = staged(verified(star, docs, classes, k, num, den), "links")
+    """(doc_id, n, sid) of every row, and the components of set ids as (node, label)."""
+    made = staged(sets(docs, k, num, den), "sets")
+    several = made.where("d1 is not null").groupBy("d1", "d2").agg(F.min("rid").alias("sid"), F.count("*").alias("m")).where("m > 1").select("d1", "d2", "sid")
+    rows = made.select("doc_id", "rid", "n", "d1", "d2").join(staged(several, "several").hint("merge"), ["d1", "d2"], "left")
+    rows = staged(rows.select("doc_id", "rid", "n", F.when(F.col("d1").isNotNull(), F.coalesce("sid", "rid")).alias("sid")), "rows")
+
+    one = made.where("d1 is not null").join(rows.where("sid <> rid").select("rid"), "rid", "left_anti")
+    parts = [one.select(F.col("rid").alias("sid"), F.lit(p).alias("part"), spare, F.explode(cells).alias("cell")) for p, (spare, cells) in enumerate(((F.col("spare"), "cells"), (F.col("spare_next").alias("spare"), "cells_next")))]
+    pairs = centred(parts[0].unionByName(parts[1]))
+    own = contents(docs, made, pairs, k)
+    deltas = compared(pairs, own, num, den)
+    discard(made, own, pairs)
+    links = deltas.where("linked").select(F.col("x").alias("a"), F.col("z").alias("b"))
     labels = components(links)
-    for turn in range(ROUNDS + 1):
-        marked = labelled(members, labels)
-        pairs = star_pairs(marked, turn) if turn < ROUNDS else rest(marked, classes, num, den)
-        more = staged(verified(pairs, docs, classes, k, num, den), "links")
-        if not more.isEmpty():
-            labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    return made, labels
+    more = staged(rest(deltas, labels, num, den), "links")
+    discard(deltas)
+    if not more.isEmpty():
+        labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    return rows.select("doc_id", "n", "sid"), labels
 
 
 def similar_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

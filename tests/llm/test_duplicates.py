@@ -179,7 +179,7 @@ def test_jaccard_join_odd(odd, none, spark):
 
 def test_jaccard_join_dense(spark, monkeypatch):
     """Many copies near the threshold, most of them not linked with the least of their cell."""
-    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
     rng = random.Random(11)
     docs = []
     for g in range(4):
@@ -197,30 +197,49 @@ def test_jaccard_join_dense(spark, monkeypatch):
 
 
 def test_tree_loses_no_pair():
+    """Links among sets around one centre, against all pairs, in one block and across two sides."""
     rng = np.random.default_rng(3)
     limit = jaccard_join.Threshold(90, 100)
-    base = rng.integers(0, 12, jaccard_join.DIMENSIONS)
-    points = np.maximum(0, base + rng.integers(-1, 2, (150, jaccard_join.DIMENSIONS)))
-    sizes, label = points.sum(axis=1), rng.integers(0, 5, 150)
-    a, b = jaccard_join.tree_pairs(points, sizes, np.full(150, 2), label, limit)
-    got = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {(i, j) for j in range(150) for i in range(j) if label[i] != label[j] and np.minimum(points[i], points[j]).sum() >= limit.needed(sizes[i] + sizes[j])}
-    assert got == want
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    edits = [rng.integers(0, 2**63, 9).astype(np.uint64) for _ in range(12)]
+    sets = []
+    for _ in range(150):
+        gone = rng.choice(len(base), rng.integers(0, 14), replace=False)
+        own = [edits[i] for i in rng.choice(12, rng.integers(0, 3), replace=False)]
+        sets.append(np.unique(np.concatenate([np.delete(base, gone), *own])))
+    flips = [np.setxor1d(s, base) for s in sets]
+    sizes, label = np.array([len(s) for s in sets]), rng.integers(0, 40, 150)
+    points = np.array([jaccard_join.point(f) for f in flips])
+    for side in (np.full(150, 2), rng.integers(0, 2, 150)):
+        want = set()
+        for j in range(150):
+            for i in range(j):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if label[i] != label[j] and (side[i] != side[j] or side[i] == 2) and 100 * both >= 90 * (sizes[i] + sizes[j] - both):
+                    want.add((i, j))
+        found = list(jaccard_join.tree_pairs(points, sizes, side, label, limit))
+        linked = {tuple(sorted((i, j))) for i, j, share in found if len(np.intersect1d(flips[i], flips[j])) >= share}
+        assert len({tuple(sorted(x[:2])) for x in found}) == len(found)
+        assert linked == want and len(want) > 20
+        few = jaccard_join.joins(flips, sizes, side, label, limit)
+        assert len(few) < 40 and {tuple(sorted(x)) for x in few} <= want
 
 
 def test_cells_meet():
-    """Sets that link share a cell, at many sizes and both thresholds."""
+    """Sets that link share more cells than either leaves out, at many sizes and both thresholds."""
     rng = np.random.default_rng(5)
-    for num, den in ((90, 100), (80, 100)):
+    for num, den in ((90, 100), (80, 100), (50, 100)):
         limit = jaccard_join.Threshold(num, den)
         for n in [*range(1, 40), 100, 333, 1000]:
-            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
             for _ in range(6):
                 drop, add = rng.integers(0, n // 5 + 1), rng.integers(0, n // 5 + 1)
-                t = np.unique(np.concatenate((s[drop:], rng.integers(0, 2**63, add).astype(np.uint64))))
+                t = np.unique(np.concatenate((rng.permutation(s)[drop:], rng.integers(0, 2**63, add).astype(np.uint64))))
                 both = len(np.intersect1d(s, t))
-                if len(t) and den * both >= num * (len(s) + len(t) - both):
-                    assert set(jaccard_join.cells_of(s, limit).tolist()) & set(jaccard_join.cells_of(t, limit).tolist())
+                if len(t) and den * both >= num * (len(s) + len(t) - both) and not np.array_equal(s, t):
+                    own, other = (dict(zip(limit.classes(len(x)), jaccard_join.cells_of(x, limit), strict=True)) for x in (s, t))
+                    met = [len(set(own[c][1].tolist()) & set(other[c][1].tolist())) > own[c][0] for c in own.keys() & other.keys()]
+                    assert any(met)
 
 
 def test_one_of_each(odd):
