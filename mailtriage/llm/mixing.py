@@ -133,6 +133,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     )
 
 
+def readings(docs: DataFrame, **kwargs) -> DataFrame:
+    """doc_id, size, source_size, target, reading, taken, position: a row for each time that the mix
+    reads a document (reading 1 or 2), range-sorted by position. taken are the words of that
+    reading. Documents that are not taken have one row, reading 1, taken 0 and no position, at the end.
+    """
+    rows = mix(docs, **kwargs)
+    first = F.least("size", "taken")
+    each = F.array(
+        F.struct(F.lit(1).alias("reading"), first.alias("taken"), F.col("position").alias("position")),
+        F.struct(F.lit(2).alias("reading"), (F.col("taken") - first).alias("taken"), F.col("position_again").alias("position")),
+    )
+    each = F.filter(each, lambda x: (x["reading"] == 1) | x["position"].isNotNull())
+    rows = rows.select("doc_id", "size", "source_size", "target", F.explode(each).alias("r")).select("doc_id", "size", "source_size", "target", "r.reading", "r.taken", "r.position")
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id", "reading")
+
+
 def training_order(docs: DataFrame, **kwargs) -> DataFrame:
     """mix(), range-sorted by position: rows not taken come last, ties by doc_id."""
     return mix(docs, **kwargs).orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -39,6 +39,9 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
+#: Matches whose places are summed in one step.
+BLOCK = 256
+
 
 def alternatives(rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, str]]:
     """(rule, alternative, trigram) of all rules that have a query."""
@@ -78,13 +81,15 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end) in code points: leftmost matches, without overlap.
 
     The pieces between matches come from split, the matches from regexp_extract_all; running sums
-    of their lengths give the places.
+    of their lengths give the places. A sum that carries its matches along copies them with each
+    step, so it runs inside blocks of BLOCK matches, and then over the blocks.
     """
     pattern = F.lit(rule.pattern)
     between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
     match = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x))
     value = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)) if rule.group else match
     steps = F.arrays_zip(between.alias("b"), match.alias("m"), value.alias("v"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(between) - 1) / BLOCK).cast("int")), lambda j: F.slice(steps, j * BLOCK + 1, BLOCK))
     empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
@@ -94,8 +99,15 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         hit = F.array(F.struct(begin.alias("start"), F.lit(number).alias("number"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["v"] >= rule.least, F.concat(state["found"], hit)).otherwise(state["found"]).alias("found"))
 
+    def append(state: Column, x: Column) -> Column:
+        at = state["at"]
+        moved = F.transform(x["found"], lambda y: F.struct((y["start"] + at).alias("start"), y["number"].alias("number"), (y["end"] + at).alias("end")))
+        return F.struct((at + x["at"]).alias("at"), F.concat(state["parts"], F.array(moved)).alias("parts"))
+
+    within = F.transform(blocks, lambda block: F.aggregate(block, start, step))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,number:int,end:int>>>").alias("parts"))
     counted = F.regexp_count(text, pattern) > 0
-    return F.when(counted, F.aggregate(steps, start, step, lambda s: s["found"])).otherwise(empty)
+    return F.when(counted, F.aggregate(within, whole, append, lambda s: F.flatten(s["parts"]))).otherwise(empty)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

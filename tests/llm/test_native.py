@@ -1,9 +1,11 @@
 """Exact dedup, secret scan, mixing."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailtriage.llm import exact_dedup, mixing, secrets
@@ -81,6 +83,14 @@ def test_secrets(odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_many_matches(spark):
+    """A text of 100,000 matches, around the block size too."""
+    many = ["token=abcdef " * n for n in (secrets.BLOCK - 2, secrets.BLOCK - 1, secrets.BLOCK, 2 * secrets.BLOCK, 100_000)]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert [tuple(s) for s in r.secrets] == base_spans(many[r.doc_id])
+
+
 def test_span_digest(odd):
     rows = secrets.find_secrets(odd).select(secrets.joined(F.col("secrets")).alias("s")).collect()
     assert any(re.fullmatch(r"(assign|access|hex):\d+:\d+(,(assign|access|hex):\d+:\d+)*", r.s) for r in rows)
@@ -146,6 +156,42 @@ def test_positions_follow_demand(spark):
     assert sum(p < 0.5 for p in heavy) > 0.5 * len(heavy)  # the first kind fades
 
 
+def numeric_position(demand, target, start, end):
+    """When a factor that runs from start to end has used demand of target, by bisection."""
+    whole, low, high = (start + end) / 2, 0.0, 1.0
+    for _ in range(80):
+        t = (low + high) / 2
+        if (start * t + (end - start) * t * t / 2) / whole < min(1.0, demand / target):
+            low = t
+        else:
+            high = t
+    return (low + high) / 2
+
+
+def test_positions_invert_the_integral(spark):
+    """Positions of both readings are the inverse of the cumulative demand at the middle of the words."""
+    rng = random.Random(17)
+    rows = [(i, "w " * rng.randint(1, 30), f"s{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    names = sorted({s for _, _, s in rows})
+    found = {r.doc_id: r for r in mixing.mix(docs, slot_rows=16).collect()}
+    for n, source in enumerate(names):
+        own = sorted((r for d, _, s in rows if s == source for r in [found[d]]), key=lambda r: (r.position is None, r.position or 0, r.position_again or 0))
+        start, end = mixing.SCHEDULE[n % 3]
+        read = [r for r in own if r.position is not None]
+        begin = 0
+        for r in read:
+            assert r.position == pytest.approx(numeric_position(begin + r["size"] / 2, r.target, start, end), abs=1e-6)
+            if r.position_again is not None:
+                assert r.position_again == pytest.approx(numeric_position(begin + r["size"] / 2 + r.source_size, r.target, start, end), abs=1e-6)
+            begin += r["size"]
+    each = mixing.readings(docs, slot_rows=16).collect()
+    assert sum(r.taken for r in each) == sum(r.taken for r in found.values())
+    assert sorted((r.doc_id, r.position) for r in each if r.position is not None) == sorted((d, p) for d, r in found.items() for p in (r.position, r.position_again) if p is not None)
+    known = [r.position for r in each if r.position is not None]
+    assert known == sorted(known) and any(r.reading == 2 for r in each)
+
+
 def test_hash_is_sha256_of_lowered_text(odd):
     from mailtriage.llm.common import ascii_lower, text_of
 
