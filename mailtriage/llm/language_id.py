@@ -5,9 +5,10 @@ sorted arrays of 64-bit n-gram hashes with their discounted counts, and of conte
 denominators and back-off weights. A text's language is the one with the lowest cross-entropy per
 character. Rejection is calibrated on sample documents that the models have not seen.
 
-Models are fitted on a bounded sample: SAMPLE_DOCS labelled documents a language, whole texts. The
-n-grams are counted by Spark; what the driver gets is bounded by the sample. Prediction reads every
-whole text and shuffles nothing.
+Models are fitted on a bounded sample: of each language SAMPLE_DOCS labelled documents at most, whole
+texts, of SAMPLE_BYTES together (longer ones are not drawn). Spark counts the n-grams and scores the
+calibration documents; the driver gets n-gram counts and a number for each calibration document, both
+bounded by the sample and the number of languages. Prediction reads every whole text and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from .words import mixed
 ORDER = 4
 DISCOUNT = 0.75
 SAMPLE_DOCS = 400
+SAMPLE_BYTES = 4 << 20
 #: Every CALIBRATE-th sample document is kept from fitting.
 CALIBRATE = 4
 #: A document is rejected beyond so many deviations above its language's mean cross-entropy.
@@ -34,13 +37,18 @@ DEVIATIONS, LEAST_DEVIATION, FULL_LENGTH = 6.0, 0.15, 400
 #: Letters that are scored at a time.
 PIECE = 1 << 20
 _OTHER = re.compile(r"[\W\d_]+")
+#: Numbers that are no digits (fractions, superscripts, Roman numerals) count as word characters above.
+_NUMBERS = regex.compile(r"[ \p{N}]*\p{N}[ \p{N}]*")
 _P = np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = 32
 
 
 def letters(text: str) -> np.ndarray:
     """Code points of the text's lower-case letters between single blanks; empty without a letter."""
-    low = _OTHER.sub(" ", text.lower()).strip()
+    low = _OTHER.sub(" ", text.lower())
+    if not low.isascii():
+        low = _NUMBERS.sub(" ", low)
+    low = low.strip()
     return np.frombuffer(f" {low} ".encode("utf-32-le"), np.uint32) if low else np.zeros(0, np.uint32)
 
 
@@ -125,22 +133,23 @@ class Identifier:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats a character (texts x languages) and length of each text's letters."""
         total, length = np.zeros((len(texts), len(self.models))), np.zeros(len(texts), np.int64)
-        held, owners, size = [], [], 0
+        held, owners, leads, size = [], [], [], 0
         for i, text in enumerate(texts):
             codes = letters(text)
             length[i] = len(codes)
-            for at in range(0, len(codes), PIECE):
-                held.append(codes[at : at + PIECE])
+            for at in range(0, len(codes), PIECE) if self.models else ():
+                leads.append(min(at, ORDER))  # the characters before a piece are its context
+                held.append(codes[at - leads[-1] : at + PIECE])
                 owners.append(i)
                 size += len(held[-1])
                 if size >= PIECE:
-                    self._add(total, held, owners)
-                    held, owners, size = [], [], 0
+                    self._add(total, held, owners, leads)
+                    held, owners, leads, size = [], [], [], 0
         if held:
-            self._add(total, held, owners)
+            self._add(total, held, owners, leads)
         return -total / np.maximum(length, 1)[:, None], length
 
-    def _add(self, total: np.ndarray, held: list[np.ndarray], owners: list[int]) -> None:
+    def _add(self, total: np.ndarray, held: list[np.ndarray], owners: list[int], leads: list[int]) -> None:
         if not hasattr(self, "_keys"):  # scores of n-grams seen before, by the low bits of their hash
             self._keys, self._kept = np.zeros(self.slots, np.uint64), np.zeros((self.slots, len(self.models)), np.float32)
         first = np.cumsum([0, *map(len, held[:-1])])
@@ -160,6 +169,8 @@ class Identifier:
             to = slot[at]
             self._keys[to], self._kept[to] = kinds, fresh
             # two kinds for one slot: the last write of either array is the same row's
+        for at, lead in zip(first.tolist(), leads, strict=True):
+            scores[at : at + lead] = 0
         np.add.at(total, owners, np.add.reduceat(scores.astype(np.float64), first, axis=0))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -185,19 +196,22 @@ def fold(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, part, text): for each language `most` documents at most, those outside fold 0 with the
-    least hash of their id; part is 0 for those kept for calibration.
+    least hash of their id, as long as they stay within SAMPLE_BYTES; part is 0 for those kept for
+    calibration. Documents of more than a sixteenth of SAMPLE_BYTES are not drawn.
 
     A share of each language is drawn first, by hash, so that no language's rows meet in one task.
     """
     from pyspark.sql import Window
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    rows = rows.select("lang", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("draw"), "text")
+    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES // 16).select("lang", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("draw"), "text")
     counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row for each language
     # Twice the share that would do, of hashes spread evenly from 0 to 1.
     near = rows.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 20)) <= (1 << 20) * (2.0 * most + 32) / F.col("n"))
-    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
-    return ranked.where(F.col("place") <= most).select("lang", (F.col("place") % CALIBRATE).alias("part"), "text")
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    ranked = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    ranked = ranked.withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.where(F.col("bytes") <= SAMPLE_BYTES).select("lang", (F.col("place") % CALIBRATE).alias("part"), "text")
 
 
 def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Identifier:
@@ -230,12 +244,19 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Identifier:
         models.append(fit([tuple(x) for x in as_hash], alphabet))
     found = Identifier(languages, models, [(float("inf"), 0.0)] * len(models))
     if languages:
-        held = drawn.where("part = 0").select("lang", "text").toPandas()
+        sent = docs.sparkSession.sparkContext.broadcast(found)  # bounded by the sample
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                entropy, length = sent.value.entropies(batch.column(1).to_pylist())
+                at = [sent.value.languages.index(x) for x in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entropy[np.arange(len(at)), at]), pa.array(length)], ["lang", "entropy", "length"])
+
+        held = drawn.where(F.col("part") == 0).where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(score, "lang string, entropy double, length bigint").toPandas()
         for i, lang in enumerate(languages):
-            own = held.loc[held["lang"] == lang, "text"].tolist()
+            own = held[(held["lang"] == lang) & (held["length"] > 0)]
             if len(own) >= 8:
-                entropy, length = found.entropies(own)
-                mine = entropy[length > 0, i]
+                mine = own["entropy"].to_numpy()
                 middle = float(np.median(mine))
                 spread = 1.4826 * float(np.median(np.abs(mine - middle)))
                 found.limits[i] = (middle, max(spread, LEAST_DEVIATION))
