@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 from .cutting import keyed, remove_spans
 from .words import _LETTER, _grown, mixed
 
@@ -77,21 +77,9 @@ def _digests(pieces: Iterator[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))
 
 
-def first_digit(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """g: the gram of each run of each document."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                g = runs(data.as_buffer().to_pybytes(), length, gram)[2]
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
-
-    return keyed(docs).select("data").mapInArrow(scan, "g bigint")
-
-
-def second_digit(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """g, d1, d2, k_id, k_text, first, last, anchor: the runs with the digest of the bytes they cover."""
+def first_digits(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """g, d1, d2, k_id, k_text, first, last, anchor: the runs of all documents with their first two
+    digits, the gram and the digest of the bytes they cover. One scan takes both."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +146,10 @@ def _in_two_places(rows: DataFrame, *keys: str, at: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """k_id, k_text, spans: the byte ranges of each document covered by repeated windows; ranges may overlap."""
-    grams = staged(first_digit(docs, length, gram).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
-    kept = staged(second_digit(docs, length, gram).join(grams.hint("merge"), "g", "left_semi"), "runs")
+    every = staged(first_digits(docs, length, gram), "runs")
+    grams = staged(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
+    kept = staged(every.join(grams.hint("shuffle_hash"), "g", "left_semi"), "kept")
+    discard(every, grams)
 
     one = F.min(F.struct("k_id", "k_text", "first", "last", "anchor")).alias("one")
     kinds = staged(kept.groupBy("g", "d1", "d2").agg(F.count("*").alias("n"), one), "kinds")
