@@ -5,8 +5,7 @@ REACH bytes on either side, and MOST bytes after the last cut at the latest. Whe
 cut depends on the bytes around it alone, so copies of a passage fall into step REACH + WINDOW
 bytes after its start, whatever surrounds them. Chunks are deduplicated by a 128-bit digest: the
 first one in the order of (doc_id, text hash, place) stays, later ones go. Chunks are longer than
-REACH, but for what a forced cut leaves and for documents that are shorter; runs of repeated
-chunks no longer than that go only if they are a whole document.
+REACH bytes, unless the document is shorter: marks lie further apart, and forced cuts too.
 
 Chunks travel as (digest, document key, place, length), never with text. Counts per digest are
 partially aggregated before the shuffle, and the join back is a plain equi-join that adaptive
@@ -56,17 +55,12 @@ def cuts(data: bytes, reach: int = REACH, most: int = MOST) -> list[int]:
         # Of equal hashes the first counts; one that has its equal before it is no cut.
         marks = np.flatnonzero((own < least[: n - 2 * reach]) & (own <= least[reach + 1 :])) + reach + 1
     ends, last = [], 0
-    for m in marks.tolist():
-        while m - last > most:
-            last += most
+    for m in [*marks.tolist(), n]:
+        while m - last > most:  # a forced cut leaves more than `reach` bytes
+            last += most if m - last > most + reach else (m - last) // 2
             ends.append(last)
         ends.append(m)
         last = m
-    while n - last > most:
-        last += most
-        ends.append(last)
-    if last < n:
-        ends.append(n)
     return ends
 
 
@@ -112,8 +106,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     gap = F.coalesce(F.lag(F.col("place") + F.col("size")).over(order) != F.col("place"), F.lit(True))
     runs = later.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order))
     runs = runs.groupBy("k_id", "k_text", "run").agg(F.min("place").alias("start"), F.max(F.col("place") + F.col("size")).alias("end"))
-    # A first chunk as short as that is a whole document, as no mark is so near the start.
-    runs = runs.where((F.col("end") - F.col("start") > REACH) | (F.col("start") == 0))
     return runs.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 

@@ -53,6 +53,7 @@ def prove(path: str) -> Proof:
     import regex
     from tokenizers import Tokenizer
 
+    _refuse_others(json.load(open(path)))
     tokenizer = Tokenizer.from_file(path)
     split = regex.compile(PATTERN)
     letters = byte_letters()
@@ -77,6 +78,13 @@ def prove(path: str) -> Proof:
     return Proof(frozenset(whole), frozenset(doubtful), special)
 
 
+def _refuse_others(spec: dict) -> None:
+    """PATTERN is the split of byte-level BPE; a file with another split or a normaliser is an error."""
+    split = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        raise ValueError("the tokenizer file must be byte-level BPE with the published split, without normaliser or prefix space")
+
+
 def _members(tokenizer, points: list[str], name: str) -> set[int]:
     """Code points of a class as the tokenizer sees it: one of the class stays joined to the
     neighbour of that class before it."""

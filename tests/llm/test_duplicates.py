@@ -90,6 +90,47 @@ def test_chunk_dedup(odd, none, spark):
     assert chunk_dedup.deduplicate(none).count() == 0
 
 
+def brute_chunks(rows):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row: the first of equal chunks stays.
+    Rows of one id and text are one document."""
+    docs = sorted({(d, t) for d, t in rows}, key=lambda x: (x[0], spark_hash(x)))
+    seen, out = {}, {}
+    for doc in docs:
+        data, last, gone, kept, spans = doc[1], 0, 0, [], []
+        for end in chunk_dedup.cuts(data):
+            piece = data[last:end]
+            if seen.setdefault(piece, (doc, last)) == (doc, last):
+                kept.append(piece)
+            else:
+                gone += len(piece)
+                if spans and spans[-1][1] == last:
+                    spans[-1][1] = end
+                else:
+                    spans.append([last, end])
+            last = end
+        out[doc] = (doc[0], len(data), gone, len(spans), hashlib.sha256(b"".join(kept)).hexdigest())
+    return Counter(out[x] for x in rows)
+
+
+def spark_hash(doc):
+    return 0  # ids of different texts are left out of the comparison
+
+
+def test_chunk_dedup_brute(odd, spark):
+    known = [(d, (t or "").encode()) for d, t, *_ in odd_rows() if d is not None and d != 7]
+    table = odd.where("doc_id is not null and doc_id <> 7")
+    rng = random.Random(31)
+    passages = [prose(rng, rng.randint(20, 90)) for _ in range(12)]
+    more = [(1000 + i, " ".join(rng.choice(passages) if rng.random() < 0.4 else prose(rng, rng.randint(1, 60)) for _ in range(rng.randint(1, 9)))) for i in range(120)]
+    more += [(2000 + i, "q" * n) for i, n in enumerate((1, 22, 511, 512, 513, 534, 535, 1024, 5000, 5000))]
+    for df, rows in ((table, known), (spark.createDataFrame(more, "doc_id long, text string").repartition(4), [(d, t.encode()) for d, t in more])):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in chunk_dedup.deduplicate(df).collect())
+        assert got == brute_chunks(rows)
+    for _, t in more:
+        ends = [0, *chunk_dedup.cuts(t.encode())]
+        assert len(ends) < 3 or min(b - a for a, b in zip(ends, ends[1:], strict=False)) > chunk_dedup.REACH - 1
+
+
 def test_chunk_dedup_short_passages(spark):
     """Passages of 51 words lose most of their bytes in any surroundings, short whole copies all."""
     rng = random.Random(15)
