@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from .words import mixed, shingle_hashes, word_hashes
 
 #: Coordinates of a point, points of a tree node, and the most sets and flips of a block.
 DIMENSIONS, NODE, BLOCK_SETS, BLOCK_FLIPS = 256, 16, 2048, 1 << 20
+#: Shuffles that the cells are dealt over, one after the other, so that the disk holds one share at a time.
+TURNS = 2
 
 
 class Threshold:
@@ -136,16 +139,23 @@ def sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def centred(cells: DataFrame) -> DataFrame:
     """The distinct (z, x) of sets x and their centres z, from cells (sid, part, spare, cell): each set
-    leaves out its `spare` most frequent cells of a part, and the least set of a cell is its centre."""
+    leaves out its `spare` most frequent cells of a part, and the least set of a cell is its centre.
+    Cells that nobody shares, nearly all, go in TURNS shuffles, by hash, each of a share of them."""
     from pyspark.sql import Window
 
-    counts = cells.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
-    shared = cells.join(staged(counts, "counts").hint("shuffle_hash"), "cell")
+    parts = []
+    for turn in range(TURNS):
+        some = cells.where(F.pmod("cell", F.lit(TURNS)) == turn)
+        counts = staged(some.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+        parts.append(staged(some.join(counts.hint("shuffle_hash"), "cell"), "shared"))
+        discard(counts)
     place = F.row_number().over(Window.partitionBy("sid", "part").orderBy(F.desc("m"), "cell"))
-    kept = staged(shared.withColumn("place", place).where("place > spare").select("cell", "sid"), "kept")
+    kept = staged(reduce(DataFrame.unionByName, parts).withColumn("place", place).where("place > spare").select("cell", "sid"), "kept")
     leads = kept.groupBy("cell").agg(F.min("sid").alias("z"), F.max("sid").alias("last")).where("z <> last").select("cell", "z")
-    pairs = kept.join(staged(leads, "leads").hint("shuffle_hash"), "cell").where("sid <> z").select("z", F.col("sid").alias("x")).distinct()
-    return staged(pairs, "pairs")
+    leads = staged(leads, "leads")
+    pairs = staged(kept.join(leads.hint("shuffle_hash"), "cell").where("sid <> z").select("z", F.col("sid").alias("x")).distinct(), "pairs")
+    discard(*parts, kept, leads)
+    return pairs
 
 
 def contents(docs: DataFrame, made: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -303,7 +313,8 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     rows = made.select("doc_id", "rid", "n", "d1", "d2").join(staged(several, "several").hint("merge"), ["d1", "d2"], "left")
     rows = staged(rows.select("doc_id", "rid", "n", F.when(F.col("d1").isNotNull(), F.coalesce("sid", "rid")).alias("sid")), "rows")
 
-    one = made.where("d1 is not null").join(rows.where("sid <> rid").select("rid"), "rid", "left_anti")
+    copies = staged(rows.where("sid <> rid").select("rid"), "copies")
+    one = made.where("d1 is not null").join(copies, "rid", "left_anti")
     parts = [one.select(F.col("rid").alias("sid"), F.lit(p).alias("part"), spare, F.explode(cells).alias("cell")) for p, (spare, cells) in enumerate(((F.col("spare"), "cells"), (F.col("spare_next").alias("spare"), "cells_next")))]
     pairs = centred(parts[0].unionByName(parts[1]))
     own = contents(docs, made, pairs, k)
