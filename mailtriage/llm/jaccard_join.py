@@ -7,9 +7,10 @@ coordinate. It does once points are taken from a common centre, so the join goes
     cells     The sets of two linked documents differ in `most` shingles at most, so of most+1+spare
               ranges of the hash space spare+1 at least hold the same shingles in both. The content
               of each range is a cell. `most` follows from the size class; a document that may link
-              with one of the next class has that class' cells too. Each document leaves its `spare`
-              most frequent cells out (frequencies of the whole corpus), which cannot lose a pair:
-              of the cells that two documents share the rarest is left out by neither.
+              with one of the next class has that class' cells too. Each document leaves `spare` cells
+              out, first those of one shingle or none, then the most frequent ones (frequencies of
+              the whole corpus). This cannot lose a pair: the order is the same for all, and of
+              the cells that two documents share the last in that order is left out by neither.
     centres   Every set is compared with the least set of each of its cells, its centres. The
               comparison gives links, and the set's flips: the shingles that it and the centre
               don't share. Components of these links close most groups.
@@ -82,7 +83,7 @@ class Threshold:
         """(spare, lower ends of the ranges, their salts) of class c; no ranges if linked sets are equal."""
         if c not in self._plans:
             most = 2 * (self._bound(c + 1) - 1) * (self.den - self.num) // (self.den + self.num)
-            spare = most // 8 + 2
+            spare = most // 4 + 2
             m = most + 1 + spare if most else 0
             ends = [-(-j * 2**32 // m) << 32 for j in range(m)]
             self._plans[c] = (spare, np.array(ends, np.uint64), mixed(np.arange(m, dtype=np.uint64) + np.uint64(c << 32)))
@@ -94,14 +95,23 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def cells_of(shingles: np.ndarray, limit: Threshold) -> list[tuple[int, np.ndarray]]:
-    """(spare, cells) of a sorted set in each of its classes: a hash of each range's content."""
+    """(cells still to be left out, cells) of a sorted set in each of its classes: a hash of each range's
+    content. Cells of one shingle or none are left out here, the least hashes first."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)))
     out = []
     for c in limit.classes(len(shingles)):
         spare, ends, salts = limit.plan(c)
-        at = sums[np.searchsorted(shingles, ends)]
+        if not len(ends):
+            out.append((0, ends))
+            continue
+        first = np.append(np.searchsorted(shingles, ends), len(shingles))
+        at = sums[first]
         with np.errstate(over="ignore"):
-            out.append((spare, mixed(np.append(at[1:], sums[-1]) - at + salts) if len(ends) else ends))
+            cells = mixed(at[1:] - at[:-1] + salts)
+        few = np.flatnonzero(first[1:] - first[:-1] <= 1)
+        if len(few) > spare:
+            few = few[np.argsort(cells[few], kind="stable")[:spare]]
+        out.append((spare - len(few), np.delete(cells, few)))
     return out
 
 
@@ -158,7 +168,7 @@ def centred(cells: DataFrame) -> DataFrame:
     return pairs
 
 
-def contents(docs: DataFrame, made: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def contents(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(sid, content): the shingles of every set of pairs."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +180,22 @@ def contents(docs: DataFrame, made: DataFrame, pairs: DataFrame, k: int) -> Data
             found = [shingle_set(batch.column(1)[i].as_buffer().to_pybytes(), k).tobytes() for i in at]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(found, pa.binary())], ["sid", "content"])
 
-    wanted = pairs.select(F.col("z").alias("rid")).union(pairs.select("x")).distinct().join(made.select("rid", "k_id", "k_text").hint("merge"), "rid")
-    wanted = wanted.select(F.col("rid").alias("sid"), F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text"))
-    rows = keyed(docs).select("k_id", "k_text", "data")
-    rows = rows.join(wanted.hint("merge"), (rows["k_id"] == wanted["w_id"]) & (rows["k_text"] == wanted["w_text"])).select("sid", "data")
-    return staged(rows.mapInArrow(shingled, "sid bigint, content binary").dropDuplicates(["sid"]), "contents")
+    keys = rows.select("rid", F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text"))
+    wanted = pairs.select(F.col("z").alias("rid")).union(pairs.select("x")).distinct().join(keys.hint("merge"), "rid").withColumnRenamed("rid", "sid")
+    # Rows that repeat another's id and text have its key.
+    twice = staged(rows.groupBy("k_id", "k_text").agg(F.count("*").alias("m")).where("m > 1"), "repeated")
+    wanted = wanted.join(twice, (F.col("w_id") == twice["k_id"]) & (F.col("w_text") == twice["k_text"]), "left").select("sid", "w_id", "w_text", F.col("m").isNotNull().alias("again"))
+    wanted = staged(wanted, "wanted")
+    texts = keyed(docs).select("k_id", "k_text", "data")
+
+    def found(some: DataFrame) -> DataFrame:
+        met = texts.join(some.hint("merge"), (texts["k_id"] == some["w_id"]) & (texts["k_text"] == some["w_text"])).select("sid", "data")
+        return met.mapInArrow(shingled, "sid bigint, content binary")
+
+    out = found(wanted.where("not again"))
+    if not twice.isEmpty():
+        out = out.unionByName(found(wanted.where("again")).dropDuplicates(["sid"]))
+    return staged(out, "contents")
 
 
 def compared(pairs: DataFrame, own: DataFrame, num: int, den: int) -> DataFrame:
@@ -310,16 +331,17 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     """(doc_id, n, sid) of every row, and the components of set ids as (node, label)."""
     made = staged(sets(docs, k, num, den), "sets")
     several = made.where("d1 is not null").groupBy("d1", "d2").agg(F.min("rid").alias("sid"), F.count("*").alias("m")).where("m > 1").select("d1", "d2", "sid")
-    rows = made.select("doc_id", "rid", "n", "d1", "d2").join(staged(several, "several").hint("merge"), ["d1", "d2"], "left")
-    rows = staged(rows.select("doc_id", "rid", "n", F.when(F.col("d1").isNotNull(), F.coalesce("sid", "rid")).alias("sid")), "rows")
+    rows = made.select("doc_id", "rid", "k_id", "k_text", "n", "d1", "d2").join(staged(several, "several").hint("merge"), ["d1", "d2"], "left")
+    rows = staged(rows.select("doc_id", "rid", "k_id", "k_text", "n", F.when(F.col("d1").isNotNull(), F.coalesce("sid", "rid")).alias("sid")), "rows")
 
     copies = staged(rows.where("sid <> rid").select("rid"), "copies")
     one = made.where("d1 is not null").join(copies, "rid", "left_anti")
     parts = [one.select(F.col("rid").alias("sid"), F.lit(p).alias("part"), spare, F.explode(cells).alias("cell")) for p, (spare, cells) in enumerate(((F.col("spare"), "cells"), (F.col("spare_next").alias("spare"), "cells_next")))]
     pairs = centred(parts[0].unionByName(parts[1]))
-    own = contents(docs, made, pairs, k)
+    discard(made)
+    own = contents(docs, rows, pairs, k)
     deltas = compared(pairs, own, num, den)
-    discard(made, own, pairs)
+    discard(own, pairs)
     links = deltas.where("linked").select(F.col("x").alias("a"), F.col("z").alias("b"))
     labels = components(links)
     more = staged(rest(deltas, labels, num, den), "links")
