@@ -8,9 +8,10 @@ coordinate. It does once points are taken from a common centre, so the join goes
               ranges of the hash space spare+1 at least hold the same shingles in both. The content
               of each range is a cell. `most` follows from the size class; a document that may link
               with one of the next class has that class' cells too. Each document leaves `spare` cells
-              out, first those of one shingle or none, then the most frequent ones (frequencies of
-              the whole corpus). This cannot lose a pair: the order is the same for all, and of
+              out, first those without a shingle, then the most frequent ones (frequencies of the
+              whole corpus). This cannot lose a pair: the order is the same for all, and of
               the cells that two documents share the last in that order is left out by neither.
+              Nor has a document that shares no more than `spare` cells any left to meet in.
     centres   Every set is compared with the least set of each of its cells, its centres. The
               comparison gives links, and the set's flips: the shingles that it and the centre
               don't share. Components of these links close most groups.
@@ -96,7 +97,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 def cells_of(shingles: np.ndarray, limit: Threshold) -> list[tuple[int, np.ndarray]]:
     """(cells still to be left out, cells) of a sorted set in each of its classes: a hash of each range's
-    content. Cells of one shingle or none are left out here, the least hashes first."""
+    content. Cells without a shingle are left out here, the least hashes first."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)))
     out = []
     for c in limit.classes(len(shingles)):
@@ -108,7 +109,7 @@ def cells_of(shingles: np.ndarray, limit: Threshold) -> list[tuple[int, np.ndarr
         at = sums[first]
         with np.errstate(over="ignore"):
             cells = mixed(at[1:] - at[:-1] + salts)
-        few = np.flatnonzero(first[1:] - first[:-1] <= 1)
+        few = np.flatnonzero(first[1:] - first[:-1] == 0)
         if len(few) > spare:
             few = few[np.argsort(cells[few], kind="stable")[:spare]]
         out.append((spare - len(few), np.delete(cells, few)))
