@@ -2,9 +2,11 @@
 
 For every benchmark item of L words, each window of L words of each document gets a 64-bit SimHash
 of its 5-word shingles, weighted by their counts. A fingerprint within `radius` of an item's agrees
-with it up to radius // blocks bits in one of the blocks at least, so each block lists the items
-under all values that lie that near to theirs: no fingerprint within the radius is missed. Each is
-compared in full with the items of its lists, and the windows within the radius are verified by exact
+with it up to radius // blocks bits in one of the blocks at least, so each block has a table of the
+values that lie that near to an item's value: no fingerprint within the radius is missed. Those that
+a table lets through are compared in full with the items of that length (64 bits each; lists of items
+under each value would name a twentieth of them, at more than twenty times the cost of a comparison),
+and the windows within the radius are verified by exact
 weighted Jaccard similarity of their shingles (sum of minima of counts over sum of maxima).
 
 The radius alone would lose some windows whose similarity is little above the least one. Those are
@@ -115,13 +117,10 @@ class Index:
         for length, own in sorted(lengths.items()):
             prints = np.array([fingerprint(s) for _, s in own], np.uint64)
             near = np.array(neighbours(0, self.width, radius // blocks), np.int64)
-            owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
-            tables = []
+            tables = np.zeros((blocks, 1 << self.width), bool)
             for b in range(blocks):
-                slots = ((prints >> np.uint64(b * self.width)).astype(np.int64) & ((1 << self.width) - 1))[:, None] ^ near
-                order = np.argsort(slots, axis=None, kind="stable")
-                ends = np.cumsum(np.bincount(slots.ravel(), minlength=1 << self.width))
-                tables.append((ends > np.concatenate(([0], ends[:-1])), ends.astype(np.int32), owner[order]))
+                slots = (prints >> np.uint64(b * self.width)).astype(np.int64) & ((1 << self.width) - 1)
+                tables[b, (slots[:, None] ^ near).ravel()] = True
             self.by_length[length] = ([i for i, _ in own], prints, [Counter(s.tolist()) for _, s in own], tables)
         self._index_rare()
 
@@ -179,17 +178,15 @@ class Index:
         """(window, item) with fingerprints within the radius."""
         _, items, _, tables = self.by_length[length]
         values = np.ascontiguousarray(prints.view(f"u{self.width // 8}").reshape(-1, self.blocks).T).astype(np.intp)
-        found: set[tuple[int, int]] = set()
-        for (some, ends, owner), value in zip(tables, values, strict=True):
-            at = np.flatnonzero(some.take(value, mode="clip"))
-            if len(at):
-                to = ends[value[at]]
-                many = to - np.where(value[at] > 0, ends[value[at] - 1], 0)
-                window = np.repeat(at, many)  # each window by each item of its list
-                item = owner[np.arange(len(window)) - np.repeat(np.cumsum(many) - to, many)]
-                good = np.bitwise_count(prints[window] ^ items[item]) <= self.radius
-                found.update(zip(window[good].tolist(), item[good].tolist(), strict=True))
-        yield from sorted(found)
+        passed = tables[0].take(values[0], mode="clip")
+        for b in range(1, self.blocks):
+            passed |= tables[b].take(values[b], mode="clip")
+        at = np.flatnonzero(passed)
+        if len(at):
+            own = prints[at]
+            for j, f in enumerate(items):
+                for i in at[np.bitwise_count(own ^ f) <= self.radius]:
+                    yield int(i), j
 
     def matches(self, texts: list[str]) -> list[tuple[int, object, float, int]]:
         """(text, item, similarity, first word of the window) of the best window of each item in
