@@ -19,14 +19,21 @@ def indicators(rows: DataFrame, msg: str, values: dict[str, Column]) -> DataFram
 
 
 def shared(long: DataFrame) -> DataFrame:
-    """type, value, weight, n_messages, first_seen, messages of indicators in more than one message,
-    those with most messages first, then the heavier type, then the first seen."""
+    """type, value, weight, n_messages, first_seen of indicators in more than one message, those with
+    most messages first, then the heavier type, then the first seen. members() says which they are."""
     weights = F.create_map(*[F.lit(x) for pair in refdata.INDICATOR_WEIGHTS.items() for x in pair])
-    found = long.groupBy("type", "value").agg(F.count("*").alias("n_messages"), F.min("msg").alias("first_seen"), F.array_sort(F.collect_list("msg")).alias("messages"))
+    found = long.groupBy("type", "value").agg(F.count("*").alias("n_messages"), F.min("msg").alias("first_seen"))
     found = found.where("n_messages > 1").withColumn("weight", F.coalesce(F.try_element_at(weights, F.col("type")), F.lit(10)))
     return found.orderBy(F.desc("n_messages"), F.desc("weight"), "first_seen", "type", "value")
 
 
+def members(long: DataFrame, found: DataFrame) -> DataFrame:
+    """found (from shared) with msg: a row for each message of each shared indicator. One value may
+    be in most messages, so no list is gathered, and adaptive execution may split the join."""
+    own = long.select(F.col("type").alias("m_type"), F.col("value").alias("m_value"), "msg")
+    return found.join(own, (found["type"] == own["m_type"]) & (found["value"] == own["m_value"])).drop("m_type", "m_value")
+
+
 def cells(rows: DataFrame, msg: str, properties: list[str]) -> DataFrame:
     """(property, msg, value): a row for each property of each message."""
     parts = [F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties]

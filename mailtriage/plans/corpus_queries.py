@@ -210,13 +210,16 @@ def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select sha256(text) as value, count(*) as n_messages, min(doc_id) as first_seen, list_sort(list(doc_id)) as messages
-    from documents group by 1 having count(*) > 1""")
+    with h as (select doc_id, sha256(text) as value from documents),
+         s as (select value, count(*) as n_messages, min(doc_id) as first_seen from h where value is not null group by 1 having count(*) > 1)
+    select value, n_messages, first_seen, doc_id as msg from s join h using (value)""")
 def content_hash_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared indicators of type hash, with their members in order."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("value"))
-    shared = rows.groupBy("value").agg(F.count("*").alias("n_messages"), F.min("doc_id").alias("first_seen"), F.array_sort(F.collect_list("doc_id")).alias("messages"))
-    return shared.where("n_messages > 1")
+    """Shared indicators of type hash, a row for each member."""
+    from ..operators import correlate
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    long = correlate.indicators(rows, "doc_id", {"hash": F.col("hash")})
+    return correlate.members(long, correlate.shared(long)).select("value", "n_messages", "first_seen", "msg")
 
 
 _KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '^\s*(re|fw|fwd)\s*:\s*', ''), '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))"
@@ -249,16 +252,16 @@ def shared_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with c as (select 'lang' as property, doc_id % 50 as msg, min(lang) as value from documents group by 2
-               union all select 'source', doc_id % 50, min(source) from documents group by 2
-               union all select 'table', doc_id % 50, 'documents' from documents group by 2)
+    with c as (select 'lang' as property, doc_id as msg, lang as value from documents
+               union all select 'source', doc_id, source from documents
+               union all select 'table', doc_id, 'documents' from documents)
     select property, count(*) as n_cells, count(distinct value) as n_values, count(distinct value) = 1 and count(*) > 1 as identical from c group by property""")
 def compare_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a comparison: properties by message, and whether all messages agree."""
     from ..operators import correlate
 
-    rows = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 50).alias("msg")).agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
-    cells = correlate.cells(rows.withColumn("table", F.lit("documents")), "msg", ["lang", "source", "table"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.lit("documents").alias("table"))
+    cells = correlate.cells(rows, "doc_id", ["lang", "source", "table"])
     return correlate.agreement(cells).select("property", "n_cells", "n_values", "identical")
 
 
@@ -296,6 +299,30 @@ def _hits(marks: list[str]):
     return F.size(F.filter("words", lambda w: w.isin(marks))).cast("long")
 
 
+@query("""
+    with v as (select doc_id, (doc_id % 4)::int as malicious, (doc_id % 3)::int as suspicious, (doc_id % 101)::int as confidence, date '2024-01-01' - (doc_id % 400)::int as created,
+                      case doc_id % 4 when 0 then 'reject' when 1 then 'quarantine' when 2 then 'none' end as p, case doc_id % 3 when 0 then 'v=spf1 mx -all' when 1 then 'v=spf1 ~all' else 'v=spf1 ?all' end as spf, source || '.example.com' as target from documents)
+    select doc_id, case when malicious > 0 then 'malicious' when suspicious > 0 then 'suspicious' else 'clean' end as reputation,
+        case when confidence >= 50 then 'high' when confidence >= 25 then 'elevated' else 'low' end as abuse,
+        case when date '2024-01-01' - created <= 30 then 'bad' when date '2024-01-01' - created <= 180 then 'warn' else 'fine' end as age,
+        case p when 'reject' then 'good' when 'quarantine' then 'good' when 'none' then 'weak' else 'missing' end as dmarc,
+        case when spf like '%-all' then 'strict' when spf like '%~all' then 'soft' else 'open' end as spf,
+        regexp_full_match(target, '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?[.])+[a-z]{2,63}') as valid
+    from v""")
+def lookup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that judge answers of lookups, on answers derived from ids."""
+    from ..operators import lookups
+
+    n = F.col("doc_id")
+    policy = F.when(n % 4 == 0, "reject").when(n % 4 == 1, "quarantine").when(n % 4 == 2, "none")
+    spf = F.when(n % 3 == 0, "v=spf1 mx -all").when(n % 3 == 1, "v=spf1 ~all").otherwise("v=spf1 ?all")
+    today = F.lit("2024-01-01").cast("date")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", lookups.reputation(n % 4, n % 3).alias("reputation"), lookups.abuse_level(n % 101).alias("abuse"), lookups.domain_age(F.date_sub(today, (n % 400).cast("int")), today).alias("age"),
+        lookups.dmarc_strength(policy).alias("dmarc"), lookups.spf_strength(spf).alias("spf"), lookups.valid_domain(F.concat("source", F.lit(".example.com"))).alias("valid"),
+    )
+
+
 _TERMS = {"urgency": ["now", "today", "urgent"], "authority": ["on", "with", "are"], "social": ["you", "this", "from"]}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions import refdata as R
 from ..functions import text as T
-from ..operators import auth, correlate, identity, iocs, language, score, thread
+from ..operators import auth, identity, iocs, language, score, thread
 from ..sources import messages as M
 from ..sources import mime
 
@@ -94,21 +94,36 @@ def with_verdict(rows: DataFrame) -> DataFrame:
         F.when(blackmail, F.lit("Extortion / sextortion")), F.when(fee, F.lit("Advance-fee scam")), F.when(strong("lure") >= 2, F.lit("Prize / reward scam")),
         F.when(F.exists(ids, lambda i: i.rlike("lookalike|display-name|own-|mixed-script|thread-impersonation")), F.lit("Impersonation")), F.when(spoofed, F.lit("Sender spoofing")),
     ))
-    rows = rows.withColumn("score", F.greatest(points, floor).cast("int"))
+    # What a low score does not say.
+    told, routed = (F.col("trust.n_results") > 0) | (F.col("spf.n_sources") > 0), F.size("route") > 0
+    forwarded = F.col("headers.subject").rlike(r"(?i)\A\s*(?:fw|fwd)\s*:")
+    caveats = F.array_compact(F.array(
+        F.when(forwarded, F.lit("forwarded: the headers are the forwarder's")), F.when(~told & ~routed, F.lit("neither authentication nor route is recorded")).when(~told, F.lit("no authentication is recorded")),
+        F.when(business, F.lit("confirm payments by a known telephone number")), F.when(blackmail, F.lit("threats like these are nearly always bluff")), F.when(fee, F.lit("nothing is ever paid out after a fee")),
+    ))
+    rows = rows.withColumn("score", F.greatest(points, floor).cast("int")).withColumn("caveats", caveats)
     return rows.withColumn("tier", score.tier(F.col("score"))).withColumn("attack_types", types)
 
 
 def message_indicators(analyzed: DataFrame) -> DataFrame:
-    """(msg, type, value) of analyzed messages, for correlate.shared()."""
+    """(msg, type, value) of analyzed messages, for correlate.shared(). All indicators of a message
+    are one array, so the pipeline before runs once."""
     h = F.col("headers")
     sender = F.lower(F.substring_index(h["from"]["email"], "@", -1))
-    single = correlate.indicators(analyzed, "msg_id", {
+    single = {
         "from": h["from"]["email"], "domain": sender, "replyTo": h["reply_to"]["email"], "displayName": h["from"]["name"], "ip": F.col("sender_ip.public_ip"),
         "subject": T.subject_key(h["subject"]), "messageIdDomain": F.regexp_extract(h["message_id"], r"@([^>\s]+)", 1), "mailer": h["x_mailer"],
-    })
-    lists = {"url": F.transform(F.col("iocs.urls"), lambda u: u["value"]), "urlDomain": F.transform(F.col("iocs.urls"), lambda u: u["host"]), "hash": F.transform("file_risks", lambda f: f["sha256"]), "filename": F.transform("file_risks", lambda f: f["value"])}
-    org = analyzed.select(F.col("msg_id").alias("msg"), F.lit("domain").alias("type"), net.org_domain(sender).alias("value"))
-    out = single.unionByName(org)
-    for kind, values in lists.items():
-        out = out.unionByName(analyzed.select(F.col("msg_id").alias("msg"), F.lit(kind).alias("type"), F.explode(values).alias("value")))
-    return out.withColumn("value", F.lower("value")).where("value <> ''").dropDuplicates(["msg", "type", "value"])
+    }
+    urls, files = F.col("iocs.urls"), F.col("file_risks")
+    lists = {"url": (urls, "value"), "urlDomain": (urls, "host"), "hash": (files, "sha256"), "filename": (files, "value")}
+
+    def item(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lower(value.cast("string")).alias("value"))
+
+    one = F.array(*[item(k, v) for k, v in single.items()], item("domain", net.org_domain(sender)))
+    def items(kind: str, of: Column, field: str) -> Column:
+        return F.transform(of, lambda x: item(kind, x[field]))
+
+    many = [items(kind, of, field) for kind, (of, field) in lists.items()]
+    every = F.array_distinct(F.filter(F.concat(one, *[F.coalesce(m, F.array().cast("array<struct<type:string,value:string>>")) for m in many]), lambda i: i["value"] != ""))
+    return analyzed.select(F.col("msg_id").alias("msg"), F.explode(every).alias("i")).select("msg", "i.type", "i.value").dropDuplicates(["msg", "type", "value"])

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-MOST_DEPTH = 60
-
 _FILES = pa.list_(pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("inline", pa.bool_()), ("bytes", pa.binary())]))
 _SCHEMA = "text string, html string, files array<struct<filename:string,content_type:string,size:bigint,inline:boolean,bytes:binary>>"
 
@@ -64,19 +62,36 @@ def as_text(data: bytes, charset: str) -> str:
         return data.decode("utf-8", "replace")
 
 
-def walk(head: str, body: str, out: dict, depth: int = 0) -> None:
-    """Adds a part's text, HTML or file to out, or walks its parts."""
+def parts_of(body: str, boundary: str) -> list[str]:
+    """The parts between boundary lines. A boundary counts at the start of a line alone, whole."""
+    line = re.compile(r"(?:\A|\r?\n)--" + re.escape(boundary) + r"(--)?[ \t]*(?=\r?\n|\Z)")
+    out, start = [], None
+    for m in line.finditer(body):
+        if start is not None:
+            out.append(re.sub(r"\A\r?\n", "", body[start : m.start()]))
+        start = m.end()
+        if m[1]:
+            return out
+    return out if start is None else [*out, re.sub(r"\A\r?\n", "", body[start:])]
+
+
+def walk(head: str, body: str, out: dict) -> None:
+    """Adds the text, HTML and files of a message's parts to out, in order, nested to any depth."""
+    waiting = [(head, body, 0)]
+    while waiting:
+        head, body, depth = waiting.pop()
+        waiting += [(*split_head(part), depth + 1) for part in reversed(_add(head, body, out, depth))]
+
+
+def _add(head: str, body: str, out: dict, depth: int) -> list[str]:
+    """Adds a part to out, or returns the parts inside it."""
     own = fields(head)
     kind = own.get("content-type", "text/plain")
     mime = kind.split(";")[0].strip().lower()
     disposition = own.get("content-disposition", "")
     if mime.startswith("multipart/"):
         boundary = parameter(kind, "boundary")
-        for chunk in body.split("--" + boundary)[1:] if boundary and depth < MOST_DEPTH else ():
-            if chunk.startswith("--"):
-                break
-            walk(*split_head(re.sub(r"\r?\n\Z", "", re.sub(r"\A\r?\n", "", chunk))), out, depth + 1)
-        return
+        return parts_of(body, boundary) if boundary else []
     data = decoded(body, own.get("content-transfer-encoding", "7bit").strip().lower())
     name = parameter(disposition, "filename") or parameter(kind, "name")
     content_id = own.get("content-id", "").strip("<> ") or None
@@ -91,6 +106,7 @@ def walk(head: str, body: str, out: dict, depth: int = 0) -> None:
         out["html"].append(as_text(data, parameter(kind, "charset") or "utf-8"))
     elif mime.startswith("text/"):
         out["text"].append(as_text(data, parameter(kind, "charset") or "utf-8") + "\n")
+    return []
 
 
 def parse_bodies(messages: DataFrame) -> DataFrame:

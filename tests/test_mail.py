@@ -72,7 +72,10 @@ def test_verdicts(analyzed):
 
 
 def test_campaign(analyzed):
-    found = {(r.type, r.value): r.messages for r in correlate.shared(triage.message_indicators(analyzed[0])).collect()}
+    long = triage.message_indicators(analyzed[0])
+    found = {}
+    for r in correlate.members(long, correlate.shared(long)).orderBy("msg").collect():
+        found.setdefault((r.type, r.value), []).append(r.msg)
     pair = ["fake", "twin"]
     for key in (("ip", "198.51.100.50"), ("replyTo", "help@gmail.com"), ("domain", "paypa1.com"), ("urlDomain", "paypa1-verify.top"), ("subject", "invoice # overdue"), ("mailer", "masssend 2"), ("filename", "invoice.pdf.exe")):
         assert found[key] == pair, key
