@@ -80,9 +80,9 @@ def carried(text: str) -> list[bytes]:
     return [blob for blob in out if len(blob) >= LEAST_BYTES]
 
 
-def inspect(html: str | None) -> dict:
+def inspect(html: str | None, blobs: list[bytes] | None = None) -> dict:
     """What a page would do if it were opened: see SCHEMA. An address has its strongest use; those of
-    hidden layers come after the page's own."""
+    hidden layers come after the page's own. The bytes of the payloads are added to blobs."""
     form, found, payloads, saved, layers = False, {}, [], [], 0
     waiting = [(html or "", 0)]
     while waiting:
@@ -103,6 +103,8 @@ def inspect(html: str | None) -> dict:
             elif depth < LAYERS and _MARKUP.search(inner := blob.decode("utf-8", "replace")):
                 layers += 1
                 waiting.append((inner, depth + 1))
+    if blobs is not None:
+        blobs += payloads
     named = [{"name": saved[min(i, len(saved) - 1)] if saved else f"embedded-{i + 1}", "size": len(b), "head": b[:8].hex()} for i, b in enumerate(payloads)]
     return {"password_form": form, "destinations": list(found.values()), "payloads": named, "hidden_layers": layers}
 

@@ -119,15 +119,29 @@ def diminishing(n: Column, first: int, more: int) -> Column:
     return F.when(n > 0, first + F.least(n - 1, F.lit(4)) * more).otherwise(0)
 
 
-#: File signatures, first match wins: (type, offset, bytes in hex).
-SIGNATURES = (
-    ("PE program", 0, "4D5A"), ("ELF program", 0, "7F454C46"), ("PDF", 0, "25504446"), ("RAR", 0, "526172211A07"),
-    ("7-Zip", 0, "377ABCAF271C"), ("ZIP", 0, "504B0304"), ("GZIP", 0, "1F8B"), ("OLE", 0, "D0CF11E0A1B11AE1"),
-    ("RTF", 0, "7B5C727466"), ("PNG", 0, "89504E470D0A1A0A"), ("JPEG", 0, "FFD8FF"), ("GIF", 0, "474946383961"),
-    ("GIF", 0, "474946383761"), ("CAB", 0, "4D534346"), ("shortcut", 0, "4C0000000114020000000000C000000000000046"),
+# File types by their first bytes (hex), first match wins, and the extensions they have
+# by right. A disk image is told by bytes further in.
+FILE_TYPES = (
+    ("PE program", "4D5A", "exe dll scr sys cpl ocx msi"), ("ELF program", "7F454C46", "elf so bin"), ("Mach-O program", "CFFAEDFE", "dylib bin app"), ("PDF", "25504446", "pdf"),
+    ("ZIP", "504B", "zip docx xlsx pptx odt ods odp jar apk epub vsdx xlsm docm pptm"), ("RAR", "52617221", "rar"), ("7-Zip", "377ABCAF271C", "7z"), ("GZIP", "1F8B", "gz tgz"),
+    ("OLE", "D0CF11E0", "doc xls ppt msg vsd"), ("RTF", "7B5C727466", "rtf doc"), ("PNG", "89504E47", "png"), ("JPEG", "FFD8FF", "jpg jpeg"), ("GIF", "47494638", "gif"), ("BMP", "424D", "bmp"),
+    ("ICO", "00000100", "ico"), ("shortcut", "4C000000", "lnk"), ("Java class", "CAFEBABE", "class"), ("ISO", "4344303031", "iso"),
 )
+OFFSETS = {"ISO": 0x8001}
+PROGRAMS = ("PE program", "ELF program", "Mach-O program", "shortcut", "Java class")
 
 
 def sniffed(content: Column) -> Column:
-    """The type that a file's first bytes tell, or null."""
-    return F.coalesce(*[F.when(F.hex(F.substring(content, at + 1, len(code) // 2)) == code, F.lit(kind)) for kind, at, code in SIGNATURES])
+    """The type that a file's bytes tell, or null."""
+    return F.coalesce(*[F.when(F.hex(F.substring(content, OFFSETS.get(kind, 0) + 1, len(code) // 2)) == code, F.lit(kind)) for kind, code, _ in FILE_TYPES])
+
+
+def belongs(kind: Column, extension: Column) -> Column:
+    """Whether a file type has an extension by right; a file without extension or known type does."""
+    known = F.create_map(*[x for name, _, ends in FILE_TYPES for x in (F.lit(name), F.array(*[F.lit(e) for e in ends.split()]))])
+    return kind.isNull() | (F.coalesce(extension, F.lit("")) == "") | F.array_contains(F.element_at(known, kind), extension)
+
+
+def stripped(text: Column) -> Column:
+    """Text without the characters that turn its direction."""
+    return F.regexp_replace(text, BIDI, "")

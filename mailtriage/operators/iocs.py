@@ -21,8 +21,9 @@ def risk(test: Column, kind: str, level: str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("type"), F.lit(level).alias("level")))
 
 
-def url_risks(url: Column, mismatch: Column | None = None) -> Column:
-    """array of struct(type, level): what speaks against a link, in a fixed order."""
+def url_risks(url: Column, mismatch: Column | None = None, service: Column | None = None, asks: Column | None = None) -> Column:
+    """array of struct(type, level): what speaks against a link, in a fixed order. service is the
+    collecting service it belongs to, asks tells whether a password form sends to it."""
     low = F.lower(url)
     host = net.url_host(url)
     after = F.regexp_extract(low, r"\A[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
@@ -36,6 +37,10 @@ def url_risks(url: Column, mismatch: Column | None = None) -> Column:
         risk(ending.isin(R.ARCHIVE_URL_EXTENSIONS), "direct-download", "medium"), risk(net.risky_tld(host), "risky-tld", "medium"), risk(net.lookalike(host).isNotNull(), "brand-lookalike", "high"),
         risk(net.under_domain(host, R.SHORTENERS), "url-shortener", "medium"), risk(host.contains("xn--"), "punycode", "high"), risk(net.valid_ipv4(host) | F.startswith(host, F.lit("[")), "ip-url", "high"),
     ]
+    if service is not None:
+        tests.append(risk(service.isNotNull(), "exfil-endpoint", "high"))
+    if asks is not None:
+        tests.append(risk(asks, "credential-form", "high"))
     if mismatch is not None:
         tests.append(risk(mismatch, "mismatch", "high"))
     return F.array_compact(F.array(*tests))
@@ -48,15 +53,44 @@ def deceptive(label: Column, href: Column) -> Column:
 
 
 def with_iocs(rows: DataFrame) -> DataFrame:
-    """rows (headers, body_text, links) with the column `iocs`: urls, domains, ips, emails."""
+    """rows (headers, body_text, links, destinations, wrapped) with the column `iocs`: urls, domains,
+    ips, emails. Addresses that pages send data to, and those behind wrapped links, are links too; a
+    value has its first source."""
     h = F.col("headers")
     text = F.coalesce("body_text", F.lit(""))
-    plain = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(URL), F.lit(0))), lambda u: F.struct(u.alias("value"), F.lit(False).alias("mismatch")))
+    def link(value: Column, source: str) -> Column:
+        return F.struct(value.alias("value"), F.lit(source).alias("source"), F.lit(False).alias("mismatch"), F.lit(None).cast("string").alias("service"), F.lit(False).alias("asks"))
+
+    def values(items: Column, field: str = "value") -> Column:
+        return F.transform(items, lambda u: u[field])
+
     linked = F.transform(F.filter("links", lambda x: x["href"] != ""), lambda x: F.struct(x["href"].alias("value"), deceptive(x["label"], x["href"]).alias("mismatch")))
-    rows = rows.withColumn("_urls", F.concat(plain, linked))
-    values = F.array_distinct(F.transform("_urls", lambda u: u["value"]))
-    rows = rows.withColumn("_urls", F.transform(values, lambda v: F.struct(v.alias("value"), F.exists("_urls", lambda u: (u["value"] == v) & u["mismatch"]).alias("mismatch"))))
-    urls = F.transform("_urls", lambda u: F.struct(u["value"].alias("value"), net.url_host(u["value"]).alias("host"), u["mismatch"].alias("mismatch"), url_risks(u["value"], u["mismatch"]).alias("risks")))
+    parts = F.struct(F.array_distinct(F.regexp_extract_all(text, F.lit(URL), F.lit(0))).alias("text"), linked.alias("link"), F.col("destinations").alias("page"))
+
+    def every(x: Column) -> Column:
+        """One struct for each value. Sets of values are hashed; deceptive links and addresses of
+        collectors are few, so looking them up stays short."""
+        names = F.struct(
+            x["text"].alias("text"), F.array_except(values(x["link"]), x["text"]).alias("link"), F.array_except(values(x["page"], "url"), F.concat(x["text"], values(x["link"]))).alias("page"),
+            F.array_distinct(values(F.filter(x["link"], lambda u: u["mismatch"]))).alias("deceptive"), F.array_distinct(values(F.filter(x["page"], lambda d: d["asks"]), "url")).alias("asking"),
+            F.filter(x["page"], lambda d: d["service"].isNotNull()).alias("served"),
+        )
+
+        def build(k: Column) -> Column:
+            def own(source: str) -> Column:
+                return F.transform(k[source], lambda v: F.struct(
+                    v.alias("value"), F.lit(source).alias("source"), F.array_contains(k["deceptive"], v).alias("mismatch"),
+                    F.get(F.filter(k["served"], lambda d: d["url"] == v), F.lit(0))["service"].alias("service"), F.array_contains(k["asking"], v).alias("asks"),
+                ))
+
+            known = F.concat(k["text"], k["link"], k["page"])
+            behind = F.filter("wrapped", lambda w: F.array_contains(known, w["url"]) & ~F.array_contains(known, w["destination"]))
+            return F.concat(*[own(source) for source in ("text", "link", "page")], F.transform(F.array_distinct(values(behind, "destination")), lambda v: link(v, "unwrapped")))
+
+        return net.let(names, build)
+
+    rows = rows.withColumn("_urls", net.let(parts, every))
+    urls = F.transform("_urls", lambda u: F.struct(u["value"].alias("value"), net.url_host(u["value"]).alias("host"), u["mismatch"].alias("mismatch"), u["source"].alias("source"), u["service"].alias("service"), url_risks(u["value"], u["mismatch"], u["service"], u["asks"]).alias("risks")))
     senders = F.array_compact(F.array(h["from"]["email"], h["reply_to"]["email"], h["return_path"]["email"]))
     emails = F.array_distinct(F.concat(senders, net.find_emails(text)))
     flagged = F.transform(emails, lambda e: F.struct(e.alias("value"), net.under_domain(F.substring_index(e, "@", -1), DISPOSABLE).alias("disposable")))

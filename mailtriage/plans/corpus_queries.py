@@ -323,6 +323,38 @@ def lookup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the default phrases and the patterns in every document, by category. No SQL: matches
+    never overlap, a strong or longer one wins."""
+    from ..operators import language
+
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), "text")
+    return language.category_scores(language.matches(texts)).withColumnRenamed("msg_id", "doc_id")
+
+
+@query()
+def page_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pages send data and what they carry, read statically. No SQL: layers are decoded."""
+    from ..functions import htmlscan
+
+    return htmlscan.inspected(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+
+@query("""
+    select distinct url as destination, 'Unwrapped: ' || label as note
+    from pages cross join (values ('Microsoft Defender Safe Links'), ('Google redirect')) as g(label) where url like 'http%'""")
+def unwrapped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages, wrapped by two gateways and taken out again."""
+    from ..functions import urldecode
+
+    inside = F.url_encode("url")
+    links = F.array(F.concat(F.lit("https://eur01.safelinks.protection.outlook.com/?data=1&url="), inside), F.concat(F.lit("https://www.google.com/url?sa=t&q="), inside))
+    rows = table(spark, sf_dir, "pages").where(F.col("url").startswith("http")).select(F.explode(links).alias("url"))
+    return urldecode.destinations(rows).select("destination", "note")
+
+
 _TERMS = {"urgency": ["now", "today", "urgent"], "authority": ["on", "with", "are"], "social": ["you", "this", "from"]}
 
 

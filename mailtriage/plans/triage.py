@@ -40,60 +40,98 @@ def ioc_points() -> Column:
 
 
 def file_risks() -> Column:
-    """array of struct(value, sha256, risks) for the files of a message, by name and first bytes."""
+    """array of struct(value, within, sha256, md5, sniffed, risks) for the files of a message: by name,
+    by bytes, and by what a page would do."""
 
     def one(f: Column) -> Column:
-        kind = T.sniffed(f["bytes"])
-        risks = F.array_compact(F.array(
-            iocs.risk(T.bidi_control(f["filename"]), "rtlo-name", "high"), iocs.risk(T.double_extension(f["filename"]), "double-extension", "high"),
-            iocs.risk(kind.isin("PE program", "ELF program", "shortcut"), "executable-content", "high"), iocs.risk(T.risky_extension(f["filename"]), "risky-extension", "high"),
-        ))
-        return F.struct(f["filename"].alias("value"), F.sha2(f["bytes"], 256).alias("sha256"), F.md5(f["bytes"]).alias("md5"), kind.alias("sniffed"), risks.alias("risks"))
+        kind, name = T.sniffed(f["bytes"]), T.stripped(f["filename"])
+
+        def judged(k: Column) -> Column:
+            program = k.isin(*T.PROGRAMS)
+            first = F.array_compact(F.array(
+                iocs.risk(T.bidi_control(f["filename"]), "rtlo-name", "high"), iocs.risk(T.double_extension(name), "double-extension", "high"), iocs.risk(f["login"], "login-form", "high"),
+            ))
+            served = F.transform(F.coalesce(f["services"], F.array().cast("array<string>")), lambda s: F.struct(F.lit("exfil").alias("type"), F.lit("high").alias("level")))
+            last = F.array_compact(F.array(
+                iocs.risk(f["carried"] > 0, "smuggled-file", "high"), iocs.risk(f["layers"] > 0, "hidden-layer", "medium"), iocs.risk(program, "executable-content", "high"),
+                iocs.risk(~program & ~T.belongs(k, T.extension_of(name)), "type-mismatch", "medium"), iocs.risk(f["smuggling"], "html-smuggling", "high"), iocs.risk(f["scripted"], "scripted-page", "medium"),
+                iocs.risk(k.isin("RAR", "7-Zip", "GZIP"), "archive", "medium"), iocs.risk(T.risky_extension(name), "risky-extension", "high"),
+            ))
+            risks = F.concat(first, served, last)
+            return F.struct(f["filename"].alias("value"), f["within"].alias("within"), F.sha2(f["bytes"], 256).alias("sha256"), F.md5(f["bytes"]).alias("md5"), k.alias("sniffed"), risks.alias("risks"))
+
+        return net.let(kind, judged)
 
     return F.transform("files", one)
 
 
 def analyze(messages: DataFrame, own_domains: tuple[str, ...] = (), phrases: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """messages (msg_id, raw) to one wide row each: headers, authentication, body, indicators,
-    findings, points, score, tier and attack types. Texts without a message header go.
+    findings, points, score, tier, attack types, reasons and caveats. Texts without a message header
+    go (rejects() has them).
 
-    Only the language counts are shuffled, by msg_id.
+    Nothing is shuffled: rows of equal msg_id are messages of their own.
     """
     parsed = M.parse_headers(messages).where(M.is_message(F.col("headers")))
     rows = auth.authenticate(parsed)
-    rows = thread.with_thread(identity.with_findings(mime.parse_bodies(rows), own=own_domains)).drop("thread_text")
+    rows = thread.with_thread(identity.with_findings(mime.parse_bodies(rows), own=own_domains))
+    rows = rows.withColumn("hits", language.hits(F.col("body_text"), phrases)).withColumn("quoted_hits", language.hits(F.col("quoted_text"), phrases)).drop("quoted_text")
     told = thread.thread_findings(F.col("headers"), F.col("quoted"), F.col("separators"), auth.sent_at(F.col("headers.date")))
-    rows = rows.withColumn("findings", F.concat("findings", told))
-    form = F.col("html").rlike(r"""(?i)<input\b[^>]*type\s*=\s*["']?password""")
-    rows = iocs.with_iocs(rows).withColumn("file_risks", file_risks()).withColumn("password_form", F.coalesce(form, F.lit(False)))
-    points = language.language_points(language.category_scores(language.matches(rows.select("msg_id", F.col("body_text").alias("text")), phrases)))
-    points = points.withColumnRenamed("msg_id", "of_msg")
-    rows = rows.join(points, rows["msg_id"] == points["of_msg"], "left").drop("of_msg")
-    rows = rows.withColumns({"auth_points": score.clamped(auth_points(rows).cast("double")), "ioc_points": score.clamped(ioc_points().cast("double")), "language_points": score.clamped(F.coalesce("language", F.lit(0)).cast("double"))})
-    return with_verdict(rows).drop("language")
+    rows = rows.withColumn("findings", F.concat("findings", thread.with_payment(told, F.col("quoted"), language.n_strong(F.col("quoted_hits"), "bec")))).drop("quoted_hits")
+    rows = iocs.with_iocs(rows).withColumn("file_risks", file_risks()).withColumn("password_form", F.coalesce("body_page.login", F.lit(False)))
+    rows = rows.withColumn("strong", language.strong_map(F.col("hits")))
+    parts = {"auth_points": auth_points(rows), "ioc_points": ioc_points(), "language_points": language.points_of(F.col("strong"))}
+    return with_verdict(rows.withColumns({k: score.clamped(v.cast("double")) for k, v in parts.items()}))
+
+
+def rejects(messages: DataFrame) -> DataFrame:
+    """(msg_id, reason) of the rows that analyze() leaves out."""
+    empty = F.trim(F.coalesce("raw", F.lit(""))) == ""
+    return M.parse_headers(messages).where(~F.coalesce(M.is_message(F.col("headers")), F.lit(False))).select("msg_id", F.when(empty, "empty").otherwise("no message header").alias("reason"))
+
+
+PHONE = r"[0-9][0-9\s().-]{7,}[0-9]"
 
 
 def with_verdict(rows: DataFrame) -> DataFrame:
-    """score, tier and attack_types from the points, with the floors that decisive findings set."""
+    """score, tier, attack_types, reasons and caveats from the points, with the floors that decisive
+    findings set."""
 
     def strong(category: str) -> Column:
         return language.strong_count(F.col("strong"), category)
 
-    urls, files = F.col("iocs.urls"), F.col("file_risks")
-    business, blackmail, fee = strong("bec") >= 2, strong("extortion") >= 2, strong("advancefee") >= 3
-    decisive = _has(files, "rtlo-name", "executable-content")
-    points = score.total(F.col("auth_points"), F.col("ioc_points"), F.col("language_points"))
-    fabricated = F.exists("findings", lambda f: (f["module"] == "thread") & (f["severity"] == "high"))
-    floor = F.when(decisive, R.TIER_HIGH).when(business | blackmail | fee | fabricated | F.col("password_form"), R.TIER_SUSPICIOUS).otherwise(0)
+    urls, files, form = F.col("iocs.urls"), F.col("file_risks"), F.col("password_form")
+    business, blackmail, fee, prize = strong("bec") >= 2, strong("extortion") >= 2, strong("advancefee") >= 3, strong("lure") >= 2
+    leak, smuggled = _has(urls, "exfil-endpoint") | _has(files, "exfil"), _has(files, "smuggled-file")
+    renamed, program = _has(files, "rtlo-name"), _has(files, "executable-content")
+    login, typed = _has(files, "login-form"), _has(urls, "credential-form")
     ids = F.transform("findings", lambda f: f["id"])
+    fabricated = F.exists("findings", lambda f: (f["module"] == "thread") & (f["severity"] == "high"))
+    points = score.total(F.col("auth_points"), F.col("ioc_points"), F.col("language_points"))
+    floor = F.when(leak | smuggled | renamed | program, R.TIER_HIGH).when(business | blackmail | fee | fabricated | login | form | typed, R.TIER_SUSPICIOUS).otherwise(0)
+
     spoofed = (F.col("dmarc.status") == "fail") | F.coalesce(F.col("alignment.dmarc_aligned") == F.lit(False), F.lit(False))
+    page = ("login-form", "exfil", "hidden-layer")
+    harmful = F.exists(files, lambda f: F.exists(f["risks"], lambda r: r["level"] == "high") & F.exists(f["risks"], lambda r: ~r["type"].isin(*page)))
+    dialled = F.exists("hits", lambda m: (m["category"] == "social") & (m["tier"] == "strong") & m["phrase"].rlike(PHONE)) & ~F.exists(urls, lambda u: ~u["value"].rlike(r"(?i)\Amailto:"))
+    asked = (strong("credential") >= 1) & ((F.size(urls) > 0) | (F.size(files) > 0))
     types = F.array_compact(F.array(
-        F.when(business, F.lit("BEC / payment fraud")),
-        F.when(F.col("password_form") | ((strong("credential") >= 1) & ((F.size(urls) > 0) | (F.size(files) > 0))), F.lit("Credential phishing")),
-        F.when(F.exists(files, lambda f: F.size(f["risks"]) > 0) | _has(urls, "direct-download"), F.lit("Malware delivery")),
-        F.when(blackmail, F.lit("Extortion / sextortion")), F.when(fee, F.lit("Advance-fee scam")), F.when(strong("lure") >= 2, F.lit("Prize / reward scam")),
+        F.when(business | F.array_contains(ids, "thread-payment"), F.lit("BEC / payment fraud")),
+        F.when(form | leak | login | typed | asked, F.lit("Credential phishing")),
+        F.when(harmful | _has(urls, "direct-download") | smuggled | program, F.lit("Malware delivery")),
+        F.when(blackmail, F.lit("Extortion / sextortion")), F.when(fee, F.lit("Advance-fee scam")), F.when(dialled, F.lit("Callback phishing")), F.when(prize, F.lit("Prize / reward scam")),
         F.when(F.exists(ids, lambda i: i.rlike("lookalike|display-name|own-|mixed-script|thread-impersonation")), F.lit("Impersonation")), F.when(spoofed, F.lit("Sender spoofing")),
     ))
+    reasons = F.array_compact(F.array(
+        F.when(leak, F.lit("decisive: a page sends what is typed to a collecting service")), F.when(smuggled, F.lit("decisive: a page carries a file inside itself")),
+        F.when(renamed, F.lit("decisive: a file name hides its extension")), F.when(program, F.lit("decisive: a file is a program")),
+        F.when(fabricated, F.lit("the quoted conversation looks made up")), F.when(login, F.lit("a login page is attached")), F.when(form, F.lit("the message asks for a password")),
+        F.when(typed, F.lit("a form sends passwords to another address")), F.when(business, F.lit("it presses for a payment")), F.when(blackmail, F.lit("it threatens to expose the reader")),
+        F.when(fee, F.lit("it asks for a fee before a payout")),
+    ))
+    noted = F.transform(F.filter("findings", lambda f: f["severity"] == "high"), lambda f: f["title"])
+    worded = F.transform(F.filter(F.map_entries("strong"), lambda e: e["value"] > 0), lambda e: F.concat(e["key"], F.lit(" wording: "), e["value"].cast("string")))
+    linked = F.transform(F.array_distinct(F.flatten(F.transform(urls, lambda u: F.transform(u["risks"], lambda r: r["type"])))), lambda t: F.concat(F.lit("link: "), t))
     # What a low score does not say.
     told, routed = (F.col("trust.n_results") > 0) | (F.col("spf.n_sources") > 0), F.size("route") > 0
     forwarded = F.col("headers.subject").rlike(r"(?i)\A\s*(?:fw|fwd)\s*:")
@@ -101,7 +139,7 @@ def with_verdict(rows: DataFrame) -> DataFrame:
         F.when(forwarded, F.lit("forwarded: the headers are the forwarder's")), F.when(~told & ~routed, F.lit("neither authentication nor route is recorded")).when(~told, F.lit("no authentication is recorded")),
         F.when(business, F.lit("confirm payments by a known telephone number")), F.when(blackmail, F.lit("threats like these are nearly always bluff")), F.when(fee, F.lit("nothing is ever paid out after a fee")),
     ))
-    rows = rows.withColumn("score", F.greatest(points, floor).cast("int")).withColumn("caveats", caveats)
+    rows = rows.withColumn("score", F.greatest(points, floor).cast("int")).withColumn("caveats", caveats).withColumn("reasons", F.array_distinct(F.concat(reasons, noted, linked, worded)))
     return rows.withColumn("tier", score.tier(F.col("score"))).withColumn("attack_types", types)
 
 

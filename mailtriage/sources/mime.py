@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import binascii
 import codecs
+import html
 import re
 from collections.abc import Iterator
 
@@ -16,10 +17,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import htmlscan, urldecode
 from ..functions import text as T
 
-_FILES = pa.list_(pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("inline", pa.bool_()), ("bytes", pa.binary())]))
-_SCHEMA = "text string, html string, files array<struct<filename:string,content_type:string,size:bigint,inline:boolean,bytes:binary>>"
+# What a page says of itself: a file's, and that of the message's own HTML.
+_PAGE = {"login": pa.bool_(), "services": pa.list_(pa.string()), "carried": pa.int32(), "layers": pa.int32(), "smuggling": pa.bool_(), "scripted": pa.bool_()}
+_PAGE_KIND = "login:boolean,services:array<string>,carried:int,layers:int,smuggling:boolean,scripted:boolean"
+_FILES = pa.list_(pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("inline", pa.bool_()), ("bytes", pa.binary()), ("within", pa.string()), *_PAGE.items()]))
+_DESTINATIONS = pa.list_(pa.struct([("url", pa.string()), ("kind", pa.string()), ("service", pa.string()), ("within", pa.string()), ("asks", pa.bool_())]))
+_WRAPPED = pa.list_(pa.struct([("url", pa.string()), ("destination", pa.string()), ("note", pa.string())]))
+_SCHEMA = (
+    f"text string, html string, files array<struct<filename:string,content_type:string,size:bigint,inline:boolean,bytes:binary,within:string,{_PAGE_KIND}>>, "
+    f"body_page struct<{_PAGE_KIND}>, destinations array<struct<url:string,kind:string,service:string,within:string,asks:boolean>>, wrapped array<struct<url:string,destination:string,note:string>>"
+)
+
+# Extensions of files that are read as pages, uses of an address that plain links and
+# images cover already, uses that carry what is typed, and the signs of a page that builds a file.
+PAGE_EXTENSIONS = frozenset("htm html shtml xhtml svg hta mht mhtml".split())
+COVERED = frozenset(("link", "image", "stylesheet or resource"))
+TYPED = frozenset(("form target", "fetch", "XMLHttpRequest", "jQuery request", "beacon", "request URL"))
+SMUGGLING = (r"new\s+Blob\s*\(|msSaveOrOpenBlob|createObjectURL", r"download\s*=|\.click\s*\(\)", r"base64,[A-Za-z0-9+/=]{500,}|atob\s*\(")
+
+_URL = re.compile(r"""https?://[^\s<>"')\]]+""", re.I)
+_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""", re.I)
 
 
 def split_head(part: str) -> tuple[str, str]:
@@ -109,8 +129,50 @@ def _add(head: str, body: str, out: dict, depth: int) -> list[str]:
     return []
 
 
+def _page(text: str, within: str | None, out: dict, blobs: list[bytes]) -> dict:
+    """Reads a page: its traits, with the addresses it sends data to in out."""
+    found = htmlscan.inspect(text, blobs)
+    for d in found["destinations"]:
+        if d["kind"] not in COVERED or d["hidden"]:
+            out["destinations"].append({"url": d["url"], "kind": d["kind"], "service": d["service"], "within": within, "asks": found["password_form"] and d["kind"] in TYPED})
+    services = list(dict.fromkeys(d["service"] for d in found["destinations"] if d["service"]))
+    signs = sum(bool(re.search(sign, text, re.I)) for sign in SMUGGLING)
+    named = [p["name"] for p in found["payloads"]]
+    return {"login": found["password_form"], "services": services, "carried": len(named), "layers": found["hidden_layers"], "smuggling": signs >= 2, "scripted": "<script" in text.lower(), "names": named}
+
+
+def read_pages(out: dict) -> None:
+    """Reads the message's HTML and the files that are pages. Files that a page carries become files
+    of their own; nothing inside those is read again."""
+    body = "".join(out["html"])
+    out["destinations"], out["body_page"] = [], None
+    if body:
+        out["body_page"] = _page(body, None, out, [])
+    for f in list(out["files"]):
+        extension = re.search(r"\.([A-Za-z0-9]+)$", f["filename"])
+        if f["bytes"] and (re.search("html|svg", f["content_type"]) or (extension and extension[1].lower() in PAGE_EXTENSIONS)):
+            blobs: list[bytes] = []
+            page = _page(f["bytes"].decode("utf-8", "replace"), f["filename"], out, blobs)
+            f |= page
+            for name, blob in zip(page["names"], blobs, strict=True):
+                out["files"].append({"filename": name, "content_type": "application/octet-stream", "size": len(blob), "inline": False, "bytes": blob, "within": f["filename"]})
+
+
+def wrapped_links(out: dict) -> list[dict]:
+    """The links of a message that gateways or redirects wrap, with the http(s) address behind."""
+    page = "".join(out["html"])
+    shown = _URL.findall("".join(out["text"])) + [x.strip() for x in _HREF.findall(page)] + _URL.findall(html.unescape(page)) + [d["url"] for d in out["destinations"]]
+    found = []
+    for url in dict.fromkeys(shown):
+        hit = urldecode.unwrap(url)
+        if hit and hit[0] != url and re.match("https?://", hit[0], re.I):
+            found.append({"url": url, "destination": hit[0], "note": hit[1]})
+    return found
+
+
 def parse_bodies(messages: DataFrame) -> DataFrame:
-    """messages (msg_id, raw, ...) with body_text, html, links and files.
+    """messages (msg_id, raw, ...) with body_text, html, links, files, body_page (traits of the HTML
+    body), destinations (where pages send data) and wrapped (links with the address behind them).
 
     body_text is the plain text, or the HTML's readable text if there is none.
     """
@@ -123,9 +185,11 @@ def parse_bodies(messages: DataFrame) -> DataFrame:
             for raw in batch.column(at).to_pylist():
                 out: dict = {"text": [], "html": [], "files": []}
                 walk(*split_head(raw or ""), out)
-                found.append(out)
-            columns = [pa.array(["".join(x["text"]) for x in found]), pa.array(["".join(x["html"]) for x in found]), pa.array([x["files"] for x in found], _FILES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "text", "html", "files"])
+                read_pages(out)
+                found.append(out | {"wrapped": wrapped_links(out)})
+            columns = [pa.array(["".join(x["text"]) for x in found], pa.string()), pa.array(["".join(x["html"]) for x in found], pa.string()), pa.array([x["files"] for x in found], _FILES)]
+            columns += [pa.array([x["body_page"] for x in found], pa.struct(list(_PAGE.items()))), pa.array([x["destinations"] for x in found], _DESTINATIONS), pa.array([x["wrapped"] for x in found], _WRAPPED)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "text", "html", "files", "body_page", "destinations", "wrapped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema) + ", " + _SCHEMA
     rows = messages.mapInArrow(take_apart, schema)
