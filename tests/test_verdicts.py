@@ -27,16 +27,18 @@ def saying(text: str) -> str:
 
 
 WRAPPED = "https://eur01.safelinks.protection.outlook.com/?url=http%3A%2F%2Fpaypa1-verify.top%2Flogin&data=1"
+QUOTE = "as agreed\n\nOn Mon, Jan 15, 2024 at 9:00 AM Bob Other <bob@other.test> wrote:\n> {}\n"
 ROWS = [
     ("kit", with_file("login.html", "text/html", KIT)), ("carrier", with_file("scan.htm", "text/html", CARRIER)), ("renamed", with_file("a.pdf", "application/pdf", "MZ program")), ("odd", with_file("a.pdf", "application/pdf", "{\\rtf1")),
     ("wrapped", saying(f"see {WRAPPED} now")), ("call", CLEAN.replace("see https://www.example.com/page for the pictures", "please call us at +1 (800) 555-0199")), ("none", NO_MESSAGE), ("empty", ""), ("null", None),
+    ("paid", saying(QUOTE.format("please process the payment today")).replace("Subject: ", "Subject: Re: ")), ("unpaid", saying(QUOTE.format("see you there")).replace("Subject: ", "Subject: Re: ")),
 ]
 
 
 @pytest.fixture(scope="module")
 def by(spark):
     found = triage.analyze(spark.createDataFrame(ROWS, "msg_id string, raw string").repartition(2))
-    return {r.msg_id: r for r in found.select("msg_id", "score", "tier", "attack_types", "reasons", "iocs", "file_risks", "files").collect()}
+    return {r.msg_id: r for r in found.select("msg_id", "score", "tier", "attack_types", "reasons", "iocs", "file_risks", "files", "findings").collect()}
 
 
 def kinds(item):
@@ -75,6 +77,12 @@ def test_callback(by):
     assert by["call"].attack_types == ["Callback phishing"]
 
 
+def test_payment_inside_a_doubtful_thread(by):
+    paid, unpaid = ([f.id for f in by[k].findings] for k in ("paid", "unpaid"))
+    assert "thread-fake-reply" in paid and "thread-payment" in paid and "BEC / payment fraud" in by["paid"].attack_types
+    assert "thread-fake-reply" in unpaid and "thread-payment" not in unpaid and by["unpaid"].tier == "Suspicious"
+
+
 def test_rejects(spark, by):
     found = triage.rejects(spark.createDataFrame(ROWS, "msg_id string, raw string"))
     assert {tuple(r) for r in found.collect()} == {("none", "no message header"), ("empty", "empty"), ("null", "empty")}
