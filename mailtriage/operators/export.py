@@ -112,3 +112,53 @@ def misp_attributes(report: DataFrame) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("type"))
     category = F.when(F.col("type").isin("filename", "sha256", "md5"), "Payload delivery").otherwise("Network activity")
     return report.select("msg_id", kind.alias("type"), category.alias("category"), "value", F.col("high").alias("to_ids"))
+
+
+def stix_bundles(analyzed: DataFrame, objects: DataFrame, at: str) -> DataFrame:
+    """(msg_id, bundle): one STIX 2.1 bundle for each message, with its objects (of stix_objects), the
+    e-mail itself and a report that names them all. What is gathered is one message's."""
+    h = F.col("headers")
+    sender = F.when(h["from"]["email"].isNotNull(), F.concat(F.lit("email-addr--"), uuid5(F.concat(F.lit('{"value":'), json_string(h["from"]["email"]), F.lit("}")))))
+    # Keys in order and no blanks: the canonical form that ids are made of.
+    mail = F.to_json(F.struct(sender.alias("from_ref"), F.lit(False).alias("is_multipart"), h["subject"].alias("subject")))
+    mail_id = F.concat(F.lit("email-message--"), uuid5(mail))
+    message = F.to_json(F.struct(F.lit("email-message").alias("type"), F.lit("2.1").alias("spec_version"), mail_id.alias("id"), F.lit(False).alias("is_multipart"), sender.alias("from_ref"), h["subject"].alias("subject")))
+    address = F.to_json(F.struct(F.lit("email-addr").alias("type"), F.lit("2.1").alias("spec_version"), sender.alias("id"), h["from"]["email"].alias("value")))
+    own = F.array_compact(F.array(F.struct(mail_id.alias("id"), message.alias("object")), F.when(sender.isNotNull(), F.struct(sender.alias("id"), address.alias("object")))))
+    rows = analyzed.select("msg_id", "tier", "score", h["subject"].alias("subject"), own.alias("own"))
+    held = objects.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("id", "object"))).alias("held")).withColumnRenamed("msg_id", "of_msg")
+    rows = rows.join(held, rows["msg_id"] == held["of_msg"], "left")
+    rows = rows.withColumn("held", F.coalesce("held", F.array().cast("array<struct<id:string,object:string>>")))
+    ids = F.transform("held", lambda o: o["id"])
+    every = F.concat("held", F.filter("own", lambda o: ~F.array_contains(ids, o["id"])))
+    rows = rows.withColumn("every", every)
+    name = F.concat(F.col("tier"), F.lit(" ("), F.col("score").cast("string"), F.lit("/100): "), F.coalesce("subject", F.lit("no subject")))
+    key = F.col("msg_id").cast("string")
+    report = F.to_json(F.struct(
+        F.lit("report").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("report--"), uuid5(F.concat(F.lit("report:"), key))).alias("id"), F.lit(at).alias("created"), F.lit(at).alias("modified"),
+        name.alias("name"), F.array(F.lit("threat-report")).alias("report_types"), F.lit(at).alias("published"), F.transform("every", lambda o: o["id"]).alias("object_refs"),
+    ))
+    body = F.array_join(F.concat(F.transform("every", lambda o: o["object"]), F.array(report)), ",")
+    bundle = F.concat(F.lit('{"type":"bundle","id":"bundle--'), uuid5(F.concat(F.lit("bundle:"), key)), F.lit('","objects":['), body, F.lit("]}"))
+    return rows.select("msg_id", bundle.alias("bundle"))
+
+
+def misp_events(analyzed: DataFrame, attributes: DataFrame, day: str) -> DataFrame:
+    """(msg_id, event): a MISP event for each message with its attributes (of misp_attributes); the
+    threat level follows from the tier."""
+    level = F.when(F.col("tier") == "High Risk", "1").when(F.col("tier") == "Suspicious", "2").when(F.col("tier") == "Low Risk", "3").otherwise("4")
+    held = attributes.distinct().groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("type", "category", "value", "to_ids"))).alias("Attribute")).withColumnRenamed("msg_id", "of_msg")
+    rows = analyzed.select("msg_id", level.alias("level"), F.col("headers.subject").alias("subject"), "tier")
+    rows = rows.join(held, rows["msg_id"] == held["of_msg"], "left")
+    event = F.struct(
+        uuid5(F.concat(F.lit("event:"), F.col("msg_id").cast("string"))).alias("uuid"), F.lit(day).alias("date"), F.concat("tier", F.lit(": "), F.coalesce("subject", F.lit("no subject"))).alias("info"),
+        F.col("level").alias("threat_level_id"), F.lit("2").alias("analysis"), F.lit("0").alias("distribution"), F.coalesce("Attribute", F.array().cast("array<struct<type:string,category:string,value:string,to_ids:boolean>>")).alias("Attribute"),
+    )
+    return rows.select("msg_id", F.to_json(F.struct(event.alias("Event"))).alias("event"))
+
+
+def url_groups(analyzed: DataFrame) -> DataFrame:
+    """(msg_id, url, destinations): each wrapped link of a message with the addresses behind it."""
+    urls = F.array_distinct(F.transform("wrapped", lambda w: w["url"]))
+    behind = F.transform(urls, lambda u: F.struct(u.alias("url"), F.array_distinct(F.transform(F.filter("wrapped", lambda w: w["url"] == u), lambda w: w["destination"])).alias("destinations")))
+    return analyzed.select("msg_id", F.explode(behind).alias("g")).select("msg_id", "g.url", "g.destinations")

@@ -196,3 +196,26 @@ def parse_bodies(messages: DataFrame) -> DataFrame:
     plain = T.trimmed(F.col("text"))
     rows = rows.withColumn("body_text", F.when(plain != "", plain).otherwise(T.strip_html(F.col("html"))))
     return rows.withColumn("links", T.html_links(F.col("html"))).drop("text")
+
+
+def with_attached(messages: DataFrame) -> DataFrame:
+    """(msg_id, parent_msg_id, raw): messages (msg_id, raw) and all messages attached to them, to any
+    depth, each a row of its own. An attached message's id is its parent's, a slash and its place
+    among the parent's files; ids become strings, and messages that came in have no parent. Null
+    texts stay as they are."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for msg_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, waiting = [], [(msg_id, None, raw)]
+                while waiting:
+                    own, parent, text = waiting.pop()
+                    found.append((own, parent, text))
+                    out: dict = {"text": [], "html": [], "files": []}
+                    walk(*split_head(text or ""), out)
+                    inner = [(f"{own}/{i}", own, as_text(f["bytes"], "utf-8")) for i, f in enumerate(out["files"]) if f["content_type"] == "message/rfc822" or f["filename"].lower().endswith(".eml")]
+                    waiting += reversed(inner)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], ["msg_id", "parent_msg_id", "raw"])
+
+    rows = messages.select(F.col("msg_id").cast("string").alias("msg_id"), "raw")
+    return rows.mapInArrow(unfold, "msg_id string, parent_msg_id string, raw string")
