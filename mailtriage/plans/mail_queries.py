@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import auth, correlate
+from ..operators import auth, compare, correlate
 from ..session import table
 from ..sources import messages as M
+from ..sources import mime
 from . import triage
 
 QUERIES: dict = {}
@@ -78,3 +79,45 @@ def mail_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators that messages share."""
     long = triage.message_indicators(triage.analyze(messages(spark, sf_dir)))
     return correlate.shared(long).select("type", "value", "n_messages", "first_seen")
+
+
+@query("""
+    with m as (select doc_id, case when doc_id % 4 = 0 then 'evil.ru' else 'example.com' end as host, list_extract(['fail', 'pass', 'softfail'], (doc_id % 3 + 1)::int) as spf,
+                      case when doc_id % 5 = 0 then 'none' else 'pass' end as dkim, case when doc_id % 7 = 0 then 'fail' else 'pass' end as dmarc, source from documents),
+         c as (select 'spf' as property, upper(spf) as value, case spf when 'pass' then 'good' when 'fail' then 'bad' else 'warn' end as tone, host from m
+               union all select 'dkim', upper(dkim), case dkim when 'pass' then 'good' else 'muted' end, host from m
+               union all select 'dmarc', upper(dmarc), case dmarc when 'pass' then 'good' else 'bad' end, host from m
+               union all select 'alignment', case when host = 'example.com' and (spf = 'pass' or dkim = 'pass') then 'Aligned' else 'Not aligned' end,
+                   case when host = 'example.com' and (spf = 'pass' or dkim = 'pass') then 'good' else 'bad' end, host from m
+               union all select 'from', 'user' || (doc_id % 10) || '@mail.example.com', null, host from m
+               union all select 'from_domain', 'mail.example.com', null, host from m
+               union all select 'display_name', 'Sender ' || (doc_id % 10), null, host from m
+               union all select 'reply_to', '—', null, host from m
+               union all select 'return_path', 'bounce@' || host, null, host from m
+               union all select 'sender_ip', '203.0.113.' || (doc_id % 200 + 1), null, host from m
+               union all select 'message_id_domain', 'example.com', null, host from m
+               union all select 'mailer', '—', null, host from m
+               union all select 'link_count', '1', null, host from m
+               union all select 'link_domains', source || '.example.top', null, host from m
+               union all select 'deceptive_links', '0', 'muted', host from m
+               union all select 'attachments', 'None', 'muted', host from m
+               union all select 'hashes', '—', null, host from m
+               union all select 'arc', 'None', null, host from m)
+    select property, value, tone, count(*) as n_messages from c group by 1, 2, 3""")
+def mail_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages have each value of a property. Properties that depend on the phrase table or
+    on titles are left out, as SQL can't say them: tests/test_compare.py has them."""
+    told = "spf dkim dmarc alignment from from_domain display_name reply_to return_path sender_ip message_id_domain mailer link_count link_domains deceptive_links attachments hashes arc".split()
+    cells = compare.cells(triage.analyze(messages(spark, sf_dir))).where(F.col("property").isin(told))
+    return cells.groupBy("property", "value", "tone").agg(F.count("*").alias("n_messages"))
+
+
+@query("""
+    select doc_id::varchar as msg_id, null::varchar as parent_msg_id, 'outer' as subject from documents where doc_id % 10 = 0
+    union all select doc_id || '/0', doc_id::varchar, 'Re: report ' || doc_id from documents where doc_id % 10 = 0
+    union all select doc_id::varchar, null, 'Re: report ' || doc_id from documents where doc_id % 10 <> 0""")
+def mail_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, those attached to others included: every tenth one comes inside another."""
+    inside = F.concat(F.lit('From: <a@b.test>\nSubject: outer\nContent-Type: multipart/mixed; boundary="==outer=="\n\n--==outer==\nContent-Type: message/rfc822\n\n'), F.col("raw"), F.lit("\n--==outer==--\n"))
+    rows = messages(spark, sf_dir).withColumn("raw", F.when(F.col("msg_id") % 10 == 0, inside).otherwise(F.col("raw")))
+    return M.parse_headers(mime.with_attached(rows)).select("msg_id", "parent_msg_id", F.col("headers.subject").alias("subject"))
