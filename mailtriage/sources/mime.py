@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import htmlscan, urldecode
 from ..functions import text as T
+from . import containers
 
 # What a page says of itself: a file's, and that of the message's own HTML.
 _PAGE = {"login": pa.bool_(), "services": pa.list_(pa.string()), "carried": pa.int32(), "layers": pa.int32(), "smuggling": pa.bool_(), "scripted": pa.bool_()}
@@ -145,7 +146,7 @@ def read_pages(out: dict) -> None:
     """Reads the message's HTML and the files that are pages. Files that a page carries become files
     of their own; nothing inside those is read again."""
     body = "".join(out["html"])
-    out["destinations"], out["body_page"] = [], None
+    out["body_page"] = None
     if body:
         out["body_page"] = _page(body, None, out, [])
     for f in list(out["files"]):
@@ -172,7 +173,8 @@ def wrapped_links(out: dict) -> list[dict]:
 
 def parse_bodies(messages: DataFrame) -> DataFrame:
     """messages (msg_id, raw, ...) with body_text, html, links, files, body_page (traits of the HTML
-    body), destinations (where pages send data) and wrapped (links with the address behind them).
+    body), destinations (where pages send data
+    and documents link to) and wrapped (links with the address behind them).
 
     body_text is the plain text, or the HTML's readable text if there is none.
     """
@@ -183,9 +185,12 @@ def parse_bodies(messages: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for raw in batch.column(at).to_pylist():
-                out: dict = {"text": [], "html": [], "files": []}
+                out: dict = {"text": [], "html": [], "files": [], "destinations": []}
                 walk(*split_head(raw or ""), out)
+                containers.read(out)
+                n = len(out["files"])
                 read_pages(out)
+                containers.read(out, n)
                 found.append(out | {"wrapped": wrapped_links(out)})
             columns = [pa.array(["".join(x["text"]) for x in found], pa.string()), pa.array(["".join(x["html"]) for x in found], pa.string()), pa.array([x["files"] for x in found], _FILES)]
             columns += [pa.array([x["body_page"] for x in found], pa.struct(list(_PAGE.items()))), pa.array([x["destinations"] for x in found], _DESTINATIONS), pa.array([x["wrapped"] for x in found], _WRAPPED)]
