@@ -121,3 +121,20 @@ def mail_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.concat(F.lit('From: <a@b.test>\nSubject: outer\nContent-Type: multipart/mixed; boundary="==outer=="\n\n--==outer==\nContent-Type: message/rfc822\n\n'), F.col("raw"), F.lit("\n--==outer==--\n"))
     rows = messages(spark, sf_dir).withColumn("raw", F.when(F.col("msg_id") % 10 == 0, inside).otherwise(F.col("raw")))
     return M.parse_headers(mime.with_attached(rows)).select("msg_id", "parent_msg_id", F.col("headers.subject").alias("subject"))
+
+
+@query("""
+    select doc_id as msg_id, 'https://' || source || '.example.top/' || doc_id as url, case when doc_id % 3 = 2 then 'calendar link' else 'document link' end as kind,
+        list_extract(['a.rtf', 'a.pdf', 'a.ics'], (doc_id % 3 + 1)::int) as within from documents""")
+def mail_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links inside attached documents: each message has a file of one of three formats."""
+    n = F.col("doc_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("a.rtf", "a.pdf", "a.ics")]), (n % 3 + 1).cast("int"))
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.top/"), n.cast("string"))
+    cut = F.length(url) - 3  # a calendar's lines are folded
+    rtf, pdf = F.concat(F.lit('{\\rtf1 HYPERLINK "'), url, F.lit('"}')), F.concat(F.lit("%PDF-1.4\n<< /URI ("), url, F.lit(") >>"))
+    folded = F.concat(F.lit("BEGIN:VCALENDAR\nURL:"), F.substr(url, F.lit(1), cut), F.lit("\n "), F.substr(url, cut + 1))
+    head = F.concat(F.lit('From: <a@b.test>\nContent-Type: multipart/mixed; boundary="==p=="\n\n--==p==\nContent-Type: text/plain\n\n'), F.col("text"), F.lit('\n--==p==\nContent-Disposition: attachment; filename="'), name)
+    raw = F.concat(head, F.lit('"\nContent-Type: application/octet-stream\n\n'), F.when(n % 3 == 0, rtf).when(n % 3 == 1, pdf).otherwise(folded), F.lit("\n--==p==--\n"))
+    rows = table(spark, sf_dir, "documents").select(n.alias("msg_id"), raw.alias("raw"))
+    return mime.parse_bodies(rows).select("msg_id", F.explode("destinations").alias("d")).select("msg_id", "d.url", "d.kind", "d.within")
