@@ -33,17 +33,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (run of anything but ASCII white space) of a text, A-Z lower-cased."""
-    b = np.frombuffer(text.lower(), np.uint8)
+def placed_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (run of anything but ASCII white space) of a text's bytes starts, and a 64-bit
+    hash of it."""
     blank = np.concatenate(([True], _BLANK[b], [True]))
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return starts, np.zeros(0, np.uint64)
     up, down = _grown(len(b) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[b] * up[: len(b)], dtype=np.uint64)))
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    return starts, mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, A-Z lower-cased."""
+    return placed_words(np.frombuffer(text.lower(), np.uint8))[1]
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
