@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunk_dedup, decontamination, exact_dedup, jaccard_join, language_id, mixing, secrets, suffix_dedup, tokens
+from . import chat, chunk_dedup, conversation_repair, decontamination, divergence, exact_dedup, jaccard_join, language_id, mixing, quality, secrets, suffix_dedup, tokens
 from .common import ascii_lower, text_of
 
 
@@ -65,6 +65,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.compare(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")), lost="lost", with_text=False)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -76,6 +89,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,7 +147,29 @@ def _secrets() -> str:
     select doc_id, n_assign, n_access, n_hex, sha256(spans) as base_sha256, spans from j"""
 
 
+_DIVERGENCE = """
+    with w as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as words from documents),
+         t as (select row, lang, source, unnest(words) as term from w),
+         kept as (select lang, term from t group by 1, 2 having count(distinct row) >= 3),
+         c as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by 1, 2, 3),
+         g as (select lang, source, coalesce(sum(n), 0) as total from (select distinct lang, source from w) left join c using (lang, source) group by 1, 2),
+         v as (select lang, count(*) as terms from kept group by 1),
+         p as (select lang, source, term, coalesce(n, 0) as n, 1 + 1000000000 * (coalesce(n, 0)::hugeint + 1) // (total + terms) as p
+               from g join v using (lang) join kept using (lang) left join c using (lang, source, term)),
+         q as (select lang, term, 1 + 1000000000 * (sum(n)::hugeint + 1) // (any_value(total) + any_value(terms)) as q
+               from p join (select lang, sum(total) as total from g group by 1) using (lang) join v using (lang) group by 1, 2),
+         pairs as (select a.lang, a.source, 'pair' as part, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+                   from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3, 4),
+         every as (select a.lang, a.source, 'pair' as part, b.source as item from g a join g b on a.lang = b.lang and a.source <> b.source),
+         items as (select lang, source, part, item, coalesce(value, 0)::bigint as value from every left join pairs using (lang, source, part, item)
+                   union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p join q using (lang, term) where n > 0 and p > q)
+    select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+    from items qualify part = 'pair' or rank <= 200"""
+
+
 ORACLE_SQL = {
+    "op12_source_divergence": _DIVERGENCE,
     "op2_secret_scan": _secrets(),
     "op7_chat_format": _CHAT,
     "op9_jaccard_join": _JACCARD,
