@@ -30,7 +30,7 @@ LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 #: Terms that a task counts before it hands the counts on.
-HELD = 200_000
+HELD = 300_000
 #: Terms and counts of a chunk at most.
 CHUNK_TERMS, CHUNK_COUNTS = 4096, 1 << 17
 #: Cells of one comparison of a source with several others.
@@ -52,7 +52,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (times, docs_of) in held.items():
                 terms = list(times)
-                columns = [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times.values(), pa.int64()), pa.array([docs_of[t] for t in terms], pa.int64())]
+                columns = [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times.values(), pa.int64()), pa.array(map(docs_of.__getitem__, terms), pa.int64())]
                 group = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
                 yield pa.RecordBatch.from_arrays([*group, *columns], ["lang", "source", "term", "n", "docs"])
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([lang], [source], [None], [0], [0]), [pa.string()] * 3 + [pa.int64()] * 2, strict=True)], ["lang", "source", "term", "n", "docs"])
@@ -60,10 +60,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 times, docs_of = held.setdefault((lang, source), (Counter(), Counter()))
-                here = Counter(text.encode().translate(_LETTERS).split())
+                words = text.encode().translate(_LETTERS).split()
                 size -= len(times)
-                times.update(here)
-                docs_of.update(here.keys())
+                times.update(words)
+                docs_of.update(set(words))
                 size += len(times) + 1
                 if size > HELD:
                     yield from out()
