@@ -46,8 +46,14 @@ def url_risks(url: Column, mismatch: Column | None = None, service: Column | Non
     return F.array_compact(F.array(*tests))
 
 
+def behind(wrapped: Column) -> Column:
+    """The address behind each wrapped link, as a map."""
+    return F.map_from_entries(F.transform(wrapped, lambda w: F.struct(w["url"], w["destination"])))
+
+
 def deceptive(label: Column, href: Column) -> Column:
-    """Whether a link's visible text is a host of another organisation than its target's."""
+    """Whether a link's visible text is a host of another organisation than its target's. A gateway's
+    rewriting is no deception: href is the address behind it."""
     shown = F.when(label.rlike(r"(?i)\A\s*https?://"), net.url_host(F.trim(label))).when(label.rlike(r"(?i)\A\s*(www\.)?[a-z0-9-]+(\.[a-z0-9-]+)+(/\S*)?\s*\z"), net.url_host(F.concat(F.lit("http://"), F.trim(label))))
     return F.coalesce(net.org_domain(shown) != net.org_domain(net.url_host(href)), F.lit(False))
 
@@ -64,7 +70,11 @@ def with_iocs(rows: DataFrame) -> DataFrame:
     def values(items: Column, field: str = "value") -> Column:
         return F.transform(items, lambda u: u[field])
 
-    linked = F.transform(F.filter("links", lambda x: x["href"] != ""), lambda x: F.struct(x["href"].alias("value"), deceptive(x["label"], x["href"]).alias("mismatch")))
+    def links(targets: Column) -> Column:
+        kept = F.filter("links", lambda x: x["href"] != "")
+        return F.transform(kept, lambda x: F.struct(x["href"].alias("value"), deceptive(x["label"], F.coalesce(F.try_element_at(targets, x["href"]), x["href"])).alias("mismatch")))
+
+    linked = net.let(behind(F.col("wrapped")), links)
     parts = F.struct(F.array_distinct(F.regexp_extract_all(text, F.lit(URL), F.lit(0))).alias("text"), linked.alias("link"), F.col("destinations").alias("page"))
 
     def every(x: Column) -> Column:

@@ -68,13 +68,14 @@ def file_risks() -> Column:
 def analyze(messages: DataFrame, own_domains: tuple[str, ...] = (), phrases: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """messages (msg_id, raw) to one wide row each: headers, authentication, body, indicators,
     findings, points, score, tier, attack types, reasons and caveats. Texts without a message header
-    go (rejects() has them).
+    go, as do messages that can't be taken apart (rejects() has them).
 
     Nothing is shuffled: rows of equal msg_id are messages of their own.
     """
     parsed = M.parse_headers(messages).where(M.is_message(F.col("headers")))
     rows = auth.authenticate(parsed)
-    rows = thread.with_thread(identity.with_findings(mime.parse_bodies(rows), own=own_domains))
+    bodies = mime.parse_bodies(rows).where("parse_error is null").drop("parse_error")
+    rows = thread.with_thread(identity.with_findings(bodies, own=own_domains))
     rows = rows.withColumn("hits", language.hits(F.col("body_text"), phrases)).withColumn("quoted_hits", language.hits(F.col("quoted_text"), phrases)).drop("quoted_text")
     told = thread.thread_findings(F.col("headers"), F.col("quoted"), F.col("separators"), auth.sent_at(F.col("headers.date")))
     rows = rows.withColumn("findings", F.concat("findings", thread.with_payment(told, F.col("quoted"), language.n_strong(F.col("quoted_hits"), "bec")))).drop("quoted_hits")
@@ -85,9 +86,16 @@ def analyze(messages: DataFrame, own_domains: tuple[str, ...] = (), phrases: lis
 
 
 def rejects(messages: DataFrame) -> DataFrame:
-    """(msg_id, reason) of the rows that analyze() leaves out."""
+    """(msg_id, reason) of the rows that analyze() leaves out: files with an error of their own (where
+    messages have that column), empty texts, texts without a message header, and messages that can't be
+    taken apart."""
+    own = F.col("error") if "error" in messages.columns else F.lit(None).cast("string")
     empty = F.trim(F.coalesce("raw", F.lit(""))) == ""
-    return M.parse_headers(messages).where(~F.coalesce(M.is_message(F.col("headers")), F.lit(False))).select("msg_id", F.when(empty, "empty").otherwise("no message header").alias("reason"))
+    headed = F.coalesce(M.is_message(F.col("headers")), F.lit(False))
+    rows = M.parse_headers(messages.select("msg_id", "raw", own.alias("error")))
+    rows = rows.select("msg_id", "raw", F.coalesce("error", F.when(~headed, F.when(empty, "empty").otherwise("no message header"))).alias("reason"))
+    broken = mime.parse_bodies(rows.where("reason is null").select("msg_id", "raw")).where("parse_error is not null")
+    return rows.where("reason is not null").select("msg_id", "reason").unionByName(broken.select("msg_id", F.col("parse_error").alias("reason")))
 
 
 PHONE = r"[0-9][0-9\s().-]{7,}[0-9]"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,31 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables below a directory; works on any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_local_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local session without one gets a temporary folder, which
+    all its tasks share. Elsewhere a missing folder is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _local_folder:
+        _local_folder.append("file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+    return _local_folder[0]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: lineage ends there."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

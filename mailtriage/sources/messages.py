@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import let
 from ..functions.text import trimmed
+from . import mailsource
 
 # A text is a message if it has one of these headers.
 EMAIL_HEADERS = "from to subject date message-id received return-path reply-to mime-version content-type dkim-signature authentication-results delivered-to".split()
@@ -15,11 +16,11 @@ EMAIL_HEADERS = "from to subject date message-id received return-path reply-to m
 SINGLE_HEADERS = "from subject reply-to return-path date to".split()
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """msg_id, name, content of the .eml, .txt and .msg files below path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{eml,txt,msg}").option("recursiveFileLookup", "true").load(path)
-    name = F.substring_index("path", "/", -1)
-    return files.select(F.sha2("path", 256).alias("msg_id"), name.alias("name"), "content")
+def read_messages(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """msg_id, name, content, error of the .eml and .txt files below path (see mailsource); a file with
+    an error has no content."""
+    files = mailsource.read(spark, path, **options)
+    return files.select(F.sha2("path", 256).alias("msg_id"), "name", "content", "error")
 
 
 def with_raw(messages: DataFrame) -> DataFrame:
@@ -27,6 +28,15 @@ def with_raw(messages: DataFrame) -> DataFrame:
     return messages.withColumn("raw", F.make_valid_utf8(F.col("content").cast("string")))
 
 
+def message_kind(raw: Column) -> Column:
+    """`full` for a message with an empty line, or with more long lines of prose than header lines;
+    else `headers`."""
+    lines = F.split(raw, r"\r?\n")
+    named = F.size(F.filter(lines, lambda x: x.rlike(r"\A[A-Za-z0-9_-]+:")))
+    prose = F.size(F.filter(lines, lambda x: (F.length(x) > 50) & ~x.rlike(r"\A(?:[A-Za-z0-9_-]+:|\s)")))
+    return F.when(raw.contains("\n\n") | raw.contains("\r\n\r\n") | (prose > named), "full").when(raw.isNotNull(), "headers")
+
+
 def head_end(raw: Column) -> Column:
     """Number of characters before the first empty line, or of all."""
     crlf, lf = F.locate("\r\n\r\n", raw), F.locate("\n\n", raw)

@@ -27,6 +27,8 @@ _PAGE_KIND = "login:boolean,services:array<string>,carried:int,layers:int,smuggl
 _FILES = pa.list_(pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("inline", pa.bool_()), ("bytes", pa.binary()), ("within", pa.string()), *_PAGE.items()]))
 _DESTINATIONS = pa.list_(pa.struct([("url", pa.string()), ("kind", pa.string()), ("service", pa.string()), ("within", pa.string()), ("asks", pa.bool_())]))
 _WRAPPED = pa.list_(pa.struct([("url", pa.string()), ("destination", pa.string()), ("note", pa.string())]))
+#: Bytes of unpacked messages in a batch that leaves a worker.
+OUTPUT_BYTES = 32 << 20
 _SCHEMA = (
     f"text string, html string, files array<struct<filename:string,content_type:string,size:bigint,inline:boolean,bytes:binary,within:string,{_PAGE_KIND}>>, "
     f"body_page struct<{_PAGE_KIND}>, destinations array<struct<url:string,kind:string,service:string,within:string,asks:boolean>>, wrapped array<struct<url:string,destination:string,note:string>>"
@@ -171,32 +173,53 @@ def wrapped_links(out: dict) -> list[dict]:
     return found
 
 
+def read_message(raw: str) -> dict:
+    """text, html, files, body_page, destinations, wrapped and parse_error of one message. A message
+    that can't be read has an error and nothing else."""
+    out: dict = {"text": [], "html": [], "files": [], "destinations": [], "parse_error": None}
+    try:
+        walk(*split_head(raw), out)
+        containers.read(out)
+        n = len(out["files"])
+        read_pages(out)
+        containers.read(out, n)
+        return out | {"wrapped": wrapped_links(out)}
+    except Exception as e:
+        return {"text": [], "html": [], "files": [], "destinations": [], "body_page": None, "wrapped": [], "parse_error": f"{type(e).__name__}: {e}"[:200]}
+
+
+def _size(out: dict) -> int:
+    return sum(len(f["bytes"] or b"") for f in out["files"]) + sum(map(len, out["text"])) + sum(map(len, out["html"]))
+
+
 def parse_bodies(messages: DataFrame) -> DataFrame:
     """messages (msg_id, raw, ...) with body_text, html, links, files, body_page (traits of the HTML
-    body), destinations (where pages send data
-    and documents link to) and wrapped (links with the address behind them).
+    body), destinations (where pages send data and documents link to), wrapped (links with the address
+    behind them) and parse_error (null, or why a message could not be taken apart).
 
-    body_text is the plain text, or the HTML's readable text if there is none.
+    body_text is the plain text, or the HTML's readable text if there is none. Batches are cut by what
+    messages unpack to.
     """
     names = messages.columns
     at = names.index("raw")
 
+    def columns_of(found: list[dict]) -> list[pa.Array]:
+        columns = [pa.array(["".join(x["text"]) for x in found], pa.string()), pa.array(["".join(x["html"]) for x in found], pa.string()), pa.array([x["files"] for x in found], _FILES)]
+        columns += [pa.array([x["body_page"] for x in found], pa.struct(list(_PAGE.items()))), pa.array([x["destinations"] for x in found], _DESTINATIONS), pa.array([x["wrapped"] for x in found], _WRAPPED)]
+        return [*columns, pa.array([x["parse_error"] for x in found], pa.string())]
+
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for raw in batch.column(at).to_pylist():
-                out: dict = {"text": [], "html": [], "files": [], "destinations": []}
-                walk(*split_head(raw or ""), out)
-                containers.read(out)
-                n = len(out["files"])
-                read_pages(out)
-                containers.read(out, n)
-                found.append(out | {"wrapped": wrapped_links(out)})
-            columns = [pa.array(["".join(x["text"]) for x in found], pa.string()), pa.array(["".join(x["html"]) for x in found], pa.string()), pa.array([x["files"] for x in found], _FILES)]
-            columns += [pa.array([x["body_page"] for x in found], pa.struct(list(_PAGE.items()))), pa.array([x["destinations"] for x in found], _DESTINATIONS), pa.array([x["wrapped"] for x in found], _WRAPPED)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "text", "html", "files", "body_page", "destinations", "wrapped"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema) + ", " + _SCHEMA
+            found, begin, size = [], 0, 0
+            for i in range(batch.num_rows):
+                found.append(read_message(batch.column(at)[i].as_py() or ""))
+                size += _size(found[-1])
+                if size >= OUTPUT_BYTES or i + 1 == batch.num_rows:
+                    own = batch.slice(begin, len(found)).columns
+                    yield pa.RecordBatch.from_arrays([*own, *columns_of(found)], [*names, "text", "html", "files", "body_page", "destinations", "wrapped", "parse_error"])
+                    found, begin, size = [], i + 1, 0
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema) + ", " + _SCHEMA + ", parse_error string"
     rows = messages.mapInArrow(take_apart, schema)
     plain = T.trimmed(F.col("text"))
     rows = rows.withColumn("body_text", F.when(plain != "", plain).otherwise(T.strip_html(F.col("html"))))
