@@ -97,3 +97,12 @@ DMARC_POINTS = {"fail": 35, "none": 5, "unknown": 2}
 LANGUAGE_SHARES = {"urgency": 0.5, "authority": 0.5, "financial": 0.8, "credential": 0.8, "bec": 1.0, "lure": 0.6, "advancefee": 0.9, "social": 0.5, "extortion": 1.0}
 CATEGORY_WEIGHTS = {"urgency": 1.0, "authority": 1.2, "financial": 1.1, "credential": 1.3, "bec": 1.4, "lure": 1.1, "advancefee": 1.3, "social": 1.0, "extortion": 1.5}
 TIER_HIGH, TIER_SUSPICIOUS = 60, 30
+
+
+# Marker words by language, with the share of a text's words they must exceed.
+LANGUAGE_MARKERS = (
+    ("en", 0.2, "the and is to of a in that have it for not on with he as you do at this be are was were been will would could should can may might must shall has had did does doing done".split()),
+    ("es", 0.25, "el la de que y a en un ser se no haber por con su para como estar tener".split()),
+    ("fr", 0.25, "le de et à un il être avoir ne je son que se qui ce dans en du elle au".split()),
+    ("de", 0.25, "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine".split()),
+)

@@ -323,16 +323,6 @@ def lookup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of the default phrases and the patterns in every document, by category. No SQL: matches
-    never overlap, a strong or longer one wins."""
-    from ..operators import language
-
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), "text")
-    return language.category_scores(language.matches(texts)).withColumnRenamed("msg_id", "doc_id")
-
-
 @query()
 def page_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the pages send data and what they carry, read statically. No SQL: layers are decoded."""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..session import new_folder, table
 from ..sources import mailsource, mime
 from ..sources import messages as M
+from ..functions import refdata as R
+from ..operators import language
 from . import triage
 
 QUERIES: dict = {}
@@ -76,3 +78,70 @@ def deceptive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _text("From: <a@example.com>\nSubject: sign in\nContent-Type: text/html; charset=utf-8\n\n", page)
     found = triage.analyze(table(spark, sf_dir, "documents").select(n.alias("msg_id"), raw.alias("raw")))
     return found.select("msg_id", F.exists("iocs.urls", lambda u: u["mismatch"]).alias("deceptive"))
+
+
+# --- language -------------------------------------------------------------------------------------
+
+_PHRASES = (
+    ("urgency", "strong", "act immediately"), ("urgency", "broad", "deadline"), ("financial", "strong", "outstanding invoice"), ("financial", "broad", "invoice"),
+    ("credential", "strong", "verify your mailbox password"), ("credential", "strong", "your mailbox"), ("social", "strong", "tell nobody"),
+)
+_SAID = ("please ACT\nimmediately: before the deadlines.", "an outstanding invoice, and another invoice", "two Outstanding-Invoices", "VERIFY your mailbox passwords; your mailbox: tell nobody's friend", "nothing of the kind")
+
+
+def _said(n: Column, text: Column) -> Column:
+    return _text(F.coalesce(text, F.lit("")), "\n", _pick(n, *_SAID))
+
+
+def _sql_said() -> str:
+    return "coalesce(text, '') || chr(10) || list_extract([" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in _SAID) + f"], (doc_id % {len(_SAID)} + 1)::int)"
+
+
+def _sql_times(phrase: str) -> str:
+    return "len(regexp_extract_all(t, '(?i)\\b" + "[\\W_]+".join(phrase.split()) + "(?:e?s)?\\b'))"
+
+
+@query(f"""
+    with t as (select doc_id, {_sql_said()} as t from documents),
+         c as (select doc_id as msg_id, unnest([{{'category': 'urgency', 's': {_sql_times('act immediately')}, 'b': {_sql_times('deadline')}}},
+                   {{'category': 'financial', 's': {_sql_times('outstanding invoice')}, 'b': {_sql_times('invoice')} - {_sql_times('outstanding invoice')}}},
+                   {{'category': 'credential', 's': {_sql_times('your mailbox')}, 'b': 0}}, {{'category': 'social', 's': {_sql_times('tell nobody')}, 'b': 0}}], recursive := true) from t),
+         w as (select * from (values {', '.join(f"('{c}', {w})" for c, w in R.CATEGORY_WEIGHTS.items())}) as w(category, weight))
+    select msg_id, category, s as n_strong, b as n_broad, floor(least(s * weight * 10, 100) + 0.5)::bigint as score from c join w using (category) where s + b > 0""")
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of a caller's table in documents that say them in other case, over line ends, with
+    hyphens, as plurals, inside longer phrases: counts and score of each category."""
+    phrases = spark.createDataFrame(_PHRASES, "category string, tier string, phrase string")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), _said(F.col("doc_id"), F.col("text")).alias("text"))
+    known = F.col("category").isin([c for c, *_ in _PHRASES])
+    # Amounts and account numbers of the documents are patterns, not phrases.
+    found = language.matches(texts, phrases).where(known & F.col("phrase").rlike("(?i)act|deadline|invoice|mailbox|nobody"))
+    return language.category_scores(found).withColumn("score", F.col("score").cast("long"))
+
+
+@query(f"""
+    with t as (select doc_id, {_sql_said()} as t from documents),
+         p as (select doc_id, lower(regexp_replace(unnest(regexp_extract_all(t, '(?i)\\boutstanding[\\W_]+invoices?\\b|\\binvoices?\\b')), '\\s+', ' ', 'g')) as phrase from t)
+    select phrase, case when starts_with(phrase, 'out') then 'strong' else 'broad' end as tier, count(*) as n, count(distinct doc_id) as n_docs from p group by 1, 2""")
+def phrase_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wordings in which a category's phrases occur, over all documents."""
+    phrases = spark.createDataFrame(_PHRASES, "category string, tier string, phrase string")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), _said(F.col("doc_id"), F.col("text")).alias("text"))
+    found = language.matches(texts, phrases).where((F.col("category") == "financial") & F.col("phrase").rlike("(?i)invoice"))
+    counted = language.phrase_counts(found)
+    return counted.groupBy("phrase", "tier").agg(F.sum("n").alias("n"), F.countDistinct("msg_id").alias("n_docs"))
+
+
+def _sql_share(marks: list[str]) -> str:
+    return "len(list_filter(w, lambda x: list_contains([" + ", ".join(f"'{m}'" for m in marks) + "], x))) / len(w)"
+
+
+@query(f"""
+    with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^0-9a-z_]+'), lambda x: x <> '') as w from documents),
+         s as (select doc_id, len(w) as n, unnest([{', '.join(f"{{'o': {i}, 'name': '{name}', 'least': {least}, 'share': {_sql_share(marks)}}}" for i, (name, least, marks) in enumerate(R.LANGUAGE_MARKERS))}], recursive := true) from w),
+         b as (select doc_id, arg_max(name, (share, -o)) as name from s where n >= 10 and share > least group by 1)
+    select coalesce(name, 'unknown') as detected, coalesce(lang, '') as lang, count(*) as n from documents left join b using (doc_id) group by 1, 2""")
+def language_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that marker words decide for each document, against its label."""
+    rows = table(spark, sf_dir, "documents").select(language.detected(F.col("text")).alias("detected"), F.coalesce("lang", F.lit("")).alias("lang"))
+    return rows.groupBy("detected", "lang").agg(F.count("*").alias("n"))
