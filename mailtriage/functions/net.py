@@ -73,6 +73,73 @@ def find_ipv4(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("[0-9.]+"), F.lit(0)), lambda x: x.rlike(_whole(IPV4))))
 
 
+def find_ipv6(text: Column) -> Column:
+    """Array of the distinct valid IPv6 addresses of a text as written, in order. A run of letters,
+    digits, dots and colons counts as a whole, without the `IPv6:` that servers write before an address
+    and without a dot or single colon at its end."""
+    runs = F.filter(F.regexp_extract_all(text, F.lit("[0-9A-Za-z:.]+"), F.lit(0)), lambda x: x.rlike(":[^:]*:"))
+    bare = F.transform(runs, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\Aipv6:", ""), r"\.+\z|(?<!:):\z", ""))
+    return F.array_distinct(F.filter(bare, valid_ipv6))
+
+
+def find_ips(text: Column) -> Column:
+    """Array of the distinct addresses of a text, IPv4 ones first."""
+    return F.concat(find_ipv4(text), find_ipv6(text))
+
+
+def _number(hex_digits: Column) -> Column:
+    return F.conv(hex_digits, 16, 10).cast("long")
+
+
+def _shifted(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", value, bits.cast("int"))
+
+
+def ip_value(address: Column) -> Column:
+    """An address as 128 bits, struct(hi, lo) of two longs; null if it is none. All spellings of an
+    address have one value; an IPv4 address has that of ::ffff:a.b.c.d."""
+
+    def of_octets(dotted: Column) -> Column:
+        return F.aggregate(F.split(dotted, r"\."), F.lit(0).cast("long"), lambda n, o: n * 256 + o.try_cast("long"))
+
+    def of_groups(low: Column) -> Column:
+        tail = F.regexp_extract(low, r":([0-9]+(?:\.[0-9]+){3})\z", 1)
+        hexed = F.lpad(F.lower(F.hex(of_octets(tail))), 8, "0")
+        plain = F.when(tail != "", F.concat(F.substr(low, F.lit(1), F.length(low) - F.length(tail)), F.substr(hexed, F.lit(1), F.lit(4)), F.lit(":"), F.substr(hexed, F.lit(5)))).otherwise(low)
+
+        def filled(x: Column) -> Column:
+            sides = F.transform(F.split(x, "::", -1), lambda side: F.filter(F.split(side, ":"), lambda g: g != ""))
+            left, right = sides[0], F.coalesce(F.try_element_at(sides, F.lit(2)), F.array().cast("array<string>"))
+            zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+            return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+
+        def words(digits: Column) -> Column:
+            part = [_number(F.substr(digits, F.lit(8 * i + 1), F.lit(8))) for i in range(4)]
+            return F.struct((_shifted(part[0], F.lit(32)).bitwiseOR(part[1])).alias("hi"), (_shifted(part[2], F.lit(32)).bitwiseOR(part[3])).alias("lo"))
+
+        return let(let(plain, filled), words)
+
+    four = F.struct(F.lit(0).cast("long").alias("hi"), (of_octets(address) + 0xFFFF_0000_0000).cast("long").alias("lo"))
+    return F.when(valid_ipv4(address), four).when(valid_ipv6(address), of_groups(F.lower(address)))
+
+
+def ip_masked(value: Column, length: Column) -> Column:
+    """The first `length` of an address's 128 bits, the others 0."""
+    ones = F.lit(-1).cast("long")
+    hi = F.when(length <= 0, F.lit(0).cast("long")).when(length >= 64, ones).otherwise(_shifted(ones, 64 - length))
+    lo = F.when(length <= 64, F.lit(0).cast("long")).when(length >= 128, ones).otherwise(_shifted(ones, 128 - length))
+    return F.struct(value["hi"].bitwiseAND(hi).alias("hi"), value["lo"].bitwiseAND(lo).alias("lo"))
+
+
+def ip_full(value: Column) -> Column:
+    """One spelling for each value: dotted for IPv4, else eight groups of four digits."""
+    lo = value["lo"]
+    dotted = F.concat_ws(".", *[F.call_function("shiftright", lo, F.lit(s)).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+    digits = F.lower(F.concat(F.lpad(F.hex(value["hi"]), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
+    groups = F.regexp_replace(digits, "(.{4})(?!$)", "$1:")
+    return F.when((value["hi"] == 0) & (F.call_function("shiftright", lo, F.lit(32)) == 0xFFFF), dotted).when(value.isNotNull(), groups)
+
+
 def find_emails(text: Column) -> Column:
     """Array of the lower-cased e-mail addresses of a text, in order, repeats included."""
     return F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.lower(x))

@@ -34,6 +34,15 @@ def members(long: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(own, (found["type"] == own["m_type"]) & (found["value"] == own["m_value"])).drop("m_type", "m_value")
 
 
+def with_precedence(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with source, sources, rank, place: of the mentions (keys, source, rank, place) of each value
+    the one of least rank, then the earliest, and the set of all sources, sorted. One aggregate, summed up
+    before the shuffle; sources are a fixed few, so no list grows with the mentions."""
+    best = F.min(F.struct("rank", "place", "source")).alias("best")
+    found = mentions.groupBy(*keys).agg(best, F.sort_array(F.collect_set("source")).alias("sources"))
+    return found.select(*keys, "best.source", "sources", "best.rank", "best.place")
+
+
 def cells(rows: DataFrame, msg: str, properties: list[str]) -> DataFrame:
     """(property, msg, value): a row for each property of each message."""
     parts = [F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties]

@@ -58,6 +58,38 @@ def deceptive(label: Column, href: Column) -> Column:
     return F.coalesce(net.org_domain(shown) != net.org_domain(net.url_host(href)), F.lit(False))
 
 
+#: Where addresses are found, the more telling place first.
+IP_SOURCES = ("X-Originating-IP", "Received", "Body")
+
+
+def ip_lists(headers: Column, route: Column, text: Column) -> dict[str, Column]:
+    """The addresses of each of IP_SOURCES, as written, in order."""
+    routed = F.array_distinct(F.flatten(F.transform(route, lambda x: x["ips"])))
+    return dict(zip(IP_SOURCES, (net.find_ips(F.coalesce(headers["x_originating_ip"], F.lit(""))), routed, net.find_ips(text)), strict=True))
+
+
+def ip_mentions(headers: Column, route: Column, text: Column) -> Column:
+    """array of struct(value, source, rank, place): every mention of an address in a message."""
+    parts = [F.transform(found, lambda v, i: F.struct(v.alias("value"), F.lit(s).alias("source"), F.lit(r).alias("rank"), i.alias("place"))) for r, (s, found) in enumerate(ip_lists(headers, route, text).items())]
+    return F.concat(*parts)
+
+
+def by_source(lists: Column, common: Column) -> Column:
+    """array of struct(value, private, source, sources): each address once, with the first of the
+    sources that mention it and all of them. common: those of the headers that the body has as well.
+    Headers hold few addresses, so looking them up is short."""
+    known = [lists[s] for s in IP_SOURCES]
+    every = F.concat(known[0], F.array_except(known[1], known[0]), F.array_except(known[2], F.concat(known[0], known[1])))
+
+    def one(v: Column) -> Column:
+        told = F.array_compact(F.array(*[F.when(F.array_contains(k, v), F.lit(s)) for k, s in zip(known[:2], IP_SOURCES[:2], strict=True)]))
+        # What neither header mentions is from the body, whose list may be long.
+        also = F.when((F.size(told) == 0) | F.array_contains(common, v), F.concat(told, F.array(F.lit(IP_SOURCES[2])))).otherwise(told)
+        return F.struct(v.alias("value"), net.private_ip(v).alias("private"), also[0].alias("source"), also.alias("sources"))
+
+    return F.transform(every, one)
+
+
 def with_iocs(rows: DataFrame) -> DataFrame:
     """rows (headers, body_text, links, destinations, wrapped) with the column `iocs`: urls, domains,
     ips, emails. Addresses that pages send data to, and those behind wrapped links, are links too; a
@@ -104,9 +136,7 @@ def with_iocs(rows: DataFrame) -> DataFrame:
     senders = F.array_compact(F.array(h["from"]["email"], h["reply_to"]["email"], h["return_path"]["email"]))
     emails = F.array_distinct(F.concat(senders, net.find_emails(text)))
     flagged = F.transform(emails, lambda e: F.struct(e.alias("value"), net.under_domain(F.substring_index(e, "@", -1), DISPOSABLE).alias("disposable")))
-    routed = F.flatten(F.transform(F.col("route"), lambda x: x["ips"]))
-    ips = F.array_distinct(F.concat(net.find_ipv4(F.coalesce(h["x_originating_ip"], F.lit(""))), routed, net.find_ipv4(text)))
-    flagged_ips = F.transform(ips, lambda i: F.struct(i.alias("value"), net.private_ip(i).alias("private")))
+    flagged_ips = net.let(F.struct(*[v.alias(k) for k, v in ip_lists(h, F.col("route"), text).items()]), lambda x: by_source(x, F.array_intersect(F.concat(*[x[s] for s in IP_SOURCES[:2]]), x[IP_SOURCES[2]])))
     hosts = F.filter(F.transform("_urls", lambda u: net.url_host(u["value"])), lambda x: x.isNotNull())
     named = F.transform(senders, lambda e: F.substring_index(e, "@", -1))
     message_id = F.array_compact(F.array(F.nullif(F.lower(F.regexp_extract(h["message_id"], r"@([^>]+)", 1)), F.lit(""))))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..session import new_folder, table
 from ..sources import mailsource, mime
 from ..sources import messages as M
+from ..functions import net
 from ..functions import refdata as R
-from ..operators import language
+from ..functions import text as T
+from ..operators import auth, correlate, iocs, language, referrals, registration
 from . import triage
 
 QUERIES: dict = {}
@@ -145,3 +147,149 @@ def language_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language that marker words decide for each document, against its label."""
     rows = table(spark, sf_dir, "documents").select(language.detected(F.col("text")).alias("detected"), F.coalesce("lang", F.lit("")).alias("lang"))
     return rows.groupBy("detected", "lang").agg(F.count("*").alias("n"))
+
+
+# --- addresses and headers ------------------------------------------------------------------------
+
+
+@query("""
+    with s as (select doc_id, 0 as rank, 'X-Originating-IP' as source, 4 as kind from documents where doc_id % 3 = 0 union all select doc_id, 1, 'Received', 4 from documents
+               union all select doc_id, 1, 'Received', 6 from documents union all select doc_id, 2, 'Body', 6 from documents union all select doc_id, 2, 'Body', 4 from documents where doc_id % 2 = 0)
+    select doc_id as msg_id, case kind when 4 then '198.51.100.' || (doc_id % 200) else '2001:0db8:0000:0000:0000:0000:' || lpad(lower(to_hex(doc_id // 65536 % 65536)), 4, '0') || ':' || lpad(lower(to_hex(doc_id % 65536)), 4, '0') end as address,
+        arg_min(source, rank) as source, array_to_string(list_sort(list(source)), ',') as sources from s group by doc_id, kind""")
+def ip_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of messages with the best of their sources and all of them: one address of each kind,
+    spelled in other ways in the body, where the document's own addresses are taken out."""
+    n = F.col("doc_id")
+    tail = F.lower(F.hex(n % 65536))
+    high = F.lower(F.hex(F.floor(n / 65536) % 65536))
+    four, six = _text("198.51.100.", n % 200), _text("2001:DB8:0::", high, ":", tail)
+    long = _text("2001:0db8:0000:0000:0000:0000:", F.lpad(high, 4, "0"), ":", F.lpad(tail, 4, "0"))
+    route = _text("Received: from a.example.com (a.example.com [", four, "] [IPv6:", six, "]) by mx.test; Mon, 15 Jan 2024 10:00:05 +0000\n")
+    given = F.when(n % 3 == 0, _text("X-Originating-IP: [", four, "]\n")).otherwise("")
+    prose = F.translate(F.coalesce(F.col("text"), F.lit("")), ".:", "  ")
+    body = _text(prose, "\nsee [", long, "]", F.when(n % 2 == 0, _text(", once ::ffff:", four)).otherwise(""))
+    rows = table(spark, sf_dir, "documents").select(n.alias("msg_id"), _text("From: <a@b.cd>\n", given, route, "\n", body).alias("raw"))
+    rows = auth.authenticate(M.parse_headers(rows))
+    mentions = rows.select("msg_id", F.explode(iocs.ip_mentions(F.col("headers"), F.col("route"), M.body_of(F.col("raw")))).alias("m"))
+    mentions = mentions.select("msg_id", net.ip_full(net.ip_value(F.col("m.value"))).alias("address"), "m.source", "m.rank", "m.place")
+    found = correlate.with_precedence(mentions, ["msg_id", "address"])
+    return found.select("msg_id", "address", "source", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""
+    select doc_id as msg_id, ['mx.test', 'mx2.test'][(doc_id % 2 + 1)::int] as server, ['pass', 'fail', 'softfail'][(doc_id % 3 + 1)::int] as spf, 'pass' as dkim, 'a;b;c ' || source as reason, 3 as n from documents""")
+def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authentication-Results with comments nested fifty deep and quoted strings full of semicolons."""
+    n = F.col("doc_id")
+    deep = "(" * 50 + "; spf=none" + ")" * 50
+    value = _text(_pick(n, "mx.test", "mx2.test"), " ", deep, "; spf=", _pick(n, "pass", "fail", "softfail"), ' reason="a;b;c ', F.col("source"), '"; dkim=pass (', F.col("source"), "; (dkim=fail)); dmarc=none")
+    found = table(spark, sf_dir, "documents").select(n.alias("msg_id"), "source", value.alias("v")).withColumn("c", auth.clauses(F.col("v")))
+
+    def result(method: str) -> Column:
+        return auth.of_method(F.col("c"), method)[0]["result"]
+
+    return found.select("msg_id", auth.authserv(F.col("v")).alias("server"), result("spf").alias("spf"), F.coalesce(result("dkim"), F.lit("none")).alias("dkim"), auth.prop(auth.of_method(F.col("c"), "spf")[0], "reason").alias("reason"), F.size("c").alias("n"))
+
+
+_DEFANG = r"(?i)\b(?:https?|ftp)://[^\s<>\"'`)\]]+|[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b".replace("'", "''")
+
+
+@query(f"""
+    with t as (select doc_id, coalesce(text, '') || chr(10) || 'see HTTP://' || coalesce(source, '') || '.example.com:8080/a?b=1, Invoice' || doc_id || '.pdf, ' || coalesce(source, '') || '@mail.example.com, 203.0.113.' || (doc_id % 200) || ' header.from' as t from documents),
+         p as (select doc_id, t, regexp_split_to_array(t, '{_DEFANG}') as between, regexp_extract_all(t, '{_DEFANG}') as found from t),
+         d as (select doc_id, t, found, between, list_transform(found, lambda m: case
+                    when contains(m, '://') then regexp_replace(regexp_replace(lower(split_part(m, '://', 1)), '^http', 'hxxp'), '^ftp', 'fxp') || '[://]' || replace(m[length(split_part(m, '://', 1)) + 4:], '.', '[.]')
+                    when contains(m, '@') then replace(regexp_extract(m, '^(.*)@', 1), '', '') || '[@]' || replace(split_part(m, '@', -1), '.', '[.]')
+                    when list_contains([{', '.join(f"'{e}'" for e in T.FILE_ENDINGS)}], lower(split_part(m, '.', -1))) or regexp_matches(lower(m), '^(header|smtp|policy|body)[.][a-z-]+$') then m
+                    else replace(m, '.', '[.]') end) as safe from p)
+    select doc_id, len(found) as n_found, sha256(array_to_string(list_transform(range(1, len(between) + 1), lambda i: between[i] || coalesce(safe[i], '')), '')) as safe_sha256 from d""")
+def defanged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with a line of links, files and addresses, defanged in one pass."""
+    n, source = F.col("doc_id"), F.coalesce("source", F.lit(""))
+    said = _text(F.coalesce(F.col("text"), F.lit("")), "\nsee HTTP://", source, ".example.com:8080/a?b=1, Invoice", n, ".pdf, ", source, "@mail.example.com, 203.0.113.", n % 200, " header.from")
+    rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("t"))
+    return rows.select("doc_id", T.defang_targets(F.col("t")).cast("long").alias("n_found"), F.sha2(T.defang_text(F.col("t")), 256).alias("safe_sha256"))
+
+
+# --- registration ---------------------------------------------------------------------------------
+
+_BOOTSTRAP = (
+    '{"services":[[["top","test"],["https://rdap.one/"]],[["co.top","example.test"],["https://rdap.two"]],[["zz"],[]]]}',
+    '{"services":[[["203.0.0.0/8"],["https://ip.one/"]],[["203.0.113.0/24"],["https://ip.two/","http://ip.two/"]],[["2001:db8::/32"],["https://ip.six"]]]}',
+)
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    value = F.when(n % 5 == 0, _text("Host", n % 50, ".", F.coalesce("source", F.lit("x")), ".co.TOP")).when(n % 5 == 1, _text("h", n % 50, ".example.test")).when(n % 5 == 2, _text("203.0.", F.when(n % 2 == 0, 113).otherwise(7), ".", n % 200))
+    value = value.when(n % 5 == 3, _text("2001:DB8:0::", F.hex(n % 1000))).otherwise(_text("d", n % 50, ".zz"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when((n % 5).isin(2, 3), "ip").otherwise("domain").alias("kind"), value.alias("value"))
+
+
+@query("""
+    with t as (select distinct doc_id % 5 as k, case doc_id % 5 when 0 then 'host' || (doc_id % 50) || '.' || coalesce(source, 'x') || '.co.top' when 1 then 'h' || (doc_id % 50) || '.example.test'
+                   when 2 then '203.0.' || (case when doc_id % 2 = 0 then 113 else 7 end) || '.' || (doc_id % 200) when 3 then '2001:db8:0::' || lower(to_hex(doc_id % 1000)) else 'd' || (doc_id % 50) || '.zz' end as value from documents)
+    select case when k in (2, 3) then 'ip' else 'domain' end as kind, value,
+        case when k in (0, 1) then 'https://rdap.two' when k = 2 then case when starts_with(value, '203.0.113.') then 'https://ip.two' else 'https://ip.one' end when k = 3 then 'https://ip.six' end as server,
+        case when k = 0 then 'co.top' when k = 1 then 'example.test' when k = 2 then case when starts_with(value, '203.0.113.') then '120' else '104' end when k = 3 then '32' end as matched
+    from t""")
+def registry_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The server that answers for each domain and address: longest listed suffix or prefix."""
+    listed = registration.services(spark.createDataFrame([(b,) for b in _BOOTSTRAP], "body string"))
+    return registration.server_of(_targets(spark, sf_dir), listed)
+
+
+@query("""
+    select doc_id, 'host' || doc_id || '.test' as target, case when doc_id % 4 = 1 then 'Org ' || doc_id else 'Registrar ' || (doc_id % 7) end as registrar,
+        case when doc_id % 3 = 0 then 'Holder "' || coalesce(source, '') || '"' else 'Person ' || doc_id end as registrant, case when doc_id % 2 = 0 then 'DE' end as country,
+        '2024-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || 'T00:00:00Z' as registered, case when doc_id % 2 = 0 then '2024-02-01' else '2024-03-01' end as updated, 'abuse' || doc_id || '@test' as abuse_email, 'ns1.test,ns2.test' as nameservers, case when doc_id % 6 = 0 then 0 else 2 end as n_statuses
+    from documents where doc_id % 10 <> 9 union all select doc_id, null, null, null, null, null, null, null, null, null from documents where doc_id % 10 = 9""")
+def registration_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registration answers as a registry would give them, read into columns; each tenth one failed."""
+    n = F.col("doc_id")
+
+    def card(*fields: str | Column) -> Column:
+        return _text('["vcard",[["version",{},"text","4.0"]', *fields, "]]")
+
+    def text(name: str, value: Column) -> Column:
+        return _text(f',["{name}",{{}},"text","', F.replace(value, F.lit('"'), F.lit('\\"')), '"]')
+
+    address = _text(',["adr",{},"text",["","","Street ', n, '","City","","1","DE"]]')
+    holder = F.when(n % 3 == 0, text("org", _text('Holder "', F.coalesce("source", F.lit("")), '"'))).otherwise(text("fn", _text("Person ", n)))
+    registrar = F.when(n % 4 == 1, text("org", _text("Org ", n))).otherwise(text("fn", _text("Registrar ", n % 7)))
+    inner = F.when(n % 2 == 0, _text(',"entities":[{"roles":["abuse"],"vcardArray":', card(text("email", _text("abuse", n, "@test"))), "}]")).otherwise("")
+    outer = F.when(n % 2 == 1, _text(',{"roles":["technical","abuse"],"vcardArray":', card(text("email", _text("abuse", n, "@test"))), "}")).otherwise("")
+    body = _text(
+        '{"objectClassName":"domain","ldhName":"host', n, '.test","status":', F.when(n % 6 == 0, "null").otherwise('["active","locked"]'), ',"events":[{"eventAction":"registration","eventDate":"2024-01-', F.lpad((n % 28 + 1).cast("string"), 2, "0"), 'T00:00:00Z"},',
+        F.when(n % 2 == 0, '{"eventAction":"last changed","eventDate":"2024-02-01"},').otherwise(""), '{"eventAction":"last update of RDAP database","eventDate":"2024-03-01"}],"nameservers":[{"ldhName":"ns1.test"},{},{"ldhName":"ns2.test"}],"entities":[{"roles":["registrant"],"vcardArray":',
+        card(F.when(n % 2 == 0, address).otherwise(""), holder), '},{"roles":["registrar"],"vcardArray":', card(registrar), inner, "}", outer, "]}",
+    )
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.lit("domain").alias("kind"), _text("host", n, ".test").alias("value"), (n % 10 != 9).alias("ok"), body.alias("body"))
+    r = F.col("registration")
+    found = registration.registrations(answers)
+    joined = F.when(F.size(r["nameservers"]) > 0, F.array_join(r["nameservers"], ","))
+    columns = [r[k].alias(k) for k in ("target", "registrar", "registrant", "country", "registered", "updated", "abuse_email")]
+    return found.select("doc_id", *columns, joined.alias("nameservers"), F.when(r.isNotNull(), F.size(r["statuses"])).alias("n_statuses"))
+
+
+@query("""
+    with t as (select distinct doc_id % 6 as k, 'd' || doc_id || '.t' || (doc_id % 6) as value, doc_id from documents)
+    select value, case k when 0 then 'whois.iana.org' when 1 then 'whois.iana.org,whois.t1' when 2 then 'whois.iana.org,whois.t2,whois.registrar' when 3 then 'whois.iana.org,whois.t3,whois.loop' when 4 then 'whois.iana.org,whois.t4' end as servers,
+        case k when 3 then 'cycle' when 4 then 'missing' when 5 then 'missing' else 'answer' end as ended, case when k = 5 then null else k = 1 end as not_found,
+        case k when 2 then 'Registrar ' || doc_id when 3 then 'Looped' when 4 then 'Thin' end as registrar, case when k = 2 then 'ns.' || value end as nameservers
+    from t""")
+def whois_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Referral chains over a table of answers: none, one that ends in `not found`, a chain of three, a
+    cycle, a server without an answer, and a root without one."""
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", _text("d", n, ".t", n % 6).alias("value"), (n % 6).alias("k"))
+    root = spark.createDataFrame([("t0", "domain: T0\n"), ("t1", "refer:  whois.t1\n"), ("t2", "% hello\nwhois: WHOIS.t2"), ("t3", "refer: whois.t3"), ("t4", "refer: whois.t4")], "query string, text string").select(F.lit("whois.iana.org").alias("server"), "query", "text")
+    first = F.when(F.col("k") == 1, _text("No match for ", F.col("value"))).when(F.col("k") == 2, _text("Domain Name: ", F.col("value"), "\r\nRegistrar WHOIS Server: whois://whois.registrar:43/\r\nRegistrar: Thin\r\n"))
+    first = first.when(F.col("k") == 3, "Registrar WHOIS Server: whois.loop").when(F.col("k") == 4, "Registrar: Thin\nRegistrar WHOIS Server: whois.gone")
+    second = F.when(F.col("k") == 2, _text("Registrar: Registrar ", n, "\nName Server: NS.", F.col("value"), "\n")).when(F.col("k") == 3, "Registrar: Looped\nwhois: whois.t3")
+    by_registry = docs.select(_text("whois.t", F.col("k")).alias("server"), F.col("value").alias("query"), first.alias("text"))
+    by_registrar = docs.select(F.when(F.col("k") == 2, "whois.registrar").otherwise("whois.loop").alias("server"), F.col("value").alias("query"), second.alias("text"))
+    found = referrals.follow(docs, root.unionByName(by_registry).unionByName(by_registrar))
+    found = found.withColumn("s", F.when(F.col("text").isNotNull(), referrals.summary(F.col("text"))))
+    return found.select("value", F.nullif(F.array_join("servers", ","), F.lit("")).alias("servers"), "ended", F.col("s.not_found").alias("not_found"), F.col("s.registrar").alias("registrar"), F.nullif(F.array_join("s.nameservers", ","), F.lit("")).alias("nameservers"))
