@@ -25,6 +25,25 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
 
 
+#: Entities that bodies use in prose.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def named_entities(text: Column) -> Column:
+    """Entities decoded in one pass: the named ones of ENTITIES and numbers of either base. Others, and
+    numbers that are no character, stay."""
+
+    def one(e: Column) -> Column:
+        name = F.lower(F.regexp_extract(e, r"&#?([0-9A-Za-z]+);", 1))
+        code = F.when(F.startswith(name, F.lit("x")), F.conv(F.substr(name, F.lit(2)), 16, 10)).otherwise(name).try_cast("long")
+        sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.coalesce(*[F.when(name == n, F.lit(sign)) for n, sign in ENTITIES.items()], e)
+        return F.when(~e.contains("#"), named).when(sound, char).otherwise(e)
+
+    return spliced(text, "(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,6});", one)
+
+
 def strip_html(html: Column) -> Column:
     """Readable text: scripts and styles go, tags become a space, common entities are decoded."""
     out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
