@@ -32,6 +32,7 @@ SAMPLE_DOCS = 400
 SAMPLE_BYTES = 4 << 20
 #: Every CALIBRATE-th sample document is kept from fitting.
 CALIBRATE = 4
+LEAST_CALIBRATION = 8
 #: A document is rejected beyond so many deviations above its language's mean cross-entropy.
 DEVIATIONS, LEAST_DEVIATION, FULL_LENGTH = 6.0, 0.15, 400
 #: Letters that are scored at a time.
@@ -214,13 +215,13 @@ def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     return ranked.where(F.col("bytes") <= SAMPLE_BYTES).select("lang", (F.col("place") % CALIBRATE).alias("part"), "text")
 
 
-def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Identifier:
-    """An identifier from documents' text and non-null lang outside fold 0."""
-    drawn = staged(sample(docs, most), "language-sample")
+def counted(texts: DataFrame, *groups: str) -> DataFrame:
+    """groups, k, gram, head, tail, n: the n-grams of texts (groups, text) by group, with the hash of
+    their context and of their last k-1 characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = letters(text)
                 if not len(codes):
                     continue
@@ -229,37 +230,77 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Identifier:
                 for k in range(1, ORDER + 1):
                     kinds, at, times = np.unique(hashes[k], return_index=True, return_counts=True)
                     n = len(kinds)
-                    columns = [pa.array([lang] * n), pa.array(np.full(n, k, np.int32)), *(pa.array(x.view(np.int64)) for x in (kinds, before[k - 1][at], hashes[k - 1][at])), pa.array(times.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "gram", "head", "tail", "n"])
+                    columns = [*(pa.repeat(pa.scalar(x, t), n) for x, t in zip(own, batch.schema.types, strict=False)), pa.array(np.full(n, k, np.int32)), *(pa.array(x.view(np.int64)) for x in (kinds, before[k - 1][at], hashes[k - 1][at])), pa.array(times.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, [*groups, "k", "gram", "head", "tail", "n"])
+
+    schema = ", ".join(f"{g} {texts.schema[g].dataType.simpleString()}" for g in groups)
+    rows = texts.select(*groups, "text").mapInArrow(count, f"{schema}, k int, gram bigint, head bigint, tail bigint, n bigint")
+    return rows.groupBy(*groups, "k", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
+
+
+def _fitted(own, alphabet: int) -> Model:
+    """The model of a table of n-grams; an n-gram may have several rows, whose counts add up."""
+    own = own.groupby(["k", "gram"], sort=False).agg({"head": "first", "tail": "first", "n": "sum"}).reset_index()
+    parts = [own[own["k"] == k] for k in range(1, ORDER + 1)]
+    return fit([tuple([p[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "head", "tail")] + [p["n"].to_numpy(np.float64)]) for p in parts], alphabet)
+
+
+def _entropies(texts: DataFrame, names: Column, found: Identifier):
+    """pandas (name, entropy, length): each text under the model of its name. texts: (lang, part, text)."""
+    sent = texts.sparkSession.sparkContext.broadcast(found)  # bounded by the sample
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entropy, length = sent.value.entropies(batch.column(1).to_pylist())
+            at = [sent.value.languages.index(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entropy[np.arange(len(at)), at]), pa.array(length)], ["name", "entropy", "length"])
 
-    counted = drawn.where("part <> 0").select("lang", "text").mapInArrow(count, "lang string, k int, gram bigint, head bigint, tail bigint, n bigint")
-    table = counted.groupBy("lang", "k", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("n").alias("n")).toPandas()
+    rows = texts.select(names.alias("name"), "text").where(F.col("name").isin(found.languages))
+    scores = rows.mapInArrow(score, "name string, entropy double, length bigint").toPandas()
+    return scores[scores["length"] > 0]
+
+
+def _limit(entropy: np.ndarray) -> tuple[float, float]:
+    middle = float(np.median(entropy))
+    return middle, max(1.4826 * float(np.median(np.abs(entropy - middle))), LEAST_DEVIATION)
+
+
+def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Identifier:
+    """An identifier from documents' text and non-null lang outside fold 0.
+
+    A language is calibrated on the sample documents kept from fitting. Where they are fewer than
+    LEAST_CALIBRATION, its whole sample is, each CALIBRATE-th part under a model of the others. A
+    language with a single text takes the median limit of the others; only if it is the only one that
+    was learned, nothing is rejected.
+    """
+    drawn = staged(sample(docs, most), "language-sample")
+    table = counted(drawn.where("part <> 0"), "lang").toPandas()
     languages = sorted(table["lang"].unique())
     alphabet = max(1, int((table["k"] == 1).sum())) + 1
-    models = []
-    for lang in languages:
-        own = table[table["lang"] == lang]
-        parts = [own[own["k"] == k] for k in range(1, ORDER + 1)]
-        as_hash = [[p[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "head", "tail")] + [p["n"].to_numpy(np.float64)] for p in parts]
-        models.append(fit([tuple(x) for x in as_hash], alphabet))
+    models = [_fitted(table[table["lang"] == lang], alphabet) for lang in languages]
     found = Identifier(languages, models, [(float("inf"), 0.0)] * len(models))
-    if languages:
-        sent = docs.sparkSession.sparkContext.broadcast(found)  # bounded by the sample
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                entropy, length = sent.value.entropies(batch.column(1).to_pylist())
-                at = [sent.value.languages.index(x) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entropy[np.arange(len(at)), at]), pa.array(length)], ["lang", "entropy", "length"])
-
-        held = drawn.where(F.col("part") == 0).where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(score, "lang string, entropy double, length bigint").toPandas()
-        for i, lang in enumerate(languages):
-            own = held[(held["lang"] == lang) & (held["length"] > 0)]
-            if len(own) >= 8:
-                mine = own["entropy"].to_numpy()
-                middle = float(np.median(mine))
-                spread = 1.4826 * float(np.median(np.abs(mine - middle)))
-                found.limits[i] = (middle, max(spread, LEAST_DEVIATION))
+    if not languages:
+        return found
+    held = _entropies(drawn.where(F.col("part") == 0), F.col("lang"), found)
+    own = {lang: held[held["name"] == lang]["entropy"].to_numpy() for lang in languages}
+    limits = {lang: _limit(x) for lang, x in own.items() if len(x) >= LEAST_CALIBRATION}
+    small = [lang for lang in languages if lang not in limits]
+    if small:
+        few = drawn.where(F.col("lang").isin(small))
+        parts = counted(few, "lang", "part").toPandas()
+        folds = {f"{part}/{lang}": parts[(parts["lang"] == lang) & (parts["part"] != part)] for lang, part in parts[["lang", "part"]].drop_duplicates().itertuples(index=False)}
+        folds = {name: rows for name, rows in folds.items() if len(rows)}
+        crossed = Identifier(list(folds), [_fitted(rows, alphabet) for rows in folds.values()], [(float("inf"), 0.0)] * len(folds), slots=1 << 12)
+        scores = _entropies(few, F.concat(F.col("part").cast("string"), F.lit("/"), F.col("lang")), crossed) if folds else held[:0]
+        for lang in small:
+            mine = scores[scores["name"].str.partition("/")[2] == lang]["entropy"].to_numpy() if len(scores) else np.zeros(0)
+            if len(mine):
+                limits[lang] = _limit(mine)
+    for i, lang in enumerate(languages):
+        if lang in limits:
+            found.limits[i] = limits[lang]
+        elif limits:
+            found.limits[i] = tuple(float(x) for x in np.median(list(limits.values()), axis=0))
     return found
 
 

@@ -47,6 +47,37 @@ def two_languages(spark, tmp_path):
     return spark.read.parquet(path), rows
 
 
+@pytest.mark.parametrize("texts", [1, 2, 3, 9])
+def test_language_with_few_texts_rejects_as_others_do(spark, tmp_path, texts):
+    """A language learned from a few texts has a limit of its own, or the others'."""
+    import random
+
+    rng = random.Random(17)
+
+    def text(alphabet, words=80):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 8))) for _ in range(words))
+
+    learned = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, text("abcdelnrst"), "many") for i in learned[:120]] + [(i, text("oukmzwvgyp"), "few") for i in learned[120 : 120 + texts]]
+    extra = [(5000, text("oukmzwvgyp"), None), (5001, text("oukmzwvgyp"), None), (5002, text("абвгдежзик"), None), (5003, text("abcdelnrst"), None)]
+    path = str(tmp_path / "few")
+    spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    model = language_id.train(docs)
+    assert model.languages == ["few", "many"] and all(0 < m < 20 and d > 0 for m, d in model.limits)
+    found = {r.doc_id: r for r in language_id.identify(docs, model).where("doc_id >= 5000").collect()}
+    assert found[5000].lang_pred == found[5001].lang_pred == "few" and found[5003].lang_pred == "many" and found[5003].accepted
+    if texts >= 3:
+        assert found[5000].accepted and found[5001].accepted and not found[5002].accepted
+
+
+def test_one_language_of_one_text(spark, none):
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([(one, "only this text", "xx"), (200, "another one", None)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.limits == [(float("inf"), 0.0)] and language_id.keep_identified(docs, model).count() == 2
+
+
 def test_language_id(spark, tmp_path, none):
     docs, rows = two_languages(spark, tmp_path)
     model = language_id.train(docs)
