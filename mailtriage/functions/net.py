@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import charsets
 from . import refdata as R
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -181,8 +182,9 @@ def risky_tld(host: Column) -> Column:
 
 
 def skeleton(text: Column) -> Column:
-    """The shape a reader sees: confusable letters become their twin, rn is m, vv is w, marks go."""
-    folded = F.translate(F.lower(text), R.CONFUSABLE_FROM, R.CONFUSABLE_TO)
+    """The shape a reader sees: compatibility forms become plain letters, confusable letters their twin,
+    rn is m, vv is w, marks go."""
+    folded = F.translate(charsets.compatible(F.lower(text)), R.CONFUSABLE_FROM, R.CONFUSABLE_TO)
     return F.regexp_replace(F.replace(F.replace(folded, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w")), "[^a-z0-9]", "")
 
 

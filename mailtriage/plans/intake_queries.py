@@ -27,11 +27,11 @@ def query(sql: str):
     return register
 
 
-def _pick(n: Column, *values: str) -> Column:
+def pick(n: Column, *values: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
 
-def _text(*parts: Column | str) -> Column:
+def text_of(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
@@ -49,11 +49,11 @@ def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message files written to a folder and read back, broken ones as rejects: of ten, one is empty,
     one is no text, one has no header and one has headers alone."""
     n = F.col("doc_id")
-    whole = _text("From: <a@example.com>\r\nSubject: report ", n, "\r\n")
+    whole = text_of("From: <a@example.com>\r\nSubject: report ", n, "\r\n")
     body = F.coalesce(F.col("text"), F.lit(""))
-    content = F.when(n % 10 == 0, F.encode(F.lit("\r\n"), "UTF-8")).when(n % 10 == 1, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(n % 10 == 2, F.encode(_text("a note\n\n", body), "UTF-8"))
-    content = content.when(n % 10 == 3, F.encode(whole, "UTF-8")).otherwise(F.encode(_text(whole, "\r\n", body), "UTF-8"))
-    files = table(spark, sf_dir, "documents").select(_text("m", n, F.when(n % 3 == 0, ".txt").otherwise(".eml")).alias("name"), content.alias("content"))
+    content = F.when(n % 10 == 0, F.encode(F.lit("\r\n"), "UTF-8")).when(n % 10 == 1, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(n % 10 == 2, F.encode(text_of("a note\n\n", body), "UTF-8"))
+    content = content.when(n % 10 == 3, F.encode(whole, "UTF-8")).otherwise(F.encode(text_of(whole, "\r\n", body), "UTF-8"))
+    files = table(spark, sf_dir, "documents").select(text_of("m", n, F.when(n % 3 == 0, ".txt").otherwise(".eml")).alias("name"), content.alias("content"))
     folder = new_folder(spark, "mail-files")
     mailsource.write(files, folder)
     rows = M.with_raw(mailsource.read(spark, folder)).withColumn("msg_id", F.col("name"))
@@ -72,27 +72,27 @@ def deceptive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links whose text is an address: plain ones and ones that a gateway rewrote, half of them to
     another organisation's host."""
     n = F.col("doc_id")
-    shown = _text("https://bank.", F.col("source"), ".com/login")
-    other = _text("https://login-", F.col("source"), ".example.net/", n)
+    shown = text_of("https://bank.", F.col("source"), ".com/login")
+    other = text_of("https://login-", F.col("source"), ".example.net/", n)
     target = F.when(n % 2 == 0, shown).otherwise(other)
-    href = F.when(n % 4 < 2, target).otherwise(_text("https://eur01.safelinks.protection.outlook.com/?url=", F.url_encode(target), "&amp;data=1"))
-    page = _text('<p>Dear customer</p><a href="', href, '">', shown, "</a>")
-    raw = _text("From: <a@example.com>\nSubject: sign in\nContent-Type: text/html; charset=utf-8\n\n", page)
+    href = F.when(n % 4 < 2, target).otherwise(text_of("https://eur01.safelinks.protection.outlook.com/?url=", F.url_encode(target), "&amp;data=1"))
+    page = text_of('<p>Dear customer</p><a href="', href, '">', shown, "</a>")
+    raw = text_of("From: <a@example.com>\nSubject: sign in\nContent-Type: text/html; charset=utf-8\n\n", page)
     found = triage.analyze(table(spark, sf_dir, "documents").select(n.alias("msg_id"), raw.alias("raw")))
     return found.select("msg_id", F.exists("iocs.urls", lambda u: u["mismatch"]).alias("deceptive"))
 
 
 # --- language -------------------------------------------------------------------------------------
 
-_PHRASES = (
+PHRASES = (
     ("urgency", "strong", "act immediately"), ("urgency", "broad", "deadline"), ("financial", "strong", "outstanding invoice"), ("financial", "broad", "invoice"),
     ("credential", "strong", "verify your mailbox password"), ("credential", "strong", "your mailbox"), ("social", "strong", "tell nobody"),
 )
 _SAID = ("please ACT\nimmediately: before the deadlines.", "an outstanding invoice, and another invoice", "two Outstanding-Invoices", "VERIFY your mailbox passwords; your mailbox: tell nobody's friend", "nothing of the kind")
 
 
-def _said(n: Column, text: Column) -> Column:
-    return _text(F.coalesce(text, F.lit("")), "\n", _pick(n, *_SAID))
+def said(n: Column, text: Column) -> Column:
+    return text_of(F.coalesce(text, F.lit("")), "\n", pick(n, *_SAID))
 
 
 def _sql_said() -> str:
@@ -113,9 +113,9 @@ def _sql_times(phrase: str) -> str:
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of a caller's table in documents that say them in other case, over line ends, with
     hyphens, as plurals, inside longer phrases: counts and score of each category."""
-    phrases = spark.createDataFrame(_PHRASES, "category string, tier string, phrase string")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), _said(F.col("doc_id"), F.col("text")).alias("text"))
-    known = F.col("category").isin([c for c, *_ in _PHRASES])
+    phrases = spark.createDataFrame(PHRASES, "category string, tier string, phrase string")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), said(F.col("doc_id"), F.col("text")).alias("text"))
+    known = F.col("category").isin([c for c, *_ in PHRASES])
     # Amounts and account numbers of the documents are patterns, not phrases.
     found = language.matches(texts, phrases).where(known & F.col("phrase").rlike("(?i)act|deadline|invoice|mailbox|nobody"))
     return language.category_scores(found).withColumn("score", F.col("score").cast("long"))
@@ -127,8 +127,8 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     select phrase, case when starts_with(phrase, 'out') then 'strong' else 'broad' end as tier, count(*) as n, count(distinct doc_id) as n_docs from p group by 1, 2""")
 def phrase_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wordings in which a category's phrases occur, over all documents."""
-    phrases = spark.createDataFrame(_PHRASES, "category string, tier string, phrase string")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), _said(F.col("doc_id"), F.col("text")).alias("text"))
+    phrases = spark.createDataFrame(PHRASES, "category string, tier string, phrase string")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), said(F.col("doc_id"), F.col("text")).alias("text"))
     found = language.matches(texts, phrases).where((F.col("category") == "financial") & F.col("phrase").rlike("(?i)invoice"))
     counted = language.phrase_counts(found)
     return counted.groupBy("phrase", "tier").agg(F.sum("n").alias("n"), F.countDistinct("msg_id").alias("n_docs"))
@@ -163,13 +163,13 @@ def ip_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     tail = F.lower(F.hex(n % 65536))
     high = F.lower(F.hex(F.floor(n / 65536) % 65536))
-    four, six = _text("198.51.100.", n % 200), _text("2001:DB8:0::", high, ":", tail)
-    long = _text("2001:0db8:0000:0000:0000:0000:", F.lpad(high, 4, "0"), ":", F.lpad(tail, 4, "0"))
-    route = _text("Received: from a.example.com (a.example.com [", four, "] [IPv6:", six, "]) by mx.test; Mon, 15 Jan 2024 10:00:05 +0000\n")
-    given = F.when(n % 3 == 0, _text("X-Originating-IP: [", four, "]\n")).otherwise("")
+    four, six = text_of("198.51.100.", n % 200), text_of("2001:DB8:0::", high, ":", tail)
+    long = text_of("2001:0db8:0000:0000:0000:0000:", F.lpad(high, 4, "0"), ":", F.lpad(tail, 4, "0"))
+    route = text_of("Received: from a.example.com (a.example.com [", four, "] [IPv6:", six, "]) by mx.test; Mon, 15 Jan 2024 10:00:05 +0000\n")
+    given = F.when(n % 3 == 0, text_of("X-Originating-IP: [", four, "]\n")).otherwise("")
     prose = F.translate(F.coalesce(F.col("text"), F.lit("")), ".:", "  ")
-    body = _text(prose, "\nsee [", long, "]", F.when(n % 2 == 0, _text(", once ::ffff:", four)).otherwise(""))
-    rows = table(spark, sf_dir, "documents").select(n.alias("msg_id"), _text("From: <a@b.cd>\n", given, route, "\n", body).alias("raw"))
+    body = text_of(prose, "\nsee [", long, "]", F.when(n % 2 == 0, text_of(", once ::ffff:", four)).otherwise(""))
+    rows = table(spark, sf_dir, "documents").select(n.alias("msg_id"), text_of("From: <a@b.cd>\n", given, route, "\n", body).alias("raw"))
     rows = auth.authenticate(M.parse_headers(rows))
     mentions = rows.select("msg_id", F.explode(iocs.ip_mentions(F.col("headers"), F.col("route"), M.body_of(F.col("raw")))).alias("m"))
     mentions = mentions.select("msg_id", net.ip_full(net.ip_value(F.col("m.value"))).alias("address"), "m.source", "m.rank", "m.place")
@@ -183,7 +183,7 @@ def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authentication-Results with comments nested fifty deep and quoted strings full of semicolons."""
     n = F.col("doc_id")
     deep = "(" * 50 + "; spf=none" + ")" * 50
-    value = _text(_pick(n, "mx.test", "mx2.test"), " ", deep, "; spf=", _pick(n, "pass", "fail", "softfail"), ' reason="a;b;c ', F.col("source"), '"; dkim=pass (', F.col("source"), "; (dkim=fail)); dmarc=none")
+    value = text_of(pick(n, "mx.test", "mx2.test"), " ", deep, "; spf=", pick(n, "pass", "fail", "softfail"), ' reason="a;b;c ', F.col("source"), '"; dkim=pass (', F.col("source"), "; (dkim=fail)); dmarc=none")
     found = table(spark, sf_dir, "documents").select(n.alias("msg_id"), "source", value.alias("v")).withColumn("c", auth.clauses(F.col("v")))
 
     def result(method: str) -> Column:
@@ -207,7 +207,7 @@ _DEFANG = r"(?i)\b(?:https?|ftp)://[^\s<>\"'`)\]]+|[a-z0-9._%+-]+@(?:[a-z0-9-]+\
 def defanged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with a line of links, files and addresses, defanged in one pass."""
     n, source = F.col("doc_id"), F.coalesce("source", F.lit(""))
-    said = _text(F.coalesce(F.col("text"), F.lit("")), "\nsee HTTP://", source, ".example.com:8080/a?b=1, Invoice", n, ".pdf, ", source, "@mail.example.com, 203.0.113.", n % 200, " header.from")
+    said = text_of(F.coalesce(F.col("text"), F.lit("")), "\nsee HTTP://", source, ".example.com:8080/a?b=1, Invoice", n, ".pdf, ", source, "@mail.example.com, 203.0.113.", n % 200, " header.from")
     rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("t"))
     return rows.select("doc_id", T.defang_targets(F.col("t")).cast("long").alias("n_found"), F.sha2(T.defang_text(F.col("t")), 256).alias("safe_sha256"))
 
@@ -222,8 +222,8 @@ _BOOTSTRAP = (
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
-    value = F.when(n % 5 == 0, _text("Host", n % 50, ".", F.coalesce("source", F.lit("x")), ".co.TOP")).when(n % 5 == 1, _text("h", n % 50, ".example.test")).when(n % 5 == 2, _text("203.0.", F.when(n % 2 == 0, 113).otherwise(7), ".", n % 200))
-    value = value.when(n % 5 == 3, _text("2001:DB8:0::", F.hex(n % 1000))).otherwise(_text("d", n % 50, ".zz"))
+    value = F.when(n % 5 == 0, text_of("Host", n % 50, ".", F.coalesce("source", F.lit("x")), ".co.TOP")).when(n % 5 == 1, text_of("h", n % 50, ".example.test")).when(n % 5 == 2, text_of("203.0.", F.when(n % 2 == 0, 113).otherwise(7), ".", n % 200))
+    value = value.when(n % 5 == 3, text_of("2001:DB8:0::", F.hex(n % 1000))).otherwise(text_of("d", n % 50, ".zz"))
     return table(spark, sf_dir, "documents").select("doc_id", F.when((n % 5).isin(2, 3), "ip").otherwise("domain").alias("kind"), value.alias("value"))
 
 
@@ -250,22 +250,22 @@ def registration_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
 
     def card(*fields: str | Column) -> Column:
-        return _text('["vcard",[["version",{},"text","4.0"]', *fields, "]]")
+        return text_of('["vcard",[["version",{},"text","4.0"]', *fields, "]]")
 
     def text(name: str, value: Column) -> Column:
-        return _text(f',["{name}",{{}},"text","', F.replace(value, F.lit('"'), F.lit('\\"')), '"]')
-
-    address = _text(',["adr",{},"text",["","","Street ', n, '","City","","1","DE"]]')
-    holder = F.when(n % 3 == 0, text("org", _text('Holder "', F.coalesce("source", F.lit("")), '"'))).otherwise(text("fn", _text("Person ", n)))
-    registrar = F.when(n % 4 == 1, text("org", _text("Org ", n))).otherwise(text("fn", _text("Registrar ", n % 7)))
-    inner = F.when(n % 2 == 0, _text(',"entities":[{"roles":["abuse"],"vcardArray":', card(text("email", _text("abuse", n, "@test"))), "}]")).otherwise("")
-    outer = F.when(n % 2 == 1, _text(',{"roles":["technical","abuse"],"vcardArray":', card(text("email", _text("abuse", n, "@test"))), "}")).otherwise("")
-    body = _text(
+        return text_of(f',["{name}",{{}},"text","', F.replace(value, F.lit('"'), F.lit('\\"')), '"]')
+
+    address = text_of(',["adr",{},"text",["","","Street ', n, '","City","","1","DE"]]')
+    holder = F.when(n % 3 == 0, text("org", text_of('Holder "', F.coalesce("source", F.lit("")), '"'))).otherwise(text("fn", text_of("Person ", n)))
+    registrar = F.when(n % 4 == 1, text("org", text_of("Org ", n))).otherwise(text("fn", text_of("Registrar ", n % 7)))
+    inner = F.when(n % 2 == 0, text_of(',"entities":[{"roles":["abuse"],"vcardArray":', card(text("email", text_of("abuse", n, "@test"))), "}]")).otherwise("")
+    outer = F.when(n % 2 == 1, text_of(',{"roles":["technical","abuse"],"vcardArray":', card(text("email", text_of("abuse", n, "@test"))), "}")).otherwise("")
+    body = text_of(
         '{"objectClassName":"domain","ldhName":"host', n, '.test","status":', F.when(n % 6 == 0, "null").otherwise('["active","locked"]'), ',"events":[{"eventAction":"registration","eventDate":"2024-01-', F.lpad((n % 28 + 1).cast("string"), 2, "0"), 'T00:00:00Z"},',
         F.when(n % 2 == 0, '{"eventAction":"last changed","eventDate":"2024-02-01"},').otherwise(""), '{"eventAction":"last update of RDAP database","eventDate":"2024-03-01"}],"nameservers":[{"ldhName":"ns1.test"},{},{"ldhName":"ns2.test"}],"entities":[{"roles":["registrant"],"vcardArray":',
         card(F.when(n % 2 == 0, address).otherwise(""), holder), '},{"roles":["registrar"],"vcardArray":', card(registrar), inner, "}", outer, "]}",
     )
-    answers = table(spark, sf_dir, "documents").select("doc_id", F.lit("domain").alias("kind"), _text("host", n, ".test").alias("value"), (n % 10 != 9).alias("ok"), body.alias("body"))
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.lit("domain").alias("kind"), text_of("host", n, ".test").alias("value"), (n % 10 != 9).alias("ok"), body.alias("body"))
     r = F.col("registration")
     found = registration.registrations(answers)
     joined = F.when(F.size(r["nameservers"]) > 0, F.array_join(r["nameservers"], ","))
@@ -283,12 +283,12 @@ def whois_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referral chains over a table of answers: none, one that ends in `not found`, a chain of three, a
     cycle, a server without an answer, and a root without one."""
     n = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", _text("d", n, ".t", n % 6).alias("value"), (n % 6).alias("k"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of("d", n, ".t", n % 6).alias("value"), (n % 6).alias("k"))
     root = spark.createDataFrame([("t0", "domain: T0\n"), ("t1", "refer:  whois.t1\n"), ("t2", "% hello\nwhois: WHOIS.t2"), ("t3", "refer: whois.t3"), ("t4", "refer: whois.t4")], "query string, text string").select(F.lit("whois.iana.org").alias("server"), "query", "text")
-    first = F.when(F.col("k") == 1, _text("No match for ", F.col("value"))).when(F.col("k") == 2, _text("Domain Name: ", F.col("value"), "\r\nRegistrar WHOIS Server: whois://whois.registrar:43/\r\nRegistrar: Thin\r\n"))
+    first = F.when(F.col("k") == 1, text_of("No match for ", F.col("value"))).when(F.col("k") == 2, text_of("Domain Name: ", F.col("value"), "\r\nRegistrar WHOIS Server: whois://whois.registrar:43/\r\nRegistrar: Thin\r\n"))
     first = first.when(F.col("k") == 3, "Registrar WHOIS Server: whois.loop").when(F.col("k") == 4, "Registrar: Thin\nRegistrar WHOIS Server: whois.gone")
-    second = F.when(F.col("k") == 2, _text("Registrar: Registrar ", n, "\nName Server: NS.", F.col("value"), "\n")).when(F.col("k") == 3, "Registrar: Looped\nwhois: whois.t3")
-    by_registry = docs.select(_text("whois.t", F.col("k")).alias("server"), F.col("value").alias("query"), first.alias("text"))
+    second = F.when(F.col("k") == 2, text_of("Registrar: Registrar ", n, "\nName Server: NS.", F.col("value"), "\n")).when(F.col("k") == 3, "Registrar: Looped\nwhois: whois.t3")
+    by_registry = docs.select(text_of("whois.t", F.col("k")).alias("server"), F.col("value").alias("query"), first.alias("text"))
     by_registrar = docs.select(F.when(F.col("k") == 2, "whois.registrar").otherwise("whois.loop").alias("server"), F.col("value").alias("query"), second.alias("text"))
     found = referrals.follow(docs, root.unionByName(by_registry).unionByName(by_registrar))
     found = found.withColumn("s", F.when(F.col("text").isNotNull(), referrals.summary(F.col("text"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import charsets
 from ..functions.net import let
 from ..functions.text import trimmed
 from . import mailsource
@@ -93,7 +94,7 @@ def address(value: Column) -> Column:
 
 
 def decoded_words(text: Column) -> Column:
-    """RFC 2047 words in UTF-8, US-ASCII or ISO-8859-1 decoded; others stay as they are."""
+    """RFC 2047 words in UTF-8 or a single-byte charset decoded; others stay as they are."""
     word = r"=\?[^?]+\?[BQbq]\?[^?]*\?="
     between = F.split(text, word, -1)
     found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
@@ -106,8 +107,7 @@ def decoded_words(text: Column) -> Column:
         tokens = F.regexp_extract_all(spaced, F.lit(r"(?s)=[0-9A-Fa-f]{2}|."), F.lit(0))
         codes = F.transform(tokens, lambda t: F.when(t.rlike("^=[0-9A-Fa-f]{2}"), F.substr(t, F.lit(2))).otherwise(F.hex(F.encode(t, "UTF-8"))))
         raw = F.when(kind == "B", F.try_to_binary(body, F.lit("base64"))).otherwise(F.unhex(F.array_join(codes, "")))
-        latin = F.decode(raw, "ISO-8859-1")
-        return F.coalesce(F.when(charset.isin("utf-8", "utf8", "us-ascii"), F.make_valid_utf8(raw.cast("string"))).when(charset.isin("iso-8859-1", "latin1"), latin), w)
+        return F.coalesce(F.when(charset.isin("utf-8", "utf8"), F.make_valid_utf8(raw.cast("string"))).otherwise(charsets.single_byte(raw, charset)), w)
 
     decoded = F.transform(found, one)
     pieces = F.zip_with(between, decoded, lambda b, d: F.concat(F.coalesce(b, F.lit("")), F.coalesce(d, F.lit(""))))
