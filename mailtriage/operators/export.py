@@ -70,10 +70,10 @@ def report_rows(analyzed: DataFrame) -> DataFrame:
 
 def csv_lines(report: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
     """(msg_id, ord, line): the CSV line of each indicator; enrichment (kind, value, summary) fills
-    the lookup columns."""
+    the lookup columns, of several answers for one value with the least."""
     rows = report.withColumns({"virustotal": F.lit(""), "abuseipdb": F.lit(""), "registration": F.lit("")})
     if enrichment is not None:
-        by = enrichment.groupBy("value").pivot("kind", ["vt", "abuse", "whois"]).agg(F.first("summary")).withColumnRenamed("value", "of_value")
+        by = enrichment.groupBy("value").pivot("kind", ["vt", "abuse", "whois"]).agg(F.min("summary")).withColumnRenamed("value", "of_value")
         rows = report.join(by, report["value"] == by["of_value"], "left").withColumnsRenamed({"vt": "virustotal", "abuse": "abuseipdb", "whois": "registration"})
     cells = [F.col("type"), F.col("indicator"), F.lit("Message"), F.col("risk_flags"), F.col("details"), F.col("virustotal"), F.col("abuseipdb"), F.col("registration")]
     return rows.select("msg_id", "ord", F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("line"))

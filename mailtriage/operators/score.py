@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refdata as R
 from ..functions.text import half_up
+from ..session import staged
 
 
 def clamped(points: Column) -> Column:
@@ -33,11 +34,13 @@ def tier_rank(column: Column) -> Column:
 def ranked(scored: DataFrame, msg: str) -> DataFrame:
     """scored (msg, score, tier) with its place in the batch: by tier, then score, then msg.
 
-    Places come from a range sort and the sizes of its parts, so no task sees the whole batch.
+    Places come from a range sort and the sizes of its parts, so no task sees the whole batch. The
+    sorted rows are written as a table first: a lost executor can't number them anew.
     """
     order = [tier_rank(F.col("tier")), F.desc("score"), F.col(msg)]
     place = scored.repartitionByRange(*[c if isinstance(c, Column) else F.col(c) for c in order]).sortWithinPartitions(*order)
-    place = place.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).cache()
+    place = place.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    place = staged(place, "ranked")
     sizes = place.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part of the sort
     sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

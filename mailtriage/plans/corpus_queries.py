@@ -206,6 +206,23 @@ def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", head.alias("head"), text.sniffed(content).alias("sniffed"))
 
 
+_HEADS = [(kind, code) for kind, code, _ in text.FILE_TYPES if kind not in text.OFFSETS]
+
+
+@query(f"""
+    select doc_id, list_extract({_list([k for k, _ in _HEADS] + [""])}, (doc_id % {len(_HEADS) + 1} + 1)::int) as sniffed,
+        list_contains({_list([k for k, _, e in text.FILE_TYPES if "exe" in e.split()])}, list_extract({_list([k for k, _ in _HEADS] + [""])}, (doc_id % {len(_HEADS) + 1} + 1)::int)) or doc_id % {len(_HEADS) + 1} = {len(_HEADS)} as fits
+    from documents""")
+def sniffed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind the first bytes of each file type, named as programs: the type that the bytes
+    tell, and whether the name fits. One in so many has no such bytes."""
+    n = (F.col("doc_id") % (len(_HEADS) + 1)).cast("int")
+    head = F.element_at(F.array(*[F.lit(code) for _, code in _HEADS], F.lit("2D2D")), n + 1)
+    content = F.concat(F.unhex(head), F.encode(F.concat(F.lit("-"), F.coalesce("text", F.lit(""))), "UTF-8"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.sniffed(content).alias("kind"))
+    return rows.select("doc_id", F.coalesce("kind", F.lit("")).alias("sniffed"), text.belongs(F.col("kind"), F.lit("exe")).alias("fits"))
+
+
 # --- correlation ----------------------------------------------------------------------------------
 
 
@@ -355,7 +372,9 @@ _TERMS = {"urgency": ["now", "today", "urgent"], "authority": ["on", "with", "ar
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-word terms of categories: tokens meet the term table, hits are counted and capped."""
     terms = spark.createDataFrame([(c, t) for c, words in _TERMS.items() for t in words], "category string, term string")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: w != "")).alias("word"))
+    wanted = [t for words in _TERMS.values() for t in words]
+    # Only the words of the table leave the document's row.
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: w.isin(wanted))).alias("word"))
     # The term table is written in the code: its size is fixed.
     hits = words.join(F.broadcast(terms), words["word"] == terms["term"]).groupBy("category", "doc_id").agg(F.count("*").alias("n_hits"))
     return hits.withColumn("score", F.least(F.col("n_hits") * 10, F.lit(100).cast("long")))
@@ -380,8 +399,7 @@ def levenshtein_lookalike(spark: SparkSession, sf_dir: str) -> DataFrame:
     select host, list_contains({_list(refdata.BRANDS)}, shape) and shape <> name as confusable from s""")
 def confusable_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "pages").select(net.url_host(F.col("url")).alias("host")).where("host is not null").distinct()
-    name = F.substring_index(net.org_domain(F.col("host")), ".", 1)
-    return hosts.select("host", (net.skeleton(name).isin(list(refdata.BRANDS)) & (net.skeleton(name) != name)).alias("confusable"))
+    return hosts.select("host", F.coalesce(net.lookalike(F.col("host"))["kind"] == "confusable", F.lit(False)).alias("confusable"))
 
 
 @query(r"""
@@ -402,14 +420,14 @@ def risk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select user_id, count(*) as n_hops, sum(case when ts < prev - interval 60 second then 1 else 0 end)::bigint as n_backwards, max(n - i + 1) as n_first
-    from (select user_id, ts, lag(ts) over w as prev, row_number() over w as i, count(*) over (partition by user_id) as n from events window w as (partition by user_id order by event_id)) group by user_id""")
+    select user_id, count(*) as n_hops, sum(case when ts < prev - interval 60 second then 1 else 0 end)::bigint as n_backwards
+    from (select user_id, ts, lag(ts) over (partition by user_id order by event_id) as prev from events) group by user_id""")
 def hop_time_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clocks that run backwards by more than a minute from one hop to the next."""
     order = Window.partitionBy("user_id").orderBy("event_id")
     hops = table(spark, sf_dir, "events").select("user_id", "ts", F.lag("ts").over(order).alias("prev"))
     back = F.col("ts") < F.col("prev") - F.expr("interval 60 seconds")
-    return hops.groupBy("user_id").agg(F.count("*").alias("n_hops"), F.coalesce(F.count_if(back), F.lit(0)).alias("n_backwards"), F.count("*").alias("n_first"))
+    return hops.groupBy("user_id").agg(F.count("*").alias("n_hops"), F.coalesce(F.count_if(back), F.lit(0)).alias("n_backwards"))
 
 
 @query("""
