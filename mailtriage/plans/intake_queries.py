@@ -110,7 +110,7 @@ def _sql_times(phrase: str) -> str:
                    {{'category': 'credential', 's': {_sql_times('your mailbox')}, 'b': 0}}, {{'category': 'social', 's': {_sql_times('tell nobody')}, 'b': 0}}], recursive := true) from t),
          w as (select * from (values {', '.join(f"('{c}', {w})" for c, w in R.CATEGORY_WEIGHTS.items())}) as w(category, weight))
     select msg_id, category, s as n_strong, b as n_broad, floor(least(s * weight * 10, 100) + 0.5)::bigint as score from c join w using (category) where s + b > 0""")
-def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phrase_table_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of a caller's table in documents that say them in other case, over line ends, with
     hyphens, as plurals, inside longer phrases: counts and score of each category."""
     phrases = spark.createDataFrame(PHRASES, "category string, tier string, phrase string")
