@@ -59,15 +59,16 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     Columns of docs that bear those names give way to the new ones. A row without a copy has its
     own doc_id as keep_id, group_size 1, kept true.
     """
-    others = [c for c in docs.columns if c.lower() not in {"keep_id", "group_size", "kept", "m_keep", "m_size", "m_kept", "rid"}]
+    others = [c for c in docs.columns if c.lower() not in {"keep_id", "group_size", "kept"}]
     rows, rid = numbered(docs.select(*others))
-    found = members(rows, rid, prefix_chars).select("rid", F.col("keep_id").alias("m_keep"), F.col("group_size").alias("m_size"), F.col("kept").alias("m_kept"))
-    joined = rows.join(found, rows[rid] == found["rid"], "left")
+    own, keep, size, kept = (free_name(rows, name) for name in ("of_row", "of_keep", "of_size", "of_kept"))
+    found = members(rows, rid, prefix_chars).select(F.col("rid").alias(own), F.col("keep_id").alias(keep), F.col("group_size").alias(size), F.col("kept").alias(kept))
+    joined = rows.join(found, rows[rid] == found[own], "left")
     return joined.select(
         *others,
-        F.when(F.col("m_size").isNull(), F.col("doc_id")).otherwise(F.col("m_keep")).alias("keep_id"),
-        F.coalesce("m_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce("m_kept", F.lit(True)).alias("kept"),
+        F.when(F.col(size).isNull(), F.col("doc_id")).otherwise(F.col(keep)).alias("keep_id"),
+        F.coalesce(size, F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(kept, F.lit(True)).alias("kept"),
     )
 
 

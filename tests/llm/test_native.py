@@ -59,6 +59,14 @@ def test_new_splits_move_no_decision(spark, tmp_path):
         spark.conf.set(split, before)
 
 
+def test_other_columns_outlive_exact_groups(spark):
+    names = ["rid", "m_keep", "m_size", "m_kept", "of_row", "of_keep", "row_place", "Of_Size"]
+    docs = spark.createDataFrame([(1, "a", *names), (2, "A", *names), (3, "b", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = {r.doc_id: r for r in exact_dedup.exact_groups(docs).collect()}
+    assert all([r[n] for n in names] == names for r in found.values())
+    assert [(found[i].keep_id, found[i].group_size, found[i].kept) for i in (1, 2, 3)] == [(2, 2, False), (2, 2, True), (3, 1, True)]
+
+
 def test_short_prefix_still_exact(odd):
     a = {tuple(r) for r in exact_dedup.exact_groups(odd, 1).select("doc_id", "keep_id", "group_size").collect()}
     b = {tuple(r) for r in exact_dedup.exact_groups(odd).select("doc_id", "keep_id", "group_size").collect()}
