@@ -6,8 +6,10 @@ Only DataFrame functions are used. Each level keeps the groups that still hold t
 2. rows per (length, hash of the first bytes), among lengths that survive;
 3. the full SHA-256, computed only for rows whose (length, prefix hash) survives.
 
-A row leaves at the first level where it is alone. Group sizes are sums that are partially
-aggregated, joins are plain equi-joins that adaptive execution may split, and nothing is collected.
+A row leaves at the first level where it is alone. Survivors of a level reach the next one as a key
+sketch (sketch.py), of fixed size and broadcast whatever the data's size, so that texts stay where they
+are: a row that passes a sketch by chance leaves at the level after it. Only row numbers and hashes are
+shuffled. Group sizes are sums that are partially aggregated, and nothing is collected.
 
 Decisions are about single rows, as rows may tie on id and text. So the rows are numbered once, in a
 table that all later scans read: a number taken anew by a second scan may name another row.
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import ascii_lower, free_name, staged, text_of
 
 PREFIX_CHARS = 64
@@ -41,10 +44,10 @@ def members(rows: DataFrame, rid: str, prefix_chars: int = PREFIX_CHARS) -> Data
     rows = rows.select(F.col(rid).alias("rid"), "doc_id", text_of().alias("raw"))
     rows = rows.select("rid", "doc_id", "raw", F.octet_length("raw").alias("len"), F.xxhash64(ascii_lower(F.substring("raw", 1, prefix_chars))).alias("prefix"))
 
-    lengths = staged(rows.groupBy("len").count().where("count > 1").select("len"), "lengths")
-    prefixes = rows.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").count().where("count > 1")
-    prefixes = staged(prefixes.select("len", "prefix"), "prefixes")
-    hashed = rows.join(prefixes, ["len", "prefix"], "left_semi").select("rid", "doc_id", F.sha2(ascii_lower(F.col("raw")), 256).alias("full"))
+    by_length, by_prefix = F.xxhash64("len"), F.xxhash64("len", "prefix")
+    lengths = sketch.build(rows.groupBy("len").count().where("count > 1"), by_length)
+    prefixes = sketch.passing(rows.select("len", "prefix"), lengths, by_length).groupBy("len", "prefix").count().where("count > 1")
+    hashed = sketch.passing(rows, sketch.build(prefixes, by_prefix), by_prefix).select("rid", "doc_id", F.sha2(ascii_lower(F.col("raw")), 256).alias("full"))
     hashed = staged(hashed.select("rid", "doc_id", F.unhex("full").alias("full")), "hashed")
 
     groups = hashed.groupBy("full").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("top")).where("group_size > 1")
@@ -53,6 +56,13 @@ def members(rows: DataFrame, rid: str, prefix_chars: int = PREFIX_CHARS) -> Data
     return staged(found, "members")
 
 
+def _split(rows: DataFrame, rid: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose number may be in found, a table of one column, and those whose number surely isn't."""
+    held, bits = sketch.attach(rows, sketch.build(found, F.xxhash64(found.columns[0])), F.xxhash64(rid))
+    may = sketch.may_hold(bits, F.xxhash64(rid))
+    return held.where(may).drop(bits), held.where(~may).drop(bits)
+
+
 def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """docs with keep_id, group_size and kept on every row; see members() for the rules.
 
@@ -63,12 +73,16 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     rows, rid = numbered(docs.select(*others))
     own, keep, size, kept = (free_name(rows, name) for name in ("of_row", "of_keep", "of_size", "of_kept"))
     found = members(rows, rid, prefix_chars).select(F.col("rid").alias(own), F.col("keep_id").alias(keep), F.col("group_size").alias(size), F.col("kept").alias(kept))
-    joined = rows.join(found, rows[rid] == found[own], "left")
-    return joined.select(
-        *others,
-        F.when(F.col(size).isNull(), F.col("doc_id")).otherwise(F.col(keep)).alias("keep_id"),
-        F.coalesce(size, F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(kept, F.lit(True)).alias("kept"),
+    met, alone = _split(rows, rid, found.select(own))
+    return (
+        met.join(found, met[rid] == found[own], "left")
+        .select(
+            *others,
+            F.when(F.col(size).isNull(), F.col("doc_id")).otherwise(F.col(keep)).alias("keep_id"),
+            F.coalesce(size, F.lit(1).cast("long")).alias("group_size"),
+            F.coalesce(kept, F.lit(True)).alias("kept"),
+        )
+        .union(alone.select(*others, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
     )
 
 
@@ -76,4 +90,5 @@ def drop_exact_copies(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> Data
     """docs, all columns, with one row of each group of equal texts: the one with the largest doc_id."""
     rows, rid = numbered(docs)
     dropped = members(rows, rid, prefix_chars).where("not kept").select(F.col("rid").alias("m_rid"))
-    return rows.join(dropped, rows[rid] == dropped["m_rid"], "left_anti").drop(rid)
+    met, alone = _split(rows, rid, dropped)
+    return met.join(dropped, met[rid] == dropped["m_rid"], "left_anti").union(alone).drop(rid)

@@ -6,8 +6,10 @@
 3. A rule's alternatives intersect their trigrams' postings: postings meet the (trigram, alternative)
    table, are counted per (document, alternative), and a document whose count reaches the
    alternative's number of trigrams is a candidate of the rule.
-4. Candidates are verified by the expression itself on the whole text. Rules without mandatory
-   trigrams are verified on every text.
+4. Candidates reach the scan of the texts as a key sketch (sketch.py), of fixed size and broadcast
+   whatever their number, so no text is shuffled. A rule's expression verifies the texts that the
+   sketch lets pass, few of them by chance, in place and whole. Rules without mandatory trigrams
+   are verified on every text.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import ascii_lower, staged, text_of
 from .trigrams import query_of
 
@@ -66,7 +69,7 @@ def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(k_id, k_text, rules): the rules whose query a document's postings satisfy."""
+    """(k_id, k_text, rule): the rules whose query a document's postings satisfy, each once."""
     spark = index.sparkSession
     wanted = alternatives(rules)
     table = spark.createDataFrame(wanted or [(0, 0, "")], "rule int, alternative int, trigram string")
@@ -74,7 +77,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # Both tables have one row per trigram of the rules: their size is fixed by the rules.
     hits = index.distinct().join(F.broadcast(table), "trigram").groupBy("k_id", "k_text", "rule", "alternative").agg(F.count("*").alias("n"))
     met = hits.join(F.broadcast(needed), ["rule", "alternative"]).where("n = needed")
-    return met.groupBy("k_id", "k_text").agg(F.collect_set("rule").alias("rules"))
+    return met.select("k_id", "k_text", "rule").distinct()
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
@@ -118,14 +121,14 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     gives no rows. Overlapping matches of different kinds all stay.
     """
     full = [r for r, rule in enumerate(rules) if query_of(rule.pattern) is None]
-    found = staged(candidates(build_index(docs, rules), rules), "candidates").withColumnsRenamed({"k_id": "c_id", "k_text": "c_text"})
-    rows = docs.select("doc_id", text_of().alias("whole"), *_key(docs))
-    rows = rows.join(found, (rows["k_id"] == found["c_id"]) & (rows["k_text"] == found["c_text"]), "left")
+    key = F.xxhash64("k_id", "k_text")
+    found = sketch.build(candidates(build_index(docs, rules), rules), key, F.col("rule"))
+    rows, bits = sketch.attach(docs.select("doc_id", text_of().alias("whole"), *_key(docs)), found, key)
     empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
     parts = []
     for r, rule in enumerate(rules):
         here = spans(F.col("whole"), rule, r)
-        parts.append(here if r in full else F.when(F.array_contains("rules", r), here).otherwise(empty))
+        parts.append(here if r in full else F.when(sketch.may_hold(bits, key, F.lit(r)), here).otherwise(empty))
     kinds = F.array(*[F.lit(rule.kind) for rule in rules])
     merged = rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("merged"))
     return merged.select(

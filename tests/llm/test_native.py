@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from mailtriage.llm import exact_dedup, mixing, secrets
+from mailtriage.llm import exact_dedup, mixing, secrets, sketch
 from mailtriage.llm.trigrams import holds, query_of
 
 from .fixtures import lower, odd_rows, words
@@ -205,3 +205,50 @@ def test_hash_is_sha256_of_lowered_text(odd):
 
     for r in odd.select("text", F.sha2(ascii_lower(text_of()), 256).alias("h")).collect():
         assert r.h == hashlib.sha256(lower(r.text).encode()).hexdigest()
+
+
+def test_sketch_lets_all_members_pass_and_few_others(spark):
+    keys = spark.range(0, 20_000, 2).select(F.xxhash64("id").alias("h"), (F.col("id") % 3).cast("int").alias("d"))
+    rows = spark.range(20_000).withColumn("sketch_bits", F.lit("mine"))
+    key = F.xxhash64("id")
+    passed = sketch.passing(rows, sketch.build(keys, F.col("h")), key)
+    assert passed.columns == ["id", "sketch_bits"]
+    ids = {r.id for r in passed.collect()}
+    assert set(range(0, 20_000, 2)) <= ids and len(ids) < 10_100
+    held, bits = sketch.attach(rows, sketch.build(keys, F.col("h"), F.col("d")), key)
+    for d in range(3):
+        ids = {r.id for r in held.where(sketch.may_hold(bits, key, F.lit(d))).collect()}
+        want = {i for i in range(0, 20_000, 2) if i % 3 == d}
+        assert want <= ids and len(ids) < len(want) + 100
+    assert sketch.passing(rows, sketch.build(keys.limit(0), F.col("h")), key).count() == 0
+    nulls = spark.createDataFrame([(None,), (1,)], "k long")
+    assert sketch.passing(nulls, sketch.build(nulls.where("k is null"), F.xxhash64("k")), F.xxhash64("k")).where("k is null").count() == 1
+
+
+def test_full_sketch_changes_no_result(spark, odd, monkeypatch):
+    """With hardly any bits every row passes: the exact steps behind the sketch decide alone."""
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    groups = sorted(map(str, exact_dedup.exact_groups(odd).select(*columns).collect()))
+    left = sorted(str(r.doc_id) for r in exact_dedup.drop_exact_copies(odd).collect())
+    secret = sorted(map(str, secrets.find_secrets(odd).collect()))
+    monkeypatch.setattr(sketch, "BUCKETS", 1)
+    monkeypatch.setattr(sketch, "BITS", 2)
+    assert sorted(map(str, exact_dedup.exact_groups(odd).select(*columns).collect())) == groups
+    assert sorted(str(r.doc_id) for r in exact_dedup.drop_exact_copies(odd).collect()) == left
+    assert sorted(map(str, secrets.find_secrets(odd).collect())) == secret
+
+
+def test_no_text_is_shuffled_without_broadcast(spark, odd, tmp_path):
+    path = str(tmp_path / "docs")
+    odd.select("doc_id", "text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")
+        plan = secrets.find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        plan = exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "kept")._jdf.queryExecution().executedPlan().toString()
+        assert "text#" not in plan
+    finally:
+        spark.conf.set(limit, before)
