@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import sketch
 from .common import staged, text_of
 from .words import shingle_hashes, word_hashes
 
@@ -283,6 +284,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """docs, all columns, without the documents that hold a benchmark item. Rows of one doc_id go or
-    stay together; rows whose doc_id is null stay only if no such row is contaminated."""
-    hit = staged(find_contamination(docs, benchmark, **kwargs).select(F.col("doc_id").alias("hit_id")).distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    stay together; rows whose doc_id is null stay only if no such row is contaminated. Only rows that a
+    sketch of the contaminated ids lets pass are shuffled."""
+    hit = staged(find_contamination(docs, benchmark, **kwargs).select("doc_id").distinct(), "contaminated")
+    return sketch.without(docs, "doc_id", hit)

@@ -56,13 +56,6 @@ def members(rows: DataFrame, rid: str, prefix_chars: int = PREFIX_CHARS) -> Data
     return staged(found, "members")
 
 
-def _split(rows: DataFrame, rid: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows whose number may be in found, a table of one column, and those whose number surely isn't."""
-    held, bits = sketch.attach(rows, sketch.build(found, F.xxhash64(found.columns[0])), F.xxhash64(rid))
-    may = sketch.may_hold(bits, F.xxhash64(rid))
-    return held.where(may).drop(bits), held.where(~may).drop(bits)
-
-
 def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """docs with keep_id, group_size and kept on every row; see members() for the rules.
 
@@ -73,7 +66,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     rows, rid = numbered(docs.select(*others))
     own, keep, size, kept = (free_name(rows, name) for name in ("of_row", "of_keep", "of_size", "of_kept"))
     found = members(rows, rid, prefix_chars).select(F.col("rid").alias(own), F.col("keep_id").alias(keep), F.col("group_size").alias(size), F.col("kept").alias(kept))
-    met, alone = _split(rows, rid, found.select(own))
+    met, alone = sketch.split(rows, F.xxhash64(rid), found.select(own), F.xxhash64(own))
     return (
         met.join(found, met[rid] == found[own], "left")
         .select(
@@ -89,6 +82,4 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
 def drop_exact_copies(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts: the one with the largest doc_id."""
     rows, rid = numbered(docs)
-    dropped = members(rows, rid, prefix_chars).where("not kept").select(F.col("rid").alias("m_rid"))
-    met, alone = _split(rows, rid, dropped)
-    return met.join(dropped, met[rid] == dropped["m_rid"], "left_anti").union(alone).drop(rid)
+    return sketch.without(rows, rid, members(rows, rid, prefix_chars).where("not kept").select("rid")).drop(rid)

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import discard, staged
 from .components import components
 from .cutting import keyed
@@ -170,7 +171,8 @@ def centred(cells: DataFrame) -> DataFrame:
 
 
 def contents(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(sid, content): the shingles of every set of pairs."""
+    """(sid, content): the shingles of every set of pairs. Of the texts, those that a sketch of the
+    wanted keys lets pass are shuffled."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -188,6 +190,7 @@ def contents(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> Data
     wanted = wanted.join(twice, (F.col("w_id") == twice["k_id"]) & (F.col("w_text") == twice["k_text"]), "left").select("sid", "w_id", "w_text", F.col("m").isNotNull().alias("again"))
     wanted = staged(wanted, "wanted")
     texts = keyed(docs).select("k_id", "k_text", "data")
+    texts = sketch.passing(texts, sketch.build(wanted, F.xxhash64("w_id", "w_text")), F.xxhash64("k_id", "k_text"))
 
     def found(some: DataFrame) -> DataFrame:
         met = texts.join(some.hint("merge"), (texts["k_id"] == some["w_id"]) & (texts["k_text"] == some["w_text"])).select("sid", "data")
@@ -373,7 +376,7 @@ def similar_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest doc_id.
-    Rows without an id and documents without words stay."""
+    Rows without an id and documents without words stay. Rows that no sketch lets pass stay in place."""
     found = similar_documents(docs, k, num, den)
-    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = staged(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    return sketch.without(docs, "doc_id", gone)

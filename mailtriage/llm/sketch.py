@@ -58,3 +58,19 @@ def passing(rows: DataFrame, sketch: DataFrame, key: Column) -> DataFrame:
     """The rows whose key may be in the set, with their own columns."""
     held, bits = attach(rows, sketch, key)
     return held.where(may_hold(bits, key)).drop(bits)
+
+
+def split(rows: DataFrame, key: Column, keys: DataFrame, of_keys: Column) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be among those of keys, and rows whose key surely isn't; of_keys is the same
+    hash over the columns of keys."""
+    held, bits = attach(rows, build(keys, of_keys), key)
+    may = may_hold(bits, key)
+    return held.where(may).drop(bits), held.where(~may).drop(bits)
+
+
+def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """rows, all columns, whose column `name` isn't in gone, a table of one column of the same type
+    (null is like any other value). Only rows that the sketch lets pass are ever shuffled."""
+    gone = gone.toDF(free_name(rows, "gone"))
+    met, stay = split(rows, F.xxhash64(name), gone, F.xxhash64(gone.columns[0]))
+    return met.join(gone, met[name].eqNullSafe(gone[gone.columns[0]]), "left_anti").union(stay)

@@ -19,7 +19,9 @@ groups of two or more:
 
 Digits travel as hashes (64 bits for the first, a filter only; 128-bit digests of the bytes for the
 others). Counts are partially aggregated before each shuffle. Joins
-are merge joins at every size, so that a small table runs the plan of a large one.
+are merge joins at every size, so that a small table runs the plan of a large one. A pass that needs
+bytes again shuffles the documents that hold its wanted runs, as a key sketch tells (sketch.py), and
+no others.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import discard, staged
 from .cutting import keyed, remove_spans
 from .words import _LETTER, _grown, mixed
@@ -97,8 +100,10 @@ def first_digits(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _with_text(docs: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
     """k_id, k_text, data, own: the documents of wanted, with their rows' fields as an array."""
+    wanted = staged(wanted, "wanted")
     own = wanted.groupBy(F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text")).agg(F.collect_list(F.struct(*fields)).alias("own"))
-    rows = keyed(docs).select("k_id", "k_text", "data")
+    keys = sketch.build(wanted.select("k_id", "k_text").distinct(), F.xxhash64("k_id", "k_text"))
+    rows = sketch.passing(keyed(docs).select("k_id", "k_text", "data"), keys, F.xxhash64("k_id", "k_text"))
     return rows.join(own.hint("merge"), (rows["k_id"] == own["w_id"]) & (rows["k_text"] == own["w_text"])).select("k_id", "k_text", "data", "own")
 
 
@@ -144,8 +149,20 @@ def _in_two_places(rows: DataFrame, *keys: str, at: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select(*keys)
 
 
+def runs_of(windows: DataFrame, length: int) -> DataFrame:
+    """k_id, k_text, spans: the windows that start in (first, last) of each document as the byte ranges
+    that they cover. Neighbours and overlaps are one range before any are collected, so a document's
+    array has at most one for each `length` + 1 of its bytes."""
+    by_place = Window.partitionBy("k_id", "k_text").orderBy("first", "last")
+    before = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    rows = windows.withColumn("opens", (F.coalesce(F.col("first") > before + length, F.lit(True))).cast("int"))
+    rows = rows.withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("k_id", "k_text", "run").agg(F.min("first").alias("start"), (F.max("last") + length).alias("end"))
+    return runs.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
-    """k_id, k_text, spans: the byte ranges of each document covered by repeated windows; ranges may overlap."""
+    """k_id, k_text, spans: the byte ranges of each document covered by repeated windows, apart from each other."""
     every = staged(first_digits(docs, length, gram), "runs")
     grams = staged(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
     kept = staged(every.join(grams.hint("shuffle_hash"), "g", "left_semi"), "kept")
@@ -165,8 +182,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     windows = staged(last_digit(docs, parts.join(several.hint("merge"), ["c1", "c2"], "left_semi").select("one.*"), length), "windows")
     single = windows.join(_in_two_places(windows, "d1", "d2", at="at").hint("merge"), ["d1", "d2"], "left_semi").select("k_id", "k_text", F.col("at").alias("first"), F.col("at").alias("last"))
 
-    spans = F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans")
-    return whole.unionByName(same).unionByName(single).groupBy("k_id", "k_text").agg(spans)
+    return runs_of(whole.unionByName(same).unionByName(single), length)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:

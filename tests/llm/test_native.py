@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from mailtriage.llm import exact_dedup, mixing, secrets, sketch
+from mailtriage.llm import exact_dedup, jaccard_join, mixing, secrets, sketch, suffix_dedup
 from mailtriage.llm.trigrams import holds, query_of
 
 from .fixtures import lower, odd_rows, words
@@ -231,11 +231,24 @@ def test_full_sketch_changes_no_result(spark, odd, monkeypatch):
     groups = sorted(map(str, exact_dedup.exact_groups(odd).select(*columns).collect()))
     left = sorted(str(r.doc_id) for r in exact_dedup.drop_exact_copies(odd).collect())
     secret = sorted(map(str, secrets.find_secrets(odd).collect()))
+    near = sorted(str(r.doc_id) for r in jaccard_join.one_of_each(odd).collect())
+    cut = sorted(map(str, suffix_dedup.deduplicate(odd, 20, 8).collect()))
     monkeypatch.setattr(sketch, "BUCKETS", 1)
     monkeypatch.setattr(sketch, "BITS", 2)
     assert sorted(map(str, exact_dedup.exact_groups(odd).select(*columns).collect())) == groups
     assert sorted(str(r.doc_id) for r in exact_dedup.drop_exact_copies(odd).collect()) == left
     assert sorted(map(str, secrets.find_secrets(odd).collect())) == secret
+    assert sorted(str(r.doc_id) for r in jaccard_join.one_of_each(odd).collect()) == near
+    assert sorted(map(str, suffix_dedup.deduplicate(odd, 20, 8).collect())) == cut
+
+
+def test_without_drops_the_named_rows_alone(spark):
+    rows = spark.createDataFrame([(i % 50 if i % 7 else None, f"t{i}") for i in range(500)], "doc_id long, gone string")
+    for ids in ([], [None], [3, 4, 999], [None, *range(25)]):
+        gone = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        left = sketch.without(rows, "doc_id", gone)
+        assert left.columns == ["doc_id", "gone"]
+        assert sorted(map(str, left.collect())) == sorted(str(r) for r in rows.collect() if r.doc_id not in ids)
 
 
 def test_no_text_is_shuffled_without_broadcast(spark, odd, tmp_path):
