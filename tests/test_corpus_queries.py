@@ -6,13 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from mailtriage.plans import corpus_queries, finding_queries, intake_queries, mail_queries
+from mailtriage.plans import corpus_queries, finding_queries, intake_queries, mail_queries, name_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-QUERIES = corpus_queries.QUERIES | mail_queries.QUERIES | intake_queries.QUERIES | finding_queries.QUERIES
-ORACLE_SQL = corpus_queries.ORACLE_SQL | mail_queries.ORACLE_SQL | intake_queries.ORACLE_SQL | finding_queries.ORACLE_SQL
+QUERIES = corpus_queries.QUERIES | mail_queries.QUERIES | intake_queries.QUERIES | finding_queries.QUERIES | name_queries.QUERIES
+ORACLE_SQL = corpus_queries.ORACLE_SQL | mail_queries.ORACLE_SQL | intake_queries.ORACLE_SQL | finding_queries.ORACLE_SQL | name_queries.ORACLE_SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the corpus tables")
 
