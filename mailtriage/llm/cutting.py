@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sketch
 from .common import text_of
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -35,12 +34,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFrame:
-    """Each row of docs without the spans (k_id, k_text, spans; a table) of its document; see the columns
-    below. Documents that a sketch of the spans' keys doesn't let pass are not shuffled."""
+    """Each row of docs without the spans (k_id, k_text, spans) of its document; see the columns below."""
+    rows = keyed(docs)
     own = spans.withColumnsRenamed({"k_id": "s_id", "k_text": "s_text"})
-    rows, whole = sketch.split(keyed(docs), F.xxhash64("k_id", "k_text"), own, F.xxhash64("s_id", "s_text"))
     rows = rows.join(own.hint("merge"), (rows["k_id"] == own["s_id"]) & (rows["k_text"] == own["s_text"]), "left").select("doc_id", "data", F.col("spans").cast(SPANS))
-    rows = rows.union(whole.select("doc_id", "data", F.lit(None).cast(SPANS)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text]
 

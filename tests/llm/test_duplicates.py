@@ -45,19 +45,6 @@ def test_suffix_dedup_small_windows(spark):
         assert got == want
 
 
-def test_windows_become_runs_before_they_are_gathered(spark):
-    rng = random.Random(5)
-    rows = [(k, -k, a, a + rng.choice((0, 0, 3))) for k in range(30) for a in rng.sample(range(400), rng.choice((1, 40, 300)))]
-    rows += rows[:50]
-    got = suffix_dedup.runs_of(spark.createDataFrame(rows, "k_id long, k_text long, first int, last int"), 4).collect()
-    assert len(got) == 30
-    for r in got:
-        bytes_ = {x for k, _, a, b in rows if k == r.k_id for x in range(a, b + 4)}
-        spans = sorted((s.start, s.end) for s in r.spans)
-        assert {x for a, b in spans for x in range(a, b)} == bytes_
-        assert all(b < a for (_, b), (a, _) in zip(spans, spans[1:]))
-
-
 def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
     for width in (1, 2, 7, 500):
