@@ -430,14 +430,15 @@ def risk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select user_id, count(*) as n_hops, sum(case when ts < prev - interval 60 second then 1 else 0 end)::bigint as n_backwards
-    from (select user_id, ts, lag(ts) over (partition by user_id order by event_id) as prev from events) group by user_id""")
+    select user_id, count(*) as n_hops, sum(case when ts < prev - interval 60 second then 1 else 0 end)::bigint as n_backwards, max(n - i + 1) as n_first
+    from (select user_id, ts, lag(ts) over w as prev, row_number() over w as i, count(*) over (partition by user_id) as n from events window w as (partition by user_id order by event_id)) group by user_id""")
 def hop_time_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clocks that run backwards by more than a minute from one hop to the next."""
+    """Clocks that run backwards by more than a minute from one hop to the next; n_first is the first hop's
+    place, counted from the last."""
     order = Window.partitionBy("user_id").orderBy("event_id")
-    hops = table(spark, sf_dir, "events").select("user_id", "ts", F.lag("ts").over(order).alias("prev"))
+    hops = table(spark, sf_dir, "events").select("user_id", "ts", F.lag("ts").over(order).alias("prev"), F.row_number().over(order).alias("i"))
     back = F.col("ts") < F.col("prev") - F.expr("interval 60 seconds")
-    return hops.groupBy("user_id").agg(F.count("*").alias("n_hops"), F.coalesce(F.count_if(back), F.lit(0)).alias("n_backwards"))
+    return hops.groupBy("user_id").agg(F.count("*").alias("n_hops"), F.coalesce(F.count_if(back), F.lit(0)).alias("n_backwards"), (F.count("*") - F.min("i") + 1).alias("n_first"))
 
 
 @query("""
