@@ -71,14 +71,16 @@ def routable_ip(value: Column) -> Column:
 def find_ipv4(text: Column) -> Column:
     """Array of the distinct valid IPv4 addresses of a text, in order. A run of digits and dots
     counts as a whole, so longer dotted numbers yield no slice."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("[0-9.]+"), F.lit(0)), lambda x: x.rlike(_whole(IPV4))))
+    runs = F.regexp_extract_all(text, F.lit(r"(?=[0-9])(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"), F.lit(0))
+    return F.array_distinct(F.filter(runs, lambda x: x.rlike(_whole(IPV4))))
 
 
 def find_ipv6(text: Column) -> Column:
     """Array of the distinct valid IPv6 addresses of a text as written, in order. A run of letters,
     digits, dots and colons counts as a whole, without the `IPv6:` that servers write before an address
     and without a dot or single colon at its end."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit("[0-9A-Za-z:.]+"), F.lit(0)), lambda x: x.rlike(":[^:]*:"))
+    run = "(?<![0-9A-Za-z:.])[0-9A-Za-z.]*+:[0-9A-Za-z.]*+:[0-9A-Za-z:.]*+"  # two colons at least
+    runs = F.regexp_extract_all(text, F.lit(run), F.lit(0))
     bare = F.transform(runs, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\Aipv6:", ""), r"\.+\z|(?<!:):\z", ""))
     return F.array_distinct(F.filter(bare, valid_ipv6))
 
@@ -143,7 +145,8 @@ def ip_full(value: Column) -> Column:
 
 def find_emails(text: Column) -> Column:
     """Array of the lower-cased e-mail addresses of a text, in order, repeats included."""
-    return F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.lower(x))
+    found = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.lower(x))
+    return F.when(~text.contains("@"), F.array().cast("array<string>")).otherwise(found)
 
 
 def domain_part(address: Column) -> Column:
@@ -172,9 +175,11 @@ def url_host(url: Column) -> Column:
 
 def under_domain(host: Column, domains: list[str]) -> Column:
     """Whether host is one of the domains or below one: a test of its suffixes against the set."""
-    parts = F.split(F.lower(host), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.coalesce(F.arrays_overlap(suffixes, literals(domains)), F.lit(False))
+
+    def suffixes(parts: Column) -> Column:
+        return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
+
+    return F.coalesce(F.arrays_overlap(let(F.split(F.lower(host), r"\."), suffixes), literals(domains)), F.lit(False))
 
 
 def risky_tld(host: Column) -> Column:
@@ -209,11 +214,10 @@ def lookalike(host: Column, own: tuple[str, ...] = ()) -> Column:
 
     def graded(e: Column, x: Column) -> Column:
         n = F.length(e["brand"])
-        away = F.levenshtein(x["shape"], e["brand"])
         kind = (
             F.when((x["shape"] == e["brand"]) & (x["name"] != e["brand"]), 1)
             .when(e["own"] & (x["name"] == e["brand"]), 2)
-            .when((n >= 5) & (away > 0) & (away <= F.when(n >= 8, 2).otherwise(1)), 3)
+            .when((n >= 5) & (F.abs(x["length"] - n) <= 2) & let(F.levenshtein(x["shape"], e["brand"]), lambda away: (away > 0) & (away <= F.when(n >= 8, 2).otherwise(1))), 3)
             .when((n >= 4) & (x["flat"] != e["brand"]) & F.array_contains(x["words"], e["brand"]), 4)
         )
         return F.struct(kind.alias("grade"), e["brand"].alias("brand"), e["own"].alias("own"))
@@ -222,15 +226,20 @@ def lookalike(host: Column, own: tuple[str, ...] = ()) -> Column:
         entries = brand_entries(own)
         hits = F.filter(F.transform(entries, lambda e: graded(e, x)), lambda g: g["grade"].isNotNull())
         top = F.array_min(F.transform(hits, lambda g, i: F.struct(g["grade"].alias("grade"), i.alias("ord"), g["brand"].alias("brand"), g["own"].alias("own"))))
-        kind = F.element_at(literals(["confusable", "tld-swap", "typosquat", "contains"]), top["grade"])
         known = F.exists(entries, lambda e: F.array_contains(e["domains"], x["org"]))
-        return F.when((x["bare"] != "") & ~known & top.isNotNull(), let(top, lambda t: F.struct(t["brand"].alias("brand"), kind.alias("kind"), t["own"].alias("own"))))
+
+        def told(t: Column) -> Column:
+            kind = F.element_at(literals(["confusable", "tld-swap", "typosquat", "contains"]), t["grade"])
+            return F.when(t.isNotNull(), F.struct(t["brand"].alias("brand"), kind.alias("kind"), t["own"].alias("own")))
+
+        return F.when((x["bare"] != "") & ~known, let(top, told))
 
     def shaped(x: Column) -> Column:
         name = F.substring_index(x["org"], ".", 1)
         flat = skeleton(F.regexp_replace(x["bare"], r"\.[a-z.]+\z", ""))
         words = F.transform(F.split(x["bare"], r"[.\-_]"), skeleton)
-        return let(F.struct(x["bare"].alias("bare"), x["org"].alias("org"), name.alias("name"), skeleton(name).alias("shape"), flat.alias("flat"), words.alias("words")), best)
+        formed = F.struct(x["bare"].alias("bare"), x["org"].alias("org"), name.alias("name"), skeleton(name).alias("shape"), flat.alias("flat"), words.alias("words"))
+        return let(formed, lambda y: let(y.withField("length", F.length(y["shape"])), best))
 
     bare = F.regexp_replace(F.lower(host), r"\Awww\.", "")
-    return let(bare, lambda b: let(F.struct(b.alias("bare"), F.coalesce(org_domain(b), b).alias("org")), shaped))
+    return F.when(host.isNotNull(), let(bare, lambda b: let(F.struct(b.alias("bare"), F.coalesce(org_domain(b), b).alias("org")), shaped)))

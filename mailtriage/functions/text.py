@@ -8,16 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import refdata as R
-from .net import literals
+from .net import let, literals
 
 #: White space beyond ASCII counts as well.
 BLANK = "[\\x20\\t\\n\\x0B\\f\\r\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+#: The characters of BLANK.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BIDI = "[\\u202A-\\u202E\\u2066-\\u2069\\u200E\\u200F]"
 INVISIBLE = "[\\u00AD\\u200B-\\u200D\\u2060\\uFEFF]"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    """Text without blanks at its ends; what stands between is not read."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def is_ascii(text: Column) -> Column:
+    """Whether a text has no character beyond ASCII: cheap, and rules out all that other scripts do."""
+    return F.octet_length(text) == F.length(text)
 
 
 def squeezed(text: Column) -> Column:
@@ -102,17 +110,32 @@ PROPERTY = r"\A(?:header|smtp|policy|body)\.[a-z-]+\z"
 
 #: What text defanging looks for; at one place the first kind counts.
 _LINK = r"\b(?:https?|ftp)://[^\s<>\"'`)\]]+"
-_ADDRESS = r"[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}"
+# A run of an address's characters is tried from its start alone, or from where the last match ended.
+_ADDRESS = r"(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++@(?:[a-z0-9-]++\.)+[a-z]{2,}"
 _DOTTED = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
-_NAME = r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b"
+_NAME = r"\b(?:[a-z0-9-]++\.)+[a-z]{2,}\b"
 _TARGETS = f"(?i){_LINK}|{_ADDRESS}|{_DOTTED}|{_NAME}"
 
 
 def spliced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """text with change applied to each leftmost match of a pattern, in one pass."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    changed = F.zip_with(between, F.transform(found, change), lambda b, c: F.concat(b, F.coalesce(c, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(changed, "")).otherwise(text)
+    return _joined(_pieces(text, pattern), change)
+
+
+#: Set around the matches of a pattern; a text that holds it is read twice instead.
+_MARK = "\u0001"
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """A text in turns of what stands between matches of a pattern and a match, n + 1 and n of them."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    turns = F.flatten(F.zip_with(F.split(text, pattern, -1), found, lambda b, m: F.array(b, m)))
+    return F.when(text.contains(_MARK), F.slice(turns, F.lit(1), F.size(found) * 2 + 1)).otherwise(marked)
+
+
+def _joined(pieces: Column, change: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")
 
 
 def defang_targets(text: Column) -> Column:
@@ -123,6 +146,11 @@ def defang_targets(text: Column) -> Column:
 def defang_text(text: Column) -> Column:
     """Links, e-mail addresses, dotted addresses and names inside free text defanged in one pass, links
     with what stands in their path. File names and names of authentication properties stay."""
+    return defanged(text)["text"]
+
+
+def defanged(text: Column) -> Column:
+    """struct(text, n): what defang_text and defang_targets tell, in one pass."""
 
     def plain(m: Column) -> Column:
         low = F.lower(m)
@@ -141,7 +169,10 @@ def defang_text(text: Column) -> Column:
     def inside(tail: Column) -> Column:
         return spliced(tail, names, plain)
 
-    return spliced(text, _TARGETS, lambda m: F.when(m.contains("://"), link(m, inside)).otherwise(plain(m)))
+    def safe(m: Column) -> Column:
+        return F.when(m.contains("://"), link(m, inside)).otherwise(plain(m))
+
+    return let(_pieces(text, _TARGETS), lambda p: F.struct(_joined(p, safe).alias("text"), F.floor(F.size(p) / 2).cast("int").alias("n")))
 
 
 def subject_key(subject: Column) -> Column:
@@ -166,7 +197,10 @@ def double_extension(name: Column) -> Column:
 def mixed_script_words(text: Column) -> Column:
     """Distinct words that mix Latin letters with Cyrillic, Greek, Armenian or Cherokee ones."""
     words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]")))
+    other = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]"
+    mixed = F.array_distinct(F.filter(words, lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(other)))
+    # Most texts hold no letter of the other scripts; their words are not taken apart.
+    return F.when(is_ascii(text) | ~text.rlike(other), F.array().cast("array<string>")).otherwise(mixed)
 
 
 def bidi_control(text: Column) -> Column:
@@ -175,7 +209,8 @@ def bidi_control(text: Column) -> Column:
 
 def invisible_in_words(text: Column) -> Column:
     """Number of invisible characters between two letters."""
-    return F.coalesce(F.regexp_count(text, F.lit(rf"\p{{L}}{INVISIBLE}+(?=\p{{L}})")), F.lit(0))
+    found = F.regexp_count(text, F.lit(rf"\p{{L}}{INVISIBLE}+(?=\p{{L}})"))
+    return F.coalesce(F.when(is_ascii(text), 0).otherwise(found), F.lit(0))
 
 
 def half_up(x: Column) -> Column:

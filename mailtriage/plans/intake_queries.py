@@ -209,7 +209,7 @@ def defanged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, source = F.col("doc_id"), F.coalesce("source", F.lit(""))
     said = text_of(F.coalesce(F.col("text"), F.lit("")), "\nsee HTTP://", source, ".example.com:8080/a?b=1, Invoice", n, ".pdf, ", source, "@mail.example.com, 203.0.113.", n % 200, " header.from")
     rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("t"))
-    return rows.select("doc_id", T.defang_targets(F.col("t")).cast("long").alias("n_found"), F.sha2(T.defang_text(F.col("t")), 256).alias("safe_sha256"))
+    return rows.select("doc_id", T.defanged(F.col("t")).alias("d")).select("doc_id", F.col("d.n").cast("long").alias("n_found"), F.sha2("d.text", 256).alias("safe_sha256"))
 
 
 # --- registration ---------------------------------------------------------------------------------
