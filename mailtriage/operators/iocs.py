@@ -25,12 +25,15 @@ def url_risks(url: Column, mismatch: Column | None = None, service: Column | Non
     """array of struct(type, level): what speaks against a link, in a fixed order. service is the
     collecting service it belongs to, asks tells whether a password form sends to it."""
     low = F.lower(url)
-    host = net.url_host(url)
     after = F.regexp_extract(low, r"\A[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    port = F.regexp_extract(after, r":([0-9]+)\z", 1)
     path = F.regexp_extract(low, r"\A[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    ending = F.regexp_extract(path, r"\.([a-z0-9]+)/?\z", 1)
     scheme = F.regexp_extract(low, r"\A([a-z][a-z0-9+.-]*):", 1)
+    parts = F.struct(net.url_host(url).alias("host"), scheme.alias("scheme"), after.alias("after"), F.regexp_extract(after, r":([0-9]+)\z", 1).alias("port"), F.regexp_extract(path, r"\.([a-z0-9]+)/?\z", 1).alias("ending"))
+    return net.let(parts, lambda x: _risks_of(x, mismatch, service, asks))
+
+
+def _risks_of(x: Column, mismatch: Column | None, service: Column | None, asks: Column | None) -> Column:
+    host, scheme, after, port, ending = (x[k] for k in ("host", "scheme", "after", "port", "ending"))
     tests = [
         risk(scheme.isin("javascript", "vbscript", "data"), "script-url", "high"), risk(after.contains("@"), "credentials-url", "high"),
         risk((port != "") & ~port.isin("80", "443"), "odd-port", "medium"), risk(ending.isin(R.EXECUTABLE_URL_EXTENSIONS), "direct-download", "high"),

@@ -72,11 +72,12 @@ def analyze(messages: DataFrame, own_domains: tuple[str, ...] = (), phrases: lis
 
     Nothing is shuffled: rows of equal msg_id are messages of their own.
     """
-    parsed = M.parse_headers(messages).where(M.is_message(F.col("headers")))
-    rows = auth.authenticate(parsed)
-    bodies = mime.parse_bodies(rows).where("parse_error is null").drop("parse_error")
-    rows = thread.with_thread(identity.with_findings(bodies, own=own_domains))
-    rows = rows.withColumn("hits", language.hits(F.col("body_text"), phrases)).withColumn("quoted_hits", language.hits(F.col("quoted_text"), phrases)).drop("quoted_text")
+    # The Arrow pass comes first: it takes the text alone, and what a caller leaves out is not computed.
+    bodies = mime.parse_bodies(messages).where("parse_error is null").drop("parse_error")
+    rows = auth.authenticate(M.parse_headers(bodies).where(M.is_message(F.col("headers"))))
+    matcher = language.compiled(phrases)
+    rows = thread.with_thread(identity.with_findings(rows, own=own_domains), matcher)
+    rows = rows.withColumn("hits", language.hits(F.col("body_text"), matcher))
     told = thread.thread_findings(F.col("headers"), F.col("quoted"), F.col("separators"), auth.sent_at(F.col("headers.date")))
     rows = rows.withColumn("findings", F.concat("findings", thread.with_payment(told, F.col("quoted"), language.n_strong(F.col("quoted_hits"), "bec")))).drop("quoted_hits")
     rows = iocs.with_iocs(rows).withColumn("file_risks", file_risks()).withColumn("password_form", F.coalesce("body_page.login", F.lit(False)))
@@ -94,8 +95,9 @@ def rejects(messages: DataFrame) -> DataFrame:
     headed = F.coalesce(M.is_message(F.col("headers")), F.lit(False))
     rows = M.parse_headers(messages.select("msg_id", "raw", own.alias("error")))
     rows = rows.select("msg_id", "raw", F.coalesce("error", F.when(~headed, F.when(empty, "empty").otherwise("no message header"))).alias("reason"))
-    broken = mime.parse_bodies(rows.where("reason is null").select("msg_id", "raw")).where("parse_error is not null")
-    return rows.where("reason is not null").select("msg_id", "reason").unionByName(broken.select("msg_id", F.col("parse_error").alias("reason")))
+    # One pass for both kinds: texts that have a reason already are not read again.
+    read = mime.parse_bodies(rows.select("msg_id", F.when(F.col("reason").isNull(), F.col("raw")).alias("raw"), "reason"))
+    return read.select("msg_id", F.coalesce("reason", "parse_error").alias("reason")).where("reason is not null")
 
 
 PHONE = r"[0-9][0-9\s().-]{7,}[0-9]"
@@ -172,4 +174,4 @@ def message_indicators(analyzed: DataFrame) -> DataFrame:
 
     many = [items(kind, of, field) for kind, (of, field) in lists.items()]
     every = F.array_distinct(F.filter(F.concat(one, *[F.coalesce(m, F.array().cast("array<struct<type:string,value:string>>")) for m in many]), lambda i: i["value"] != ""))
-    return analyzed.select(F.col("msg_id").alias("msg"), F.explode(every).alias("i")).select("msg", "i.type", "i.value").dropDuplicates(["msg", "type", "value"])
+    return analyzed.select(F.col("msg_id").alias("msg"), F.explode_outer(every).alias("i")).where("i is not null").select("msg", "i.type", "i.value").dropDuplicates(["msg", "type", "value"])

@@ -122,21 +122,22 @@ def parse_headers(messages: DataFrame) -> DataFrame:
     """messages (msg_id, raw) with one column `headers` of parsed header fields."""
     rows = messages.withColumn("_h", header_lines(F.col("raw")))
     h = F.col("_h")
+    rows = rows.withColumns({f"_{key}": address(first_of(h, key)) for key in ("from", "reply-to", "return-path")})
     domains = F.filter(
         F.array(
-            *[F.struct(F.lit(label).alias("source"), F.split(address(first_of(h, key))["email"], "@")[1].alias("domain")) for label, key in (("From", "from"), ("Reply-To", "reply-to"), ("Return-Path", "return-path"))]
+            *[F.struct(F.lit(label).alias("source"), F.split(F.col(f"`_{key}`")["email"], "@")[1].alias("domain")) for label, key in (("From", "from"), ("Reply-To", "reply-to"), ("Return-Path", "return-path"))]
         ),
         lambda d: d["domain"].isNotNull(),
     )
     duplicated = F.filter(F.array(*[F.struct(F.lit(k).alias("header"), F.size(all_of(h, k)).alias("count")) for k in SINGLE_HEADERS]), lambda d: d["count"] > 1)
     parsed = F.struct(
-        address(first_of(h, "from")).alias("from"), address(first_of(h, "reply-to")).alias("reply_to"), address(first_of(h, "return-path")).alias("return_path"), address(first_of(h, "to")).alias("to"),
+        F.col("_from").alias("from"), F.col("`_reply-to`").alias("reply_to"), F.col("`_return-path`").alias("return_path"), address(first_of(h, "to")).alias("to"),
         _subject(h).alias("subject"), first_of(h, "date").alias("date"), first_of(h, "message-id").alias("message_id"), all_of(h, "received").alias("received"),
         all_of(h, "authentication-results").alias("authentication_results"), all_of(h, "received-spf").alias("received_spf"), all_of(h, "dkim-signature").alias("dkim_signature"),
         first_of(h, "content-type").alias("content_type"), first_of(h, "x-mailer").alias("x_mailer"), first_of(h, "x-originating-ip").alias("x_originating_ip"),
         F.filter(h, lambda x: F.startswith(x["key"], F.lit("x-"))).alias("x_headers"), h.alias("ordered"), duplicated.alias("duplicated"), domains.alias("domains"),
     )
-    return rows.withColumn("headers", parsed).drop("_h")
+    return rows.withColumn("headers", parsed).drop("_h", "_from", "_reply-to", "_return-path")
 
 
 def is_message(headers: Column) -> Column:
