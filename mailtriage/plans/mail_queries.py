@@ -63,7 +63,8 @@ def mail_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'http://' || source || '.example.top/get.exe' as url, count(*) as n_messages, 'direct-download,risky-tld' as risks from documents group by 1""")
 def mail_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of all messages with their risks, through the whole pipeline."""
-    found = triage.analyze(messages(spark, sf_dir)).select("msg_id", F.explode("iocs.urls").alias("u"))
+    # explode() would get a filter below it that computes the indicators once more.
+    found = triage.analyze(messages(spark, sf_dir)).select(F.explode_outer("iocs.urls").alias("u")).where("u is not null")
     rows = found.select(F.col("u.value").alias("url"), F.array_join(F.transform("u.risks", lambda r: r["type"]), ",").alias("risks"))
     return rows.groupBy("url", "risks").agg(F.count("*").alias("n_messages")).select("url", "n_messages", "risks")
 
@@ -108,7 +109,7 @@ def mail_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many messages have each value of a property. Properties that depend on the phrase table or
     on titles are left out, as SQL can't say them: tests/test_compare.py has them."""
     told = "spf dkim dmarc alignment from from_domain display_name reply_to return_path sender_ip message_id_domain mailer link_count link_domains deceptive_links attachments hashes arc".split()
-    cells = compare.cells(triage.analyze(messages(spark, sf_dir))).where(F.col("property").isin(told))
+    cells = compare.cells(triage.analyze(messages(spark, sf_dir)), told)
     return cells.groupBy("property", "value", "tone").agg(F.count("*").alias("n_messages"))
 
 
