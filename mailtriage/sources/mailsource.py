@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from ..functions import batches as B
 
 SCHEMA = "path string, name string, size long, content binary, error string"
 ENDINGS = "eml,txt"
 PARTITION_BYTES, MESSAGE_BYTES = 64 << 20, 256 << 20
 #: What a file costs besides its bytes, and the rows and bytes of a batch.
-OPEN_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 10, 256, 16 << 20
+OPEN_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 10, 256, 4 << 20
 #: Schemes that tasks can open by themselves.
 SCHEMES = ("", "file", "s3", "s3a", "gs", "gcs", "hdfs")
 _OLE = bytes.fromhex("D0CF11E0A1B11AE1")
@@ -109,9 +111,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "name", "size", "content", "error"])
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Writes each row's content as a file. A file appears whole, by a rename; a task that runs again
-    writes the same names."""
+    writes the same names. Rows are taken from their batch a slice at a time."""
 
     def __init__(self, options: dict, fields: list[str]):
         if not options.get("path"):
@@ -120,16 +122,17 @@ class _Writer(DataSourceWriter):
             raise ValueError("the mail sink needs columns name and content")
         self.uri = options["path"]
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, folder = opened(self.uri)
         system.create_dir(folder, recursive=True)
-        for row in rows:
-            if not row.name or "/" in row.name or row.name.startswith((".", "_")):
-                raise ValueError(f"no name for a message file: {row.name!r}")
-            waiting = f"{folder}/.{row.name}.{uuid.uuid4().hex}"
-            with system.open_output_stream(waiting) as stream:
-                stream.write(bytes(row.content or b""))
-            system.move(waiting, f"{folder}/{row.name}")
+        for batch in (part for whole in batches for part in B.slices(whole)):
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if not name or "/" in name or name.startswith((".", "_")):
+                    raise ValueError(f"no name for a message file: {name!r}")
+                waiting = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(waiting) as stream:
+                    stream.write(bytes(content or b""))
+                system.move(waiting, f"{folder}/{name}")
         return WriterCommitMessage()
 
 
