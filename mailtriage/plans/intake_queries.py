@@ -3,6 +3,7 @@ by their ids, so that what an operator must find can be said again in SQL."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,11 @@ PHRASES = (
 _SAID = ("please ACT\nimmediately: before the deadlines.", "an outstanding invoice, and another invoice", "two Outstanding-Invoices", "VERIFY your mailbox passwords; your mailbox: tell nobody's friend", "nothing of the kind")
 
 
+def phrase_table(spark: SparkSession) -> DataFrame:
+    """PHRASES by way of Arrow: rows of Python's would go through Python workers, which stay in memory beside the pass over the texts."""
+    return spark.createDataFrame(pa.table(list(zip(*PHRASES, strict=True)), ["category", "tier", "phrase"]))
+
+
 def said(n: Column, text: Column) -> Column:
     return text_of(F.coalesce(text, F.lit("")), "\n", pick(n, *_SAID))
 
@@ -113,7 +119,7 @@ def _sql_times(phrase: str) -> str:
 def phrase_table_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of a caller's table in documents that say them in other case, over line ends, with
     hyphens, as plurals, inside longer phrases: counts and score of each category."""
-    phrases = spark.createDataFrame(PHRASES, "category string, tier string, phrase string")
+    phrases = phrase_table(spark)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), said(F.col("doc_id"), F.col("text")).alias("text"))
     known = F.col("category").isin([c for c, *_ in PHRASES])
     # Amounts and account numbers of the documents are patterns, not phrases.
@@ -127,7 +133,7 @@ def phrase_table_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     select phrase, case when starts_with(phrase, 'out') then 'strong' else 'broad' end as tier, count(*) as n, count(distinct doc_id) as n_docs from p group by 1, 2""")
 def phrase_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wordings in which a category's phrases occur, over all documents."""
-    phrases = spark.createDataFrame(PHRASES, "category string, tier string, phrase string")
+    phrases = phrase_table(spark)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), said(F.col("doc_id"), F.col("text")).alias("text"))
     found = language.matches(texts, phrases).where((F.col("category") == "financial") & F.col("phrase").rlike("(?i)invoice"))
     counted = language.phrase_counts(found)
